@@ -146,14 +146,15 @@ def running(
     """Inclusive running sums (and group totals) in the given order, safe for hot and for global groups.
 
     ``order`` lists (column, ascending); together with ``group`` it has to be unique per row.
-    Ordinary groups use one window. A group over ``limit`` rows - and the whole table when ``group`` is
-    empty - is cut along the order columns into slices of about ``limit`` rows; each slice is summed by
-    its own task and the sums of the slices before it are added from a table of one row per slice.
+    A count decides first: groups of at most ``limit`` rows use one window. A group over it - such as the
+    whole table when ``group`` is empty - is cut along the order columns into slices of about ``limit``
+    rows; each slice is summed by its own task and the sums of the slices before it are added from a
+    table of one row per slice.
     """
     total = total or {}
     group = list(group)
     if not group:
-        return _running_sliced(df.withColumn("_all", F.lit(0)), ["_all"], order, sums, total, limit).drop("_all")
+        return running(df.withColumn("_all", F.lit(0)), ["_all"], order, sums, total, limit).drop("_all")
     hot = hot_groups(df, group, limit)
     if hot is None:
         return _running_plain(df, group, order, sums, total)
@@ -200,19 +201,19 @@ def _running_sliced(df, group, order, sums, total, limit):
 
 def _slice(df, keys, order, name, limit):
     """Number the slice of the order range a row falls in; follows the sort order inside every key."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    aggs = [F.count(F.lit(1)).alias("_sn")]
     for i, (c, asc) in enumerate(order[:2]):
         x = _number(df, c, asc)
-        aggs += [F.min(x).alias(f"_lo{i}"), F.max(x).alias(f"_hi{i}")]
-    wide = df.groupBy(*keys).agg(*aggs).filter(F.col("_n") > limit)
-    wide = wide.withColumn("_parts", F.ceil(F.col("_n") / limit))
+        aggs += [F.min(x).alias(f"_slo{i}"), F.max(x).alias(f"_shi{i}")]
+    wide = df.groupBy(*keys).agg(*aggs).filter(F.col("_sn") > limit)
+    wide = wide.withColumn("_sparts", F.ceil(F.col("_sn") / limit))
 
     def place(i):
         c, asc = order[i]
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        at = F.floor((_number(df, c, asc) - lo) / (hi - lo) * F.col("_parts"))
-        at = F.coalesce(at, F.lit(0) if asc else F.col("_parts") - 1)  # nulls first ascending, last descending
-        return F.when(hi > lo, F.least(at, F.col("_parts") - 1))
+        lo, hi = F.col(f"_slo{i}"), F.col(f"_shi{i}")
+        at = F.floor((_number(df, c, asc) - lo) / (hi - lo) * F.col("_sparts"))
+        at = F.coalesce(at, F.lit(0) if asc else F.col("_sparts") - 1)  # nulls first ascending, last descending
+        return F.when(hi > lo, F.least(at, F.col("_sparts") - 1))
 
     # Cut along the first column; where it holds one value only, along the tie breaker.
     where = reduce(lambda a, b: F.coalesce(a, b), [place(i) for i in range(min(2, len(order)))])

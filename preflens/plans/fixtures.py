@@ -138,6 +138,7 @@ def related(spark, sf):
 
 
 def h(seed: str, *cols: str) -> str:
+    cols = [c.strip() for some in cols for c in some.split(",")]
     parts = ", ".join([f"'{seed}'", *[f"CAST({c} AS VARCHAR)" for c in cols]])
     return f"(CAST('0x' || substr(md5(concat_ws('|', {parts})), 1, 13) AS BIGINT) / 4503599627370496.0)"
 

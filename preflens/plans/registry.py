@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "sampling")
 
 
 def _all() -> dict:
