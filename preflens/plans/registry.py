@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "sampling")
+MODULES = ("evaluation", "sampling", "similarity")
 
 
 def _all() -> dict:
