@@ -14,6 +14,11 @@ def doubles(x) -> Column:
     return _c(x).cast("array<double>")
 
 
+def let(value, body) -> Column:
+    """body(value) with the value computed once: inside a lambda it would be computed per element."""
+    return F.transform(F.array(_c(value)), body)[0]
+
+
 def array_sum(x) -> Column:
     return F.aggregate(_c(x), F.lit(0.0), lambda a, v: a + v)
 
@@ -32,7 +37,7 @@ def mean(x) -> Column:
 
 def shift(x, by: Column) -> Column:
     """Subtract a number from every element."""
-    return F.transform(_c(x), lambda v: v - by)
+    return let(by, lambda b: F.transform(_c(x), lambda v: v - b))
 
 
 def cosine(x, y) -> Column:
@@ -43,7 +48,7 @@ def cosine(x, y) -> Column:
 def l2_normalize(x) -> Column:
     """Unit vector; a zero vector stays zero."""
     length = norm(x)
-    return F.transform(_c(x), lambda v: v / F.when(length == 0, F.lit(1.0)).otherwise(length))
+    return let(F.when(length == 0, F.lit(1.0)).otherwise(length), lambda n: F.transform(_c(x), lambda v: v / n))
 
 
 def left_pad(x, n: int, fill: Column) -> Column:

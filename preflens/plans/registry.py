@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "sampling", "similarity")
+MODULES = ("evaluation", "sampling", "similarity", "content")
 
 
 def _all() -> dict:
