@@ -196,6 +196,7 @@ def edge_split(edges, val_share=0.1, seen_only=False, seed=SEED, a="product1", b
     """
     ordered = edges.withColumn("_h", unit_hash(seed, a, b))
     ranked = rank_rows(ordered, [], [("_h", True), (a, True), (b, True)], "_k", "_n", limit)
+    ranked = stable(ranked)  # both parts and the negatives read it
     n_val = F.floor(F.col("_n") * val_share)
     held = ranked.filter(F.col("_k") <= n_val).drop("_h", "_k", "_n")
     train = ranked.filter(F.col("_k") > n_val).drop("_h", "_k", "_n")
@@ -205,7 +206,7 @@ def edge_split(edges, val_share=0.1, seen_only=False, seed=SEED, a="product1", b
         train = edges.join(kept.select(a, b), [a, b], "left_anti")
         held = kept
     wanted = held.agg(F.count(F.lit(1))).scalar()
-    neg = negative_edges(edges, held, wanted, seed, a, b, limit)
+    neg = negative_edges(ranked, held, wanted, seed, a, b, limit)
     val = held.select(a, b, F.lit(1).alias("edge")).unionByName(neg.select(a, b, F.lit(0).alias("edge")))
     return train, val
 

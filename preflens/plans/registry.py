@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("evaluation", "sampling", "similarity", "content")
+MODULES = ("evaluation", "sampling", "similarity", "content", "tabular")
 
 
 def _all() -> dict:
