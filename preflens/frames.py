@@ -125,9 +125,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def hot_groups(df: DataFrame, group: Sequence[str], limit: int) -> DataFrame | None:
-    """Keys with more than ``limit`` rows, or None (one map-side combined count decides)."""
-    big = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+def hot_groups(df: DataFrame, group: Sequence[str], limit: int, size: str | None = None) -> DataFrame | None:
+    """Keys with more than ``limit`` rows, or None (one map-side combined count decides).
+
+    ``size`` names a column of row counts to add up where they are known before the rows exist.
+    """
+    n = F.count(F.lit(1)) if size is None else F.sum(size)
+    big = df.groupBy(*group).agg(n.alias("_n")).filter(F.col("_n") > limit)
     big = big.select(*group)
     return None if big.isEmpty() else big
 
@@ -142,6 +146,7 @@ def running(
     sums: dict[str, Column],
     total: dict[str, Column] | None = None,
     limit: int = ROWS_PER_TASK,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Inclusive running sums (and group totals) in the given order, safe for hot and for global groups.
 
@@ -149,13 +154,13 @@ def running(
     A count decides first: groups of at most ``limit`` rows use one window. A group over it - such as the
     whole table when ``group`` is empty - is cut along the order columns into slices of about ``limit``
     rows; each slice is summed by its own task and the sums of the slices before it are added from a
-    table of one row per slice.
+    table of one row per slice. ``sizes`` (group, n) spares the count of costly rows.
     """
     total = total or {}
     group = list(group)
     if not group:
         return running(df.withColumn("_all", F.lit(0)), ["_all"], order, sums, total, limit).drop("_all")
-    hot = hot_groups(df, group, limit)
+    hot = hot_groups(df, group, limit) if sizes is None else hot_groups(sizes, group, limit, "n")
     if hot is None:
         return _running_plain(df, group, order, sums, total)
     hot = F.broadcast(hot)  # at most rows / limit keys

@@ -34,8 +34,10 @@ def unseen_sizes(seen: DataFrame, items: DataFrame, user=USER, item=ITEM) -> Dat
     return sizes.withColumn("pool", total - F.col("n_seen"))
 
 
-def unseen_items(draws: DataFrame, seen: DataFrame, items: DataFrame, user=USER, item=ITEM, limit=ROWS_PER_TASK) -> DataFrame:
-    """Replace column ``p`` of the draws by the user's p-th unseen item."""
+def unseen_items(
+    draws: DataFrame, seen: DataFrame, items: DataFrame, user=USER, item=ITEM, limit=ROWS_PER_TASK, sizes: DataFrame | None = None
+) -> DataFrame:
+    """Replace column ``p`` of the draws by the user's p-th unseen item; ``sizes`` (user, n) counts draws and seen items."""
     known = seen.select(user, item).distinct().join(items.select(item, F.col("index").alias("_s")), item).select(user, "_s")
     known = rank_rows(known, [user], [("_s", True)], "_i", limit=limit)
     carried = [c for c in draws.columns if c not in (user, "p")]
@@ -44,7 +46,7 @@ def unseen_items(draws: DataFrame, seen: DataFrame, items: DataFrame, user=USER,
         *[F.lit(None).cast(draws.schema[c].dataType).alias(c) for c in carried],
     )
     rows = marks.unionByName(draws.select(user, F.col("p").cast("long"), F.lit(1).alias("_draw"), *carried))
-    counted = running(rows, [user], [("p", True), ("_draw", True)], {"_before": 1 - F.col("_draw")}, limit=limit)
+    counted = running(rows, [user], [("p", True), ("_draw", True)], {"_before": 1 - F.col("_draw")}, limit=limit, sizes=sizes)
     placed = counted.filter("_draw = 1").withColumn("index", F.col("p") + F.col("_before"))
     return placed.join(items.select("index", item), "index").select(user, *carried, item)
 
@@ -62,7 +64,8 @@ def draw_unseen(need, seen, items, keys=(), seed=SEED, replace=False, user=USER,
         p = F.floor(unit_hash(seed, user, *keys, "j") * F.col("pool"))
     else:
         p = _distinct_position(unit_hash(seed, user, *keys), F.col("j"), F.col("pool"))
-    return unseen_items(drawn.select(user, *keys, "j", p.alias("p")), seen, items, user, item, limit)
+    sizes = sized.groupBy(user).agg((F.sum(n) + F.first("n_seen")).alias("n"))
+    return unseen_items(drawn.select(user, *keys, "j", p.alias("p")), seen, items, user, item, limit, sizes)
 
 
 def negative_feedback(df, ratio=1.0, seed=SEED, user=USER, item=ITEM, pos=1, neg=0, out="feedback", limit=ROWS_PER_TASK):

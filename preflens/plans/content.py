@@ -68,7 +68,9 @@ def add(name, text_=None, **views):
 
 
 def _documents(spark, sf):
-    return fx.table(spark, sf, "documents")
+    """Text is costly per row: fewer files than cores are spread over the cores first."""
+    docs, cores = fx.table(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
 
 
 def _cleaned(spark, sf):

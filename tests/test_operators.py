@@ -106,8 +106,9 @@ def test_edge_split(spark):
     assert not known & {tuple(sorted(n)) for n in neg} and len(set(neg)) == len(neg)
 
 
-@pytest.mark.parametrize("sparse", [False, True])
-def test_blocked_topk(spark, sparse):
+@pytest.mark.parametrize("sparse", [None, "left", "right"])
+def test_blocked_topk(spark, sparse, monkeypatch):
+    monkeypatch.setattr(blocked, "DENSE_CELLS", 12)
     rng = np.random.default_rng(3)
     a = rng.integers(0, 3, (23, 6)).astype(float)
     b = rng.integers(0, 3, (31, 6)).astype(float)
@@ -119,7 +120,7 @@ def test_blocked_topk(spark, sparse):
                                          "id long, idx array<long>, vec array<double>")
         return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, vec array<double>")
 
-    out = blocked.blocked_topk(table(a), table(b), 4, spark.createDataFrame(seen, "l long, r long"), True, left_block=5, right_block=7).collect()
+    out = blocked.blocked_topk(table(a), table(b), 4, spark.createDataFrame(seen, "l long, r long"), True, spread=sparse or "left", left_block=5, right_block=7).collect()
     scores = a @ b.T
     for i in range(23):
         order = sorted((-scores[i, j], j) for j in range(31) if j != i and (i, j) not in seen)[:4]
@@ -136,7 +137,7 @@ def test_random_walks(spark):
     by_walk = {}
     for r in walks:
         by_walk.setdefault(r.walk, {})[r.step] = r.node
-    assert len(by_walk) == 20 * 65 and all(len(w) == 6 for w in by_walk.values())
+    assert len(by_walk) == 20 * 64 and all(len(w) == 6 for w in by_walk.values())
     assert all((w[i], w[i + 1]) in allowed for w in by_walk.values() for i in range(5))
     first = [w[1] for w in by_walk.values() if w[0] == "a"]
     assert set(first) == {"b", "c", "hub"} and first.count("c") > first.count("b")
