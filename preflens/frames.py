@@ -17,8 +17,6 @@ DEFAULT_K, DEFAULT_THRESHOLD, SEED = 10, 10, 42
 ROWS_PER_TASK = 4_000_000
 # A basket with more items than this is paired block by block.
 ITEMS_PER_BLOCK = 2_000
-# A table is broadcast by hand only if its row count was checked against this bound.
-BROADCAST_ROWS = 1_000_000
 
 
 def session(name: str = "preflens", **conf: str) -> SparkSession:
@@ -30,6 +28,7 @@ def session(name: str = "preflens", **conf: str) -> SparkSession:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
@@ -109,7 +108,7 @@ def stable(df: DataFrame) -> DataFrame:
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = sc.getConf().get("spark.checkpoint.dir")
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not sc.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
@@ -120,11 +119,6 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting at most ``max_rows`` + 1 rows; otherwise leave the join to AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def hot_groups(df: DataFrame, group: Sequence[str], limit: int, size: str | None = None) -> DataFrame | None:
     """Keys with more than ``limit`` rows, or None (one map-side combined count decides).
 

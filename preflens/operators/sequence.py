@@ -7,13 +7,19 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from preflens.frames import ITEM, ROWS_PER_TASK, SEED, TIMESTAMP, USER, rank_rows, top_k
+from preflens.frames import ITEM, ROWS_PER_TASK, SEED, TIMESTAMP, USER, hot_groups, rank_rows, top_k
 from preflens.functions.arrays import left_pad, right_pad
 from preflens.operators.negatives import draw_unseen
 from preflens.operators.prep import index_ids
 
 DAY = 86_400
 CHUNK = 10_000  # rows of a user handled together when histories have a length limit
+WHOLE_ROWS = 100_000  # longest history that is built without a length limit: it becomes an array
+
+
+def _check_length(df, user) -> None:
+    if hot_groups(df, [user], WHOLE_ROWS) is not None:
+        raise ValueError(f"a user has more than {WHOLE_ROWS} rows: give max_len")
 
 
 def instances(reviews, meta, default_cate="default_cat", user=USER, item=ITEM, timestamp=TIMESTAMP, cate="cate") -> DataFrame:
@@ -37,6 +43,7 @@ def expanding_history(
         entry = F.when(F.col(label) == 1, entry)
     sort = [F.col(c) for c in order]
     if max_len is None:
+        _check_length(df, user)
         before = Window.partitionBy(user).orderBy(*sort).rowsBetween(Window.unboundedPreceding, -1)
         out = df.withColumn("history", F.collect_list(entry).over(before))
     else:
@@ -57,6 +64,8 @@ def final_history(
     limit=ROWS_PER_TASK,
 ) -> DataFrame:
     """Last row of each user in each part, with the user's earlier rows (the last ``max_len``) as history."""
+    if max_len is None:
+        _check_length(df, user)
     ranked = rank_rows(df, [user], [(c, True) for c in order], "_pos", limit=limit)
     last = ranked.groupBy(user, part).agg(F.max("_pos").alias("_end"))
     past = ranked.select(user, "_pos", F.struct("_pos", *fields).alias("_e")).join(last, user)

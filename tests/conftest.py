@@ -11,7 +11,7 @@ from preflens.frames import session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = session("tests", **{
-        "spark.master": "local[4]", "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
+        "spark.master": "local[8]", "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
     })
     s.sparkContext.setLogLevel("ERROR")
     yield s
