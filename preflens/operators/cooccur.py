@@ -137,7 +137,7 @@ def recommend_k_items(aff, sim, k=DEFAULT_K, users=None, remove_seen=True, user=
     seen = wanted.select(user, item) if remove_seen else None
     left, right = _rows(wanted, user, item, "affinity"), _rows(both_ways(sim), "a", "b", "sim")
     # A user has few items, an item has many neighbours: large user blocks against small dense item blocks.
-    out = blocked_topk(left, right, k, seen, min_score=0.0, digits=DIGITS, spread="right", left_block=8192, right_block=256)
+    out = blocked_topk(left, right, k, seen, min_score=0.0, digits=DIGITS, spread="right", left_block=4096, right_block=1024)
     return out.select(F.col("left").alias(user), F.col("right").alias(item), F.col("score").alias(PREDICTION), "rank")
 
 
