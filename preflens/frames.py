@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Sequence
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -100,22 +103,53 @@ def _col(c) -> Column:
 # ---------------------------------------------------------------- lineage and size
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative result with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder of this application under ``spark.checkpoint.dir``, deleted when the driver ends.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a folder under /tmp is set
-    only when the session runs in local mode and names none.
+    Without that setting: the checkpoint folder of the context, else the warehouse, which every executor reaches too.
     """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/preflens-{context.applicationId}")
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    path = fs.makeQualified(path)
+    if not fs.exists(path):
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return path.toString()
+
+
+def share_bytes(spark: SparkSession, data: bytes, name: str) -> tuple[str, bool]:
+    """Write a small file to the shared folder; returns its path and whether it is new."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    fs = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if fs.exists(path):
+        return path.toString(), False
+    out = fs.create(path, True)
+    for i in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[i:i + (1 << 20)]))
+    out.close()
+    return path.toString(), True
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, wherever the driver was started (once per application)."""
+    root = Path(__file__).resolve().parent
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, str(file.relative_to(root.parent)))
+    path, new = share_bytes(spark, packed.getvalue(), f"{root.name}.zip")
+    if new:
+        spark.sparkContext.addPyFile(path)
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an iterative result with a reliable checkpoint in the folder all executors share."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
