@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from preflens.frames import ship
-from preflens.llm import packing
+from preflens.llm import packing, transducer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_transducer_bpe": op8_transducer_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {}
