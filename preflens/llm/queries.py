@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from preflens.frames import ship
-from preflens.llm import packing, transducer
+from preflens.llm import archive, packing, transducer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +22,14 @@ def op8_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.encode_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.archive(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_transducer_bpe": op8_transducer_bpe,
+    "op9_arc_to_warc": op9_arc_to_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {}
