@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from preflens.frames import ship
-from preflens.llm import archive, packing, transducer
+from preflens.llm import archive, language, packing, transducer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,6 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_languages(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -27,6 +31,7 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_bitmask": op1_language_bitmask,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_arc_to_warc": op9_arc_to_warc,
