@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from preflens.frames import ship
-from preflens.llm import archive, language, packing, transducer
+from preflens.llm import archive, language, packing, rules, transducer
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_language_bitmask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_languages(table(spark, sf_dir, "documents"))
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -32,6 +36,7 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
+    "op2_decision_list": op2_decision_list,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_arc_to_warc": op9_arc_to_warc,
