@@ -10,7 +10,7 @@ from preflens.frames import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = session("tests", **{
+    s = session("tests", **{"spark.ui.showConsoleProgress": "false",
         "spark.master": "local[8]", "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false", "spark.driver.memory": "6g",
     })
     s.sparkContext.setLogLevel("ERROR")
