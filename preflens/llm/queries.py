@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from preflens.frames import ship
-from preflens.llm import archive, language, packing, rules, transducer
+from preflens.llm import archive, fourier, language, packing, rules, transducer, weighted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fourier.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,6 +45,8 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_decision_list": op2_decision_list,
+    "op5_fourier_quality": op5_fourier_quality,
+    "op6_weighted_sampling": op6_weighted_sampling,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_arc_to_warc": op9_arc_to_warc,
