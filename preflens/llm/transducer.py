@@ -26,7 +26,7 @@ from preflens.llm.packing import byte_characters
 from preflens.llm.store import share_file
 
 LEXICON_WORDS = 65_536
-CACHE_WORDS = 150_000
+CACHE_WORDS = 300_000
 COUNTED_WORDS = 200_000
 SLICE_CHARS = 2_000_000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -143,11 +143,15 @@ class Rules:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.end = model["end_of_word_suffix"] or ""
-        self.rank = {tuple(m) if isinstance(m, list) else tuple(m.split(" ")): i for i, m in enumerate(model["merges"])}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        self.pairs = PairTable(np.array([self.vocab[a] << 20 | self.vocab[b] for a, b in merges], np.int64))
+        self.joined = np.array([self.vocab[a + b] for a, b in merges], np.int64)
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(pattern)
         self.byte = byte_characters()
         self.letter = {b: c for c, b in self.byte.items()}
+        self.inner = np.array([self.vocab[self.letter[b]] for b in range(256)], np.int64)
+        self.final = np.array([self.vocab[self.letter[b] + self.end] for b in range(256)], np.int64)
         self.library = Tokenizer.from_file(path)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
@@ -166,30 +170,90 @@ class Rules:
         found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(word))
         return [bytes(map(self.byte.__getitem__, p)) for p, _ in found]
 
-    def merge(self, part: bytes) -> list[int]:
-        """Join the neighbours of lowest rank, leftmost first, until none is left."""
-        symbols = [self.letter[b] for b in part]
-        symbols[-1] += self.end
-        rank, none = self.rank.get, len(self.rank)
-        while len(symbols) > 1:
-            ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]  # noqa: B905
-            best = min(ranks)
-            if best == none:
+    def merge(self, parts: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens: each joins its neighbours of lowest rank, leftmost first, until none is left; all at once."""
+        out: list[list[int]] = [[]] * len(parts)
+        if not parts:
+            return out
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        symbols = self.inner[data]
+        last = np.cumsum(size) - 1
+        symbols[last] = self.final[data[last]]
+        owner = np.arange(len(parts))
+        start = last - size + 1
+        none = len(self.pairs)
+        while len(owner):
+            length = np.diff(np.append(start, len(symbols)))
+            rank = np.full(len(symbols), none)
+            if len(symbols) > 1:
+                rank[:-1] = self.pairs.find(symbols[:-1] << 20 | symbols[1:])
+            rank[start + length - 1] = none
+            best = np.minimum.reduceat(rank, start)
+            done = best == none
+            if done.any():
+                inside = np.repeat(done, length)
+                flat, cut = symbols[inside].tolist(), np.append(0, np.cumsum(length[done])).tolist()
+                for i, word in enumerate(owner[done].tolist()):
+                    out[word] = flat[cut[i]:cut[i + 1]]
+                symbols, rank, owner, best, length = symbols[~inside], rank[~inside], owner[~done], best[~done], length[~done]
+            if not len(owner):
                 break
-            if ranks.count(best) == 1:
-                i = ranks.index(best)
-                symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
-                continue
-            out, i = [], 0
-            while i < len(symbols):
-                if i < len(ranks) and ranks[i] == best:
-                    out.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    out.append(symbols[i])
-                    i += 1
-            symbols = out
-        return [self.vocab[s] for s in symbols if s in self.vocab]
+            chosen = rank == np.repeat(best, length)
+            # In a run of equal pairs every other one joins.
+            at = np.flatnonzero(chosen)
+            head = np.append(True, np.diff(at) > 1)
+            at = at[(at - np.repeat(at[head], np.diff(np.append(np.flatnonzero(head), len(at))))) % 2 == 0]
+            symbols[at] = self.joined[rank[at]]
+            stay = np.ones(len(symbols), bool)
+            stay[at + 1] = False
+            first = np.cumsum(length) - length
+            symbols = symbols[stay]
+            start = (np.cumsum(stay) - stay)[first]
+        return out
+
+
+class PairTable:
+    """Rank of a pair of symbols by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n = len(keys)
+        self.bits = max(4, int(np.ceil(np.log2(4 * self.n + 1))))
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.ranks = np.full(1 << self.bits, self.n, np.int64)
+        self.probes = 0
+        left, at = np.arange(self.n), self.place(keys)
+        while len(left):
+            self.probes += 1
+            free = self.keys[at] == -1
+            _, first = np.unique(at, return_index=True)
+            put = first[free[first]]
+            self.keys[at[put]], self.ranks[at[put]] = keys[left[put]], left[put]
+            wait = np.ones(len(left), bool)
+            wait[put] = False
+            left, at = left[wait], (at[wait] + 1) & ((1 << self.bits) - 1)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks; the number of pairs where there is none."""
+        at = self.place(keys)
+        got = self.keys[at]
+        out = np.where(got == keys, self.ranks[at], self.n)
+        left = np.flatnonzero((got != keys) & (got != -1))
+        for _ in range(self.probes):
+            if not len(left):
+                break
+            at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[at[left]]
+            hit = got == keys[left]
+            out[left[hit]] = self.ranks[at[left[hit]]]
+            left = left[~hit & (got != -1)]
+        return out
 
 
 @functools.lru_cache(1)
@@ -219,15 +283,16 @@ class Encoder:
             new = list(set(words))
         split = [self.own.parts(w) for w in new]
         flat = [p for parts in split for p in parts]
-        numbers = iter(self.lexicon.numbers(flat).tolist() if self.lexicon else [-1] * len(flat))
-        text_of = self.own.text_of
+        numbers = self.lexicon.numbers(flat).tolist() if self.lexicon else [-1] * len(flat)
+        merged = iter(self.own.merge([p for p, n in zip(flat, numbers, strict=True) if n < 0]))
+        text_of, known, shown, at = self.own.text_of, self.known, self.shown, 0
         for word, parts in zip(new, split, strict=True):
             ids = []
-            for part in parts:
-                number = next(numbers)
-                ids += self.lexicon.ids_of(number) if number >= 0 else self.own.merge(part)
-            self.known[word] = " ".join(map(str, ids))
-            self.shown[word] = " ".join([text_of[i] for i in ids])
+            for n in numbers[at:at + len(parts)]:
+                ids += self.lexicon.ids_of(n) if n >= 0 else next(merged)
+            at += len(parts)
+            known[word] = " ".join(map(str, ids))
+            shown[word] = " ".join([text_of[i] for i in ids])
 
     def pieces(self, text: str) -> list[tuple[str, list[str]]]:
         """(special token or "", words) in order."""
@@ -300,7 +365,7 @@ def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", size: i
     top = word_counts(df, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
     own = rules(tokenizer)
     words = sorted({p for r in top for p in own.parts(r["word"])})
-    return share_file(df.sparkSession, pack_file(words, [own.merge(w) for w in words]), "lexicon") if words else None
+    return share_file(df.sparkSession, pack_file(words, own.merge(words)), "lexicon") if words else None
 
 
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon: str | None = None, with_ids: bool = False) -> DataFrame:
