@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from preflens.frames import ship
-from preflens.llm import archive, fourier, language, packing, rules, transducer, weighted
+from preflens.llm import archive, fourier, jaccard, language, packing, rules, transducer, weighted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.archive(table(spark, sf_dir, "pages"))
 
 
+def op10_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_decision_list": op2_decision_list,
@@ -50,6 +54,7 @@ QUERIES = {
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_arc_to_warc": op9_arc_to_warc,
+    "op10_trie_jaccard": op10_trie_jaccard,
 }
 
 ORACLE_SQL: dict[str, str] = {}
