@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflens.llm.store import keep
+from preflens.llm.store import keep, most_frequent
 from preflens.llm.words import row_slices, shingle_hashes, text_bytes, word_hashes
 
 SIZE, PERCENT = 3, 90
@@ -75,8 +75,8 @@ def recurring(df: DataFrame, text_col: str, size: int, limit: int = RANKED) -> n
         yield flush()
 
     counts = df.select(F.col(text_col).cast("string")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "shingle").limit(limit).toArrow()
-    return top.column("shingle").to_numpy().view(np.uint64)[::-1].copy()
+    top = most_frequent(counts, limit).orderBy("n", "shingle").toArrow()
+    return top.column("shingle").to_numpy().view(np.uint64)
 
 
 def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:

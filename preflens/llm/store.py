@@ -6,6 +6,7 @@ import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from preflens.frames import share_bytes, shared_folder
 
@@ -38,3 +39,19 @@ def share_file(spark: SparkSession, data: bytes, name: str) -> str:
     if new:
         spark.sparkContext.addFile(path)
     return name
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """Rows of highest ``n``, ``limit`` at most, among those that occur twice.
+
+    A histogram of the logarithm of n gives the cut, so no task sends its own top rows to the driver; a step of the histogram
+    is taken whole or not at all.
+    """
+    counts = keep(counts.filter("n > 1"), "counts")
+    step = F.floor(F.log2("n") * 64)
+    taken, cut = 0, None
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # some thousand rows at most
+        if taken + r["count"] > limit:
+            break
+        taken, cut = taken + r["count"], r["step"]
+    return counts.filter(step >= cut) if cut is not None else counts.limit(0)
