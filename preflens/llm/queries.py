@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from preflens.frames import ship
-from preflens.llm import archive, fourier, jaccard, language, packing, rules, transducer, weighted
+from preflens.llm import archive, chunks, fourier, jaccard, language, packing, rules, transducer, weighted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chunks.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("n_removed", F.size("removed").cast("long"))
+
+
 def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fourier.held_out_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +55,7 @@ def op10_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_decision_list": op2_decision_list,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_fourier_quality": op5_fourier_quality,
     "op6_weighted_sampling": op6_weighted_sampling,
     "op7_best_fit_packing": op7_best_fit_packing,
