@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preflens.frames import ship
-from preflens.llm import archive, chunks, fourier, jaccard, language, packing, rules, transducer, weighted
+from preflens.llm import archive, chunks, classlm, fourier, jaccard, language, packing, rules, transducer, weighted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classlm.held_out_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chunks.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumn("n_removed", F.size("removed").cast("long"))
@@ -55,6 +59,7 @@ def op10_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_decision_list": op2_decision_list,
+    "op3_brown_classes": op3_brown_classes,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_fourier_quality": op5_fourier_quality,
     "op6_weighted_sampling": op6_weighted_sampling,
