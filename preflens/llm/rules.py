@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from preflens.llm.store import keep
 
-SAMPLE_ROWS = 50_000  # bound of the labelled rows that a list is learned from
+SAMPLE_ROWS = 50_000  # a list is learned from about so many labelled rows at most
 QUANTILES = 24
 MAX_RULES, MAX_CONDITIONS = 8, 3
 MIN_PRECISION, MIN_COVER = 0.9, 3
@@ -100,13 +100,16 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def learn(labelled: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
-    """Decision list for ``_bad`` (boolean) from rows with ``_s``; ``key`` orders the bounded sample by hash.
+    """Decision list for ``_bad`` (boolean) from rows with ``_s``; the hash of ``key`` picks the bounded sample.
 
     The result is an ordered list of rejecting rules; it is empty without rows of both kinds or without a precise rule.
     """
     names = list(SHARES)
     hashed = F.xxhash64(F.col(key), F.lit(seed))
-    sample = labelled.orderBy(hashed, key).limit(sample_rows).select("_bad", (F.pmod(hashed, F.lit(3)) == 0).alias("_aside"), *[F.expr(SHARES[c]).alias(c) for c in names])
+    rows = labelled.count()
+    if rows > sample_rows:  # a share by hash of the key, about sample_rows
+        labelled = labelled.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1 << 40)) < int(sample_rows / rows * (1 << 40)))
+    sample = labelled.select("_bad", (F.pmod(hashed, F.lit(3)) == 0).alias("_aside"), *[F.expr(SHARES[c]).alias(c) for c in names])
     sample = keep(sample, "labelled")
     # Thresholds: quantiles of all rows and of the rejected ones.
     points = [i / QUANTILES for i in range(QUANTILES)]
