@@ -180,8 +180,8 @@ def running(
 
     ``order`` lists (column, ascending); together with ``group`` it has to be unique per row.
     A count decides first: groups of at most ``limit`` rows use one window. A group over it - such as the
-    whole table when ``group`` is empty - is cut along the order columns into slices of about ``limit``
-    rows; each slice is summed by its own task and the sums of the slices before it are added from a
+    whole table when ``group`` is empty - is cut along the order columns into ranges of about ``limit``
+    rows; each range is summed by its own task and the sums of the slices before it are added from a
     table of one row per slice. ``sizes`` (group, n) spares the count of costly rows.
     """
     total = total or {}
@@ -192,11 +192,18 @@ def running(
     if hot is None:
         return _running_plain(df, group, order, sums, total)
     hot = F.broadcast(hot)  # at most rows / limit keys
-    cold_part = _running_plain(df.join(hot, group, "left_anti"), group, order, sums, total)
-    hot_part = _running_sliced(df.join(hot, group, "left_semi"), group, order, sums, total, limit)
+    cold_part = _running_plain(same_keys(df, hot, group, "left_anti"), group, order, sums, total)
+    hot_part = _running_sliced(same_keys(df, hot, group, "left_semi"), group, order, sums, total, limit)
     return cold_part.unionByName(hot_part)
 
 
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Join on equal keys, where null equals null; the keys of ``right`` are not repeated."""
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    return left.join(other, on, how).drop(*[f"_k_{k}" for k in keys])
+
+
 def _sort(order):
     return [F.col(c).asc() if asc else F.col(c).desc() for c, asc in order]
 
@@ -210,63 +217,34 @@ def _running_plain(df, keys, order, sums, total, base=None):
 
 
 def _running_sliced(df, group, order, sums, total, limit):
-    cut = df
-    for level in (1, 2):
-        cut = _slice(cut, group + [f"_s{i}" for i in range(1, level)], order, f"_s{level}", limit)
-    keys = group + ["_s1", "_s2"]
+    cut = in_ranges(df, group, order, limit)
+    keys = [*group, "_slice"]
     per_slice = cut.groupBy(*keys).agg(
         *[F.sum(c).alias(f"_b_{n}") for n, c in sums.items()],
         *[F.sum(c).alias(f"_t_{n}") for n, c in total.items()],
     )
     # One row per slice: a group has rows / limit of them, so this window is small.
     w = Window.partitionBy(*group)
-    before = w.orderBy("_s1", "_s2").rowsBetween(Window.unboundedPreceding, -1)
+    before = w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
         *keys,
         *[F.coalesce(F.sum(f"_b_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums],
         *[F.sum(f"_t_{n}").over(w).alias(n) for n in total],
     )
-    out = _running_plain(cut.repartition(*keys), keys, order, sums, {})
-    out = out.join(offsets, keys)
+    out = same_keys(_running_plain(cut, keys, order, sums, {}), offsets, keys, "inner")
     out = out.withColumns({n: F.col(n) + F.col(f"_b_{n}") for n in sums})
-    return out.drop("_s1", "_s2", *[f"_b_{n}" for n in sums])
-
-
-def _slice(df, keys, order, name, limit):
-    """Number the slice of the order range a row falls in; follows the sort order inside every key."""
-    aggs = [F.count(F.lit(1)).alias("_sn")]
-    for i, (c, asc) in enumerate(order[:2]):
-        x = _number(df, c, asc)
-        aggs += [F.min(x).alias(f"_slo{i}"), F.max(x).alias(f"_shi{i}")]
-    wide = df.groupBy(*keys).agg(*aggs).filter(F.col("_sn") > limit)
-    wide = wide.withColumn("_sparts", F.ceil(F.col("_sn") / limit))
-
-    def place(i):
-        c, asc = order[i]
-        lo, hi = F.col(f"_slo{i}"), F.col(f"_shi{i}")
-        at = F.floor((_number(df, c, asc) - lo) / (hi - lo) * F.col("_sparts"))
-        at = F.coalesce(at, F.lit(0) if asc else F.col("_sparts") - 1)  # nulls first ascending, last descending
-        return F.when(hi > lo, F.least(at, F.col("_sparts") - 1))
-
-    # Cut along the first column; where it holds one value only, along the tie breaker.
-    where = reduce(lambda a, b: F.coalesce(a, b), [place(i) for i in range(min(2, len(order)))])
-    cut = df.join(F.broadcast(wide), list(keys), "left")  # at most rows / limit entries
-    cut = cut.withColumn(name, F.coalesce(where, F.lit(0)).cast("int"))
-    return cut.drop(*[c for c in wide.columns if c not in keys])
-
-
-def _number(df: DataFrame, name: str, asc: bool) -> Column:
-    """Number that follows the sort order of a column (never decreasing; ties are allowed)."""
-    t = df.schema[name].dataType
-    c = F.col(name)
-    if isinstance(t, T.StringType):
-        prefix = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
-        x = F.conv(prefix, 16, 10).cast("double")
-    elif isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        x = F.unix_micros(c.cast("timestamp")).cast("double")
-    else:
-        x = c.cast("double")
-    return x if asc else -x
+    return out.drop("_slice", *[f"_b_{n}" for n in sums])
+
+
+def in_ranges(df: DataFrame, group: Sequence[str], order: Sequence[tuple[str, bool]], limit: int) -> DataFrame:
+    """Add ``_slice``: the number of the range of (group, order) a row falls in, about ``limit`` rows each.
+
+    Spark draws the bounds from the values of all columns, nulls included, and compares whole rows with them. The table is
+    checkpointed: bounds of a second run could differ.
+    """
+    rows = df.count()
+    ranged = df.repartitionByRange(max(1, -(-rows // limit)), *[F.col(g) for g in group], *_sort(order))
+    return stable(ranged.withColumn("_slice", F.spark_partition_id()))
 
 
 def rank_rows(

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from preflens.frames import (
     DEFAULT_K, ITEM, ITEMS_PER_BLOCK, PREDICTION, RATING, TIMESTAMP, USER, item_pairs, top_k,
 )
-from preflens.operators.blocked import blocked_topk
 from preflens.operators.prep import exponential_decay
 
 DIGITS = 10  # scores are sums without a fixed order; rounded, equal scores tie
@@ -114,31 +113,31 @@ def normalized_scores(aff, sim, low, high, n_items, seen=None, user=USER, item=I
     floor = F.when(F.col("_n") < n_items, F.least(F.col("_min"), F.lit(0.0))).otherwise(F.col("_min")) * low
     top = F.greatest(F.col("_max"), F.when(F.col("_n") < n_items, 0.0)) * high
     out = cells.join(bounds, user).select(
-        user, item, (F.try_divide(F.col("_s") - floor, top - floor) * (high - low) + low).alias(PREDICTION)
+        user, item, F.round(F.try_divide(F.col("_s") - floor, top - floor) * (high - low) + low, DIGITS).alias(PREDICTION)
     )
     return out if seen is None else out.join(seen.select(user, item), [user, item], "left_anti")
 
 
-def _rows(df, row, col, value) -> DataFrame:
-    """Sparse rows (id, idx, vec); a row is as long as the catalogue at most."""
-    cells = F.sort_array(F.collect_list(F.struct(F.col(col).cast("long").alias("i"), F.col(value).cast("double").alias("v"))))
-    return df.groupBy(F.col(row).alias("id")).agg(cells.alias("_c")).select(
-        "id", F.col("_c.i").alias("idx"), F.col("_c.v").alias("vec")
-    )
-
-
-def recommend_k_items(aff, sim, k=DEFAULT_K, users=None, remove_seen=True, user=USER, item=ITEM) -> DataFrame:
-    """Best k reached items per user. Item ids have to be integers (see ``index_ids``).
+def recommend_k_items(
+    aff, sim, k=DEFAULT_K, users=None, remove_seen=True, user=USER, item=ITEM, normalize: tuple | None = None, check=False,
+) -> DataFrame:
+    """Best k reached items per user, whatever the sign of their scores.
 
-    Users and items are multiplied block against block, so neither the products nor the full score table
-    are ever shuffled.
+    Affinity meets similarity on the item, products are summed before and after the shuffle, and only k rows per user are
+    sorted. ``normalize`` (low, high, n_items) brings the scores to the rating range; ``check`` raises on repeated pairs and
+    on users without affinity.
     """
+    if check:
+        require_unique(aff, user, item)
+        if users is not None:
+            require_known_users(users, aff, user)
     wanted = aff if users is None else aff.join(users.select(user).distinct(), user, "left_semi")
-    seen = wanted.select(user, item) if remove_seen else None
-    left, right = _rows(wanted, user, item, "affinity"), _rows(both_ways(sim), "a", "b", "sim")
-    # A user has few items, an item has many neighbours: large user blocks against small dense item blocks.
-    out = blocked_topk(left, right, k, seen, min_score=0.0, digits=DIGITS, spread="right", left_block=4096, right_block=1024)
-    return out.select(F.col("left").alias(user), F.col("right").alias(item), F.col("score").alias(PREDICTION), "rank")
+    seen = wanted if remove_seen else None
+    if normalize is None:
+        scored = scores(wanted, sim, seen, user, item)
+    else:
+        scored = normalized_scores(wanted, sim, *normalize, seen, user, item)
+    return top_k(scored, [user], [F.col(PREDICTION).desc(), F.col(item)], k)
 
 
 def require_known_users(test, train, user=USER) -> None:

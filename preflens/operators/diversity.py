@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflens.frames import ITEM, RELEVANCE, USER, item_pairs
+from preflens.frames import ITEM, RELEVANCE, USER, item_pairs, require_disjoint, require_rows
 from preflens.functions.arrays import cosine
 from preflens.operators.cooccur import item_similarity
 
@@ -17,6 +17,21 @@ def cooccurrence_sim(train, user=USER, item=ITEM) -> DataFrame:
     return item_similarity(train, "cosine", 1, user, item)
 
 
+def cooccurrence_sim_of(pairs, train, user=USER, item=ITEM) -> DataFrame:
+    """The same similarity for the pairs asked for: the users of the rarer item are looked up for the other one."""
+    owned = train.select(user, item).distinct()
+    freq = owned.groupBy(item).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    wanted = pairs.select("i1", "i2").distinct()
+    wanted = wanted.join(freq.select(F.col(item).alias("i1"), F.col("_n").alias("_a")), "i1")
+    wanted = wanted.join(freq.select(F.col(item).alias("i2"), F.col("_n").alias("_b")), "i2")
+    rare = F.when(F.col("_a") <= F.col("_b"), F.struct(F.col("i1").alias("x"), F.col("i2").alias("y"))).otherwise(F.struct(F.col("i2").alias("x"), F.col("i1").alias("y")))
+    users = wanted.withColumn("_r", rare).join(owned.select(F.col(user).alias("_u"), F.col(item).alias("_x")), F.col("_r.x") == F.col("_x"))
+    both = users.select("i1", "i2", "_a", "_b", "_u", F.col("_r.y").alias("_y")).join(
+        owned.select(F.col(user).alias("_v"), F.col(item).alias("_z")), (F.col("_u") == F.col("_v")) & (F.col("_y") == F.col("_z")))
+    counts = both.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("_c"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    return counts.select("i1", "i2", (F.col("_c") / F.sqrt(F.col("_a") * F.col("_b"))).alias("sim"))
+
+
 def feature_sim(pairs, features, item=ITEM, vec="features") -> DataFrame:
     """(i1, i2, sim) cosine of feature vectors, for the pairs asked for instead of all pairs of items."""
     if features.schema[vec].dataType.typeName() == "vectorudt":
@@ -32,7 +47,7 @@ def feature_sim(pairs, features, item=ITEM, vec="features") -> DataFrame:
 
 def _similarity(pairs, train, features, measure, user, item):
     if measure == COOCCURRENCE:
-        return cooccurrence_sim(train, user, item)
+        return cooccurrence_sim_of(pairs, train, user, item)
     if measure == FEATURES:
         if features is None:
             raise ValueError("item features are needed for this measure")
@@ -40,8 +55,20 @@ def _similarity(pairs, train, features, measure, user, item):
     raise ValueError(f"unknown similarity measure {measure!r}")
 
 
-def intralist_sim(train, reco, features=None, measure=COOCCURRENCE, user=USER, item=ITEM) -> DataFrame:
-    """Mean similarity of the item pairs in each user's list; unknown pairs count 0. One-item lists have no row."""
+def _check(train, reco, user, item) -> None:
+    """Raise on an empty table and on recommended pairs that train holds."""
+    require_rows(train, "train")
+    require_rows(reco, "reco")
+    require_disjoint(train, reco, [user, item])
+
+
+def intralist_sim(train, reco, features=None, measure=COOCCURRENCE, user=USER, item=ITEM, check=False) -> DataFrame:
+    """Mean similarity of the item pairs in each user's list; unknown pairs count 0. One-item lists have no row.
+
+    ``check`` raises when a table is empty or a recommended pair is in train, here and in the metrics made from it.
+    """
+    if check:
+        _check(train, reco, user, item)
     pairs = item_pairs(reco, [user], item, with_self=False)
     sim = _similarity(pairs, train, features, measure, user, item)
     joined = pairs.join(sim, ["i1", "i2"], "left")
@@ -72,8 +99,12 @@ def novelty(train, reco, item=ITEM) -> DataFrame:
     return joined.agg(value.alias("novelty"))
 
 
-def user_item_serendipity(train, reco, features=None, measure=COOCCURRENCE, user=USER, item=ITEM, relevance=RELEVANCE):
+def user_item_serendipity(
+    train, reco, features=None, measure=COOCCURRENCE, user=USER, item=ITEM, relevance=RELEVANCE, check=False,
+):
     """(1 - mean similarity to the user's training items) x relevance, for each recommended row."""
+    if check:
+        _check(train, reco, user, item)
     listed = reco if relevance in reco.columns else reco.withColumn(relevance, F.lit(1.0))
     listed = listed.select(user, item, relevance)
     past = train.select(user, F.col(item).alias("_past")).distinct()

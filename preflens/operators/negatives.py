@@ -17,13 +17,14 @@ from preflens.frames import (
 )
 from preflens.operators.prep import index_ids
 
-STEP = 1_000_003  # prime; strides through the unseen positions without meeting one twice
 SPAN = 1_024  # numbers per lookup block
+SHIFT = 1_000_003  # prime; strides through the shifts of the circle of products
 
 
-def _distinct_position(start: Column, j: Column, pool: Column) -> Column:
-    step = F.when(pool % STEP == 0, F.lit(1)).otherwise(F.lit(STEP))
-    return F.pmod(F.floor(start * pool) + j * step, pool)
+def _stratum_position(draw: Column, j: Column, n: Column, pool: Column) -> Column:
+    """Random place in the j-th of n equal parts of [0, pool): n different places, each as likely as any other."""
+    low, high = F.floor(j * pool / n), F.floor((j + 1) * pool / n)
+    return low + F.floor(draw * (high - low))
 
 
 def unseen_sizes(seen: DataFrame, items: DataFrame, user=USER, item=ITEM) -> DataFrame:
@@ -63,7 +64,7 @@ def draw_unseen(need, seen, items, keys=(), seed=SEED, replace=False, user=USER,
     if replace:
         p = F.floor(unit_hash(seed, user, *keys, "j") * F.col("pool"))
     else:
-        p = _distinct_position(unit_hash(seed, user, *keys), F.col("j"), F.col("pool"))
+        p = _stratum_position(unit_hash(seed, user, *keys, "j"), F.col("j"), F.col("_n"), F.col("pool"))
     sizes = sized.groupBy(user).agg((F.sum(n) + F.first("n_seen")).alias("n"))
     return unseen_items(drawn.select(user, *keys, "j", p.alias("p")), seen, items, user, item, limit, sizes)
 
@@ -167,28 +168,36 @@ def pair_key(a, b) -> Column:
 
 
 def negative_edges(known, val, n: Column | int, seed=SEED, a="product1", b="product2", limit=ROWS_PER_TASK) -> DataFrame:
-    """n distinct product pairs among the products of ``val`` that are no known edge.
+    """n distinct product pairs among the products of ``val`` that are no known edge; raises when fewer exist.
 
-    Products stand in hash order on a circle; round r pairs each product with the one a hashed number of
-    places ahead. Twice the wanted number is drawn and the first n unknown pairs stay.
+    Products stand in hash order on a circle; round r pairs each product with the one a given number of places ahead, another
+    number in each round, so no pair comes twice. Enough rounds are made for n pairs even if they hit every known edge.
     """
     nodes = val.select(F.col(a).alias("node")).union(val.select(F.col(b).alias("node"))).distinct()
     nodes = nodes.withColumn("_h", unit_hash(seed, "node"))
-    nodes = rank_rows(nodes, [], [("_h", True), ("node", True)], "_i", "_m", limit).drop("_h")
-    nodes = nodes.withColumn("_i", F.col("_i") - 1)
-    wanted = n if isinstance(n, Column) else F.lit(n)
-    rounds = F.ceil(wanted * 2 / F.col("_m"))
-    drawn = nodes.filter("_m > 1").withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1)))
-    ahead = 1 + F.floor(unit_hash(seed, F.lit("round"), "_r") * (F.col("_m") - 1))
+    nodes = stable(rank_rows(nodes, [], [("_h", True), ("node", True)], "_i", limit=limit).select("node", (F.col("_i") - 1).alias("_i")))
+    edges = known.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).filter(F.col(a) != F.col(b)).distinct()
+    inside = edges.join(nodes.select(F.col("node").alias(a)), a, "left_semi").join(nodes.select(F.col("node").alias(b)), b, "left_semi")
+    m, taken = nodes.count(), inside.count()
+    wanted = known.sparkSession.range(1).select(n).first()[0] if isinstance(n, Column) else int(n)
+    free = m * (m - 1) // 2 - taken
+    if wanted > free:
+        raise ValueError(f"only {free} pairs without an edge for {wanted} negatives")
+    if not wanted:
+        return inside.limit(0)
+    shifts = m // 2  # the last one of an even circle gives m / 2 pairs, the others m
+    rounds = min(shifts, -(-(wanted + taken) // m) + 1)
+    step = SHIFT if shifts % SHIFT else 1
+    start = F.floor(unit_hash(seed, F.lit("round")) * shifts)
+    drawn = nodes.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(rounds - 1).cast("long"))))
+    ahead = 1 + F.pmod(start + F.col("_r") * step, F.lit(shifts))
+    drawn = drawn.filter((2 * ahead < m) | (F.col("_i") < ahead))
     drawn = drawn.select(
-        F.col("node").alias("_x"), (F.col("_r") * F.col("_m") + F.col("_i")).alias("_d"),
-        F.pmod(F.col("_i") + ahead, F.col("_m")).alias("_j"),
+        F.col("node").alias("_x"), (F.col("_r") * m + F.col("_i")).alias("_d"), F.pmod(F.col("_i") + ahead, F.lit(m)).alias("_j"),
     )
     other = nodes.select(F.col("node").alias("_y"), F.col("_i").alias("_j"))
     pairs = drawn.join(other, "_j").select(F.least("_x", "_y").alias(a), F.greatest("_x", "_y").alias(b), "_d")
-    pairs = pairs.groupBy(a, b).agg(F.min("_d").alias("_d"))
-    edges = known.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b))
-    fresh = rank_rows(pairs.join(edges, [a, b], "left_anti"), [], [("_d", True)], "_k", limit=limit)
+    fresh = rank_rows(pairs.join(inside, [a, b], "left_anti"), [], [("_d", True)], "_k", limit=limit)
     return fresh.filter(F.col("_k") <= wanted).select(a, b)
 
 
@@ -208,7 +217,7 @@ def edge_split(edges, val_share=0.1, seen_only=False, seed=SEED, a="product1", b
         kept = held.join(nodes.withColumnRenamed("_x", a), a, "left_semi").join(nodes.withColumnRenamed("_x", b), b, "left_semi")
         train = edges.join(kept.select(a, b), [a, b], "left_anti")
         held = kept
-    wanted = held.agg(F.count(F.lit(1))).scalar()
+    wanted = held.count()
     neg = negative_edges(ranked, held, wanted, seed, a, b, limit)
     val = held.select(a, b, F.lit(1).alias("edge")).unionByName(neg.select(a, b, F.lit(0).alias("edge")))
     return train, val

@@ -25,8 +25,8 @@ def cleaned(column: str, normal: bool = True) -> str:
 VIEWS = {
     "tokens": f"""SELECT doc_id, list_filter(regexp_extract_all({cleaned('text')}, '[\\p{{L}}\\p{{N}}_]{{2,}}'),
         lambda t: NOT list_contains({_STOP}, t)) AS toks FROM documents""",
-    "grams": """SELECT doc_id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]))) AS term
-        FROM tokens""",
+    "grams": """SELECT doc_id, unnest(list_concat(toks, list_transform(range(1, len(toks)), lambda i: toks[i] || ' ' || toks[i + 1]),
+        list_transform(range(1, len(toks) - 1), lambda i: toks[i] || ' ' || toks[i + 1] || ' ' || toks[i + 2]))) AS term FROM tokens""",
     "tf": "SELECT doc_id, term, count(*) AS tf FROM grams GROUP BY 1, 2",
     "dfreq": "SELECT term, count(*) AS df FROM tf GROUP BY 1",
     "raw_w": """SELECT doc_id, term, df, tf * (ln((1 + (SELECT count(*) FROM documents)) / CAST(1 + df AS DOUBLE)) + 1) AS w
@@ -103,11 +103,11 @@ def word_punct_tokens(spark, sf):
 
 @add("doc_ngrams", "SELECT doc_id, term, tf FROM tf")
 def doc_ngrams(spark, sf):
-    return text.term_counts(_cleaned(spark, sf), "doc_id", "cleaned_text", (1, 2), STOP_WORDS)
+    return text.term_counts(_cleaned(spark, sf), "doc_id", "cleaned_text", (1, 3), STOP_WORDS)
 
 
 def _weights(spark, sf):
-    return text.tfidf(_cleaned(spark, sf), "doc_id", "cleaned_text", (1, 2), 0, STOP_WORDS)
+    return text.tfidf(_cleaned(spark, sf), "doc_id", "cleaned_text", (1, 3), 0, STOP_WORDS)
 
 
 @add("tfidf", "SELECT doc_id, term, df, round(weight, 6) AS weight FROM weights")
@@ -124,7 +124,8 @@ def doc_topk(spark, sf):
 @add("doc_recommend", """SELECT rank, round(similarity, 6) AS similarity_score, other AS doc_id, lang, source FROM doc_best b
     JOIN documents d ON d.doc_id = b.other WHERE b.doc_id = 3""")
 def doc_recommend(spark, sf):
-    top = text.doc_topk(_weights(spark, sf), "doc_id")
+    weights = _weights(spark, sf)
+    top = text.doc_topk(weights, "doc_id", queries=weights.filter("doc_id = 3"))
     out = text.doc_recommend(top, _documents(spark, sf), 3, "doc_id", ["lang", "source"])
     return rounded(out.withColumn("rank", F.col("rank").cast("long")), "similarity_score")
 
@@ -260,10 +261,14 @@ _EDGE = {
     "held": "SELECT * FROM cut WHERE k <= n_val",
     "nodes": f"""SELECT node, row_number() OVER (ORDER BY {h('42', 'node')}, node) - 1 AS i, count(*) OVER () AS m
         FROM (SELECT product1 AS node FROM held UNION SELECT product2 FROM held)""",
-    "rounds": f"""SELECT r, 1 + CAST(floor({h('42', "'round'", 'r')} * ((SELECT count(*) FROM nodes) - 1)) AS BIGINT) AS ahead
-        FROM range(CAST(ceil((SELECT count(*) FROM held) * 2.0 / (SELECT count(*) FROM nodes)) AS BIGINT)) t(r)""",
-    "paired": """SELECT least(a.node, b.node) AS product1, greatest(a.node, b.node) AS product2, min(r * a.m + a.i) AS d
-        FROM nodes a CROSS JOIN rounds JOIN nodes b ON b.i = (a.i + ahead) % a.m GROUP BY 1, 2""",
+    "circle": """SELECT count(*) AS m, count(*) // 2 AS shifts, (SELECT count(*) FROM held) AS wanted,
+        (SELECT count(*) FROM (SELECT DISTINCT product1, product2 FROM edges WHERE product1 <> product2
+          AND product1 IN (SELECT node FROM nodes) AND product2 IN (SELECT node FROM nodes))) AS taken FROM nodes""",
+    "rounds": f"""SELECT r, 1 + (CAST(floor({h('42', "'round'")} * shifts) AS BIGINT)
+          + r * CASE WHEN shifts % {negatives.SHIFT} = 0 THEN 1 ELSE {negatives.SHIFT} END) % shifts AS ahead
+        FROM (SELECT *, unnest(range(least(shifts, CAST(ceil((wanted + taken) / CAST(m AS DOUBLE)) AS BIGINT) + 1))) AS r FROM circle)""",
+    "paired": """SELECT least(a.node, b.node) AS product1, greatest(a.node, b.node) AS product2, r * a.m + a.i AS d
+        FROM nodes a CROSS JOIN rounds JOIN nodes b ON b.i = (a.i + ahead) % a.m WHERE 2 * ahead < a.m OR a.i < ahead""",
     "fresh": """SELECT product1, product2, row_number() OVER (ORDER BY d) AS k FROM paired p
         WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.product1 = p.product1 AND e.product2 = p.product2)""",
     "negs": "SELECT product1, product2 FROM fresh WHERE k <= (SELECT count(*) FROM held)",
@@ -278,7 +283,7 @@ def edge_split(spark, sf):
 @add("negative_edges", "SELECT product1, product2 FROM negs", **{**_EDGE, "held": "SELECT * FROM edges"})
 def negative_edges(spark, sf):
     edges = _edges(spark, sf)
-    return negatives.negative_edges(edges, edges, edges.agg(F.count(F.lit(1))).scalar())
+    return negatives.negative_edges(edges, edges, edges.count())
 
 
 def _walks(spark, sf):

@@ -182,9 +182,6 @@ def sample_items(spark, sf):
 
 # ---------------------------------------------------------------- negatives
 
-STEP = negatives.STEP
-
-
 def unseen_views(seen: str, pool: str, need: str, keys: str = "", replace: bool = False) -> dict[str, str]:
     """SQL for ``draw_unseen``: view drawn has the user, the keys, j and the item."""
     names = f'"userID"{", " + keys if keys else ""}'
@@ -193,8 +190,9 @@ def unseen_views(seen: str, pool: str, need: str, keys: str = "", replace: bool
         p = f"CAST(floor({h('42', *seeds, 'j')} * pool) AS BIGINT)"
         n = "n"
     else:
-        p = f"(CAST(floor({h('42', *seeds)} * pool) AS BIGINT) + j * CASE WHEN pool % {STEP} = 0 THEN 1 ELSE {STEP} END) % pool"
         n = "least(n, pool)"
+        low, high = f"j * pool // {n}", f"(j + 1) * pool // {n}"
+        p = f"{low} + CAST(floor({h('42', *seeds, 'j')} * ({high} - {low})) AS BIGINT)"
     return {
         "pool": f'SELECT "itemID", row_number() OVER (ORDER BY "itemID") - 1 AS idx FROM (SELECT DISTINCT "itemID" FROM {pool})',
         "seen_at": f"""SELECT s."userID", idx - (row_number() OVER (PARTITION BY s."userID" ORDER BY idx) - 1) AS t
@@ -230,9 +228,9 @@ def neg_with_replacement(spark, sf):
 @add("loo_test_batches", f"""SELECT {PAIR}, batch, 1 AS label FROM batches UNION ALL SELECT {PAIR}, batch, 0 FROM drawn""",
      batches=f"""SELECT {PAIR}, row_number() OVER (ORDER BY {PAIR}) - 1 AS batch FROM test
        WHERE "userID" IN (SELECT "userID" FROM train)""",
-     **unseen_views("interactions", "train", 'SELECT "userID", batch, 20 AS n FROM batches', "batch"))
+     **unseen_views("interactions", "train", 'SELECT "userID", batch, 100 AS n FROM batches', "batch"))
 def loo_test_batches(spark, sf):
-    return negatives.loo_test_batches(fx.train(spark, sf), fx.test(spark, sf), 20)
+    return negatives.loo_test_batches(fx.train(spark, sf), fx.test(spark, sf), 100)
 
 
 @add("bpr_triples", """SELECT p."userID", p.pos, d."itemID" AS neg FROM (SELECT "userID", arg_min("itemID", """
@@ -278,7 +276,7 @@ def impression_negatives(spark, sf):
 
 @add("candidates_unseen", f"""SELECT {PAIR}, rank FROM (SELECT *, row_number() OVER (PARTITION BY "userID" ORDER BY s DESC, "itemID") AS rank
     FROM (SELECT {PAIR}, {h('p', PAIR)} AS s FROM (SELECT {PAIR} FROM interactions UNION SELECT {PAIR} FROM distractors) a
-      WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."userID" = a."userID" AND t."itemID" = a."itemID")) WHERE s <> 0) WHERE rank <= 10""")
+      WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."userID" = a."userID" AND t."itemID" = a."itemID"))) WHERE rank <= 10""")
 def candidates_unseen(spark, sf):
     pairs = fx.interactions(spark, sf).select(USER, ITEM).union(fx.distractors(spark, sf)).distinct()
     out = candidates.candidates_unseen(pairs.withColumn(PREDICTION, unit_hash("p", USER, ITEM)), fx.train(spark, sf))

@@ -182,6 +182,32 @@ def sar_topk(spark, sf):
     return rounded(out.withColumn("rank", F.col("rank").cast("long")), PREDICTION)
 
 
+@add("sar_topk_mi", f"""SELECT {PAIR}, rank, round(score, 6) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY "userID"
+      ORDER BY score DESC, "itemID") AS rank FROM (
+        SELECT t."userID", s.b AS "itemID", round(sum(t.rating * s.sim), 10) AS score FROM train t JOIN mi_both s ON s.a = t."itemID" GROUP BY 1, 2) m
+      WHERE NOT EXISTS (SELECT 1 FROM train t WHERE t."userID" = m."userID" AND t."itemID" = m."itemID")) WHERE rank <= 10""",
+     mi="SELECT i1, i2, log2((SELECT count(*) FROM freq) * (c / (a * b))) AS sim FROM cooc_n",
+     mi_both="SELECT i1 AS a, i2 AS b, sim FROM mi UNION ALL SELECT i2, i1, sim FROM mi WHERE i1 <> i2")
+def sar_topk_mi(spark, sf):
+    """A similarity that can be negative."""
+    train = fx.train(spark, sf)
+    out = cooccur.recommend_k_items(cooccur.affinity(train), cooccur.item_similarity(train, "mutual_information"))
+    return rounded(out.withColumn("rank", F.col("rank").cast("long")), PREDICTION)
+
+
+@add("sar_topk_normalized", f"""SELECT {PAIR}, rank, round(prediction, 6) AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY "userID"
+      ORDER BY prediction DESC, "itemID") AS rank FROM (
+        SELECT {PAIR}, round((raw - low * lo) / nullif(high * hi - low * lo, 0) * (hi - lo) + lo, 10) AS prediction
+        FROM sar_new JOIN (SELECT "userID", CASE WHEN count(*) < (SELECT count(*) FROM freq) THEN least(min(unity), 0) ELSE min(unity) END AS low,
+          max(unity) AS high FROM sar GROUP BY 1) USING ("userID"), (SELECT min(rating) AS lo, max(rating) AS hi FROM train))) WHERE rank <= 10""")
+def sar_topk_normalized(spark, sf):
+    train = fx.train(spark, sf)
+    aff, sim = _model(spark, sf)
+    low, high = train.agg(F.min(RATING)).scalar(), train.agg(F.max(RATING)).scalar()
+    out = cooccur.recommend_k_items(aff, sim, normalize=(low, high, train.agg(F.count_distinct(ITEM)).scalar()))
+    return rounded(out.withColumn("rank", F.col("rank").cast("long")), PREDICTION)
+
+
 @add("sar_predict", f"""SELECT t."userID", t."itemID", round(coalesce(score, 0), 6) AS prediction FROM test t
     LEFT JOIN sar s ON s."userID" = t."userID" AND s."itemID" = t."itemID" """)
 def sar_predict(spark, sf):

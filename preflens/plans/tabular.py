@@ -188,6 +188,17 @@ def libffm(spark, sf):
     return _ffm(spark, sf)
 
 
+@add("libffm_nulls", """SELECT l_orderkey, l_linenumber, l_partkey, concat_ws(' ', label, '1:' || f.code || ':1',
+      '2:' || (SELECT count(*) FROM holes) + 1 || ':' || number) AS value FROM holed JOIN holes f ON f.value IS NOT DISTINCT FROM flag""",
+     holed="""SELECT l_orderkey, l_linenumber, l_partkey, label, nullif(l_returnflag, 'N') AS flag,
+       CASE WHEN l_suppkey % 3 <> 0 THEN l_suppkey END AS number FROM lines""",
+     holes="SELECT value, row_number() OVER (ORDER BY value NULLS FIRST) AS code FROM (SELECT DISTINCT flag AS value FROM holed)")
+def libffm_nulls(spark, sf):
+    lines = _lines(spark, sf).withColumns({
+        "flag": F.expr("nullif(l_returnflag, 'N')"), "number": F.when(F.col("l_suppkey") % 3 != 0, F.col("l_suppkey"))})
+    return features.libffm_rows(lines, ["flag", "number"], "label", _KEY)
+
+
 @add("parse_libffm", """SELECT l_orderkey, l_linenumber, l_partkey, CAST(split_part(value, ' ', 1) AS DOUBLE) AS label, CAST(l_orderkey AS VARCHAR) AS impression,
     n - 2 AS field, CAST(split_part(split_part(value, ' ', n), ':', 2) AS BIGINT) - 1 AS "index",
     CAST(split_part(split_part(value, ' ', n), ':', 3) AS DOUBLE) AS value FROM ffm CROSS JOIN range(2, 6) r(n)""")

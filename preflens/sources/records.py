@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,9 +55,20 @@ def parse_impressions(behaviors: DataFrame) -> DataFrame:
     return behaviors.select("imp", "user", "time", clicks.alias("clicks"), with_label(1).alias("pos"), with_label(0).alias("neg"))
 
 
+def _moment(name: str) -> Column:
+    text = F.col(name).cast("string")
+    number = F.expr(f"try_cast(cast({name} AS string) AS double)")
+    clock = F.coalesce(F.try_to_timestamp(text, F.lit("M/d/yyyy h:mm:ss a")), F.try_to_timestamp(text))
+    return F.coalesce(number, F.unix_micros(clock) / 1e6)
+
+
 def user_history(behaviors: DataFrame, part: str) -> DataFrame:
-    """(user, clicks): the last history of each user as a comma list, the user id prefixed with the part."""
-    last = behaviors.groupBy("user").agg(F.max_by("clicks", F.struct("time", "imp")).alias("clicks"))
+    """(user, clicks): the last history of each user as a comma list, the user id prefixed with the part.
+
+    Times are numbers, timestamps or text such as ``11/9/2019 11:05:58 PM``; impressions of one time follow their number.
+    """
+    order = F.struct(_moment("time"), F.expr("try_cast(imp AS bigint)"), F.col("imp").cast("string"))
+    last = behaviors.groupBy("user").agg(F.max_by("clicks", order).alias("clicks"))
     commas = F.replace(F.coalesce("clicks", F.lit("")), F.lit(" "), F.lit(","))
     return last.select(F.concat(F.lit(f"{part}_"), F.col("user").cast("string")).alias("user"), commas.alias("clicks"))
 

@@ -29,10 +29,23 @@ def test_rank_of_hot_group(spark, same_time, asc):
 
 
 def test_hot_slices_are_small(spark):
-    df = rows(spark)
-    cut = frames._slice(df, ["userID"], [("timestamp", True), ("itemID", True)], "_s1", 20)
-    sizes = [r["count"] for r in cut.groupBy("userID", "_s1").count().collect()]
-    assert sum(sizes) == df.count() and max(sizes) <= 60
+    df = rows(spark, hot=2000)
+    cut = frames.in_ranges(df, ["userID"], [("timestamp", True), ("itemID", True)], 100)
+    sizes = [r["count"] for r in cut.groupBy("userID", "_slice").count().collect()]
+    assert sum(sizes) == df.count() and max(sizes) <= 300
+
+
+@pytest.mark.parametrize("group", [[], ["g"]])
+def test_ranks_do_not_depend_on_the_limit(spark, group):
+    """Shared prefixes, nulls, three order columns, a heavy tail and a hot null group."""
+    data = []
+    for i in range(1200):
+        name = None if i % 97 == 0 else f"doc-000000-{i * 7919 % 400:05d}"
+        data.append((None if i % 3 else i % 5, name, 2.0 ** (i % 60) if i % 11 else None, i))
+    df = spark.createDataFrame(data, "g long, name string, x double, id long")
+    order = [("name", True), ("x", False), ("id", True)]
+    few, all_rows = (frames.rank_rows(df, group, order, "r", "n", limit=limit) for limit in (10, 10**6))
+    assert sorted((r.id, r.r, r.n) for r in few.collect()) == sorted((r.id, r.r, r.n) for r in all_rows.collect())
 
 
 def test_global_rank_by_string(spark):
