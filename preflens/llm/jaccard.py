@@ -272,26 +272,18 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
 def across(rows: DataFrame, percent: int, block: int = 1_000) -> DataFrame:
     """Candidate pairs (pivot, node, n) of rows (token, node, n, pos, label) with different labels.
 
-    A token's rows are cut into blocks, and each pair of blocks is a key of its own, so a hot token is many small tasks.
+    A token's rows are cut into blocks, and each pair of blocks is a join key of its own, so a hot token is many small keys.
+    Pairs that lengths and places rule out do not leave the join.
     """
     blocks = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     cut = rows.join(blocks, "token").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    right = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
-    dealt = cut.select("token", "node", "n", "pos", "label", "c", F.explode(right).alias("k")).select("token", "k.i", "k.j", "c", "node", "n", "pos", "label")
-
-    def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = group[group["c"] == group["i"]], group[group["c"] == group["j"]]
-        out = []
-        n, pos, label, node = (b[c].to_numpy() for c in ("n", "pos", "label", "node"))
-        for x in a.itertuples():
-            needed = -(-percent * (x.n + n) // (100 + percent))
-            fits = (label != x.label) & (100 * np.minimum(n, x.n) >= percent * np.maximum(n, x.n))
-            fits &= np.minimum(pos, x.pos) + 1 + np.minimum(n - pos - 1, x.n - x.pos - 1) >= needed
-            for other, size in zip(node[fits].tolist(), n[fits].tolist(), strict=True):
-                out.append((min(x.node, other), max(x.node, other), max(size, x.n)))
-        return pd.DataFrame(sorted(set(out)), columns=["pivot", "node", "n"], dtype=np.int64)
-
-    return dealt.groupBy("token", "i", "j").applyInPandas(pairs, "pivot long, node long, n long")
+    values = [F.col(c) for c in ("node", "n", "pos", "label")]
+    # A pair of blocks i <= j: rows of block i on the left, rows of block j on the right.
+    left = cut.select("token", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("blocks") - 1)).alias("j"), F.struct(*values).alias("a"))
+    right = cut.select("token", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("i"), F.col("c").alias("j"), F.struct(*values).alias("b"))
+    fits = may_link(F.col("a.pos"), F.col("a.n"), F.col("b.pos"), F.col("b.n"), percent) & (F.col("a.label") != F.col("b.label"))
+    pairs = left.join(right, ["token", "i", "j"]).filter(fits & ((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node"))))
+    return pairs.select(F.least("a.node", "b.node").alias("pivot"), F.greatest("a.node", "b.node").alias("node"), F.greatest("a.n", "b.n").alias("n")).distinct()
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
