@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -114,8 +115,16 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 # ---------------------------------------------------------------- each document and its neighbour
 
 
+def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compress the last column: it is all that the shuffle moves."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = pa.array([pack(t.as_py().encode()) for t in batch.column(batch.num_columns - 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
+
+
 def with_neighbours(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """Rows (_bucket, _guest, id, text) dealt into id ranges and sorted by descending id in each.
+    """Rows (_bucket, _guest, _id, _h, _text), texts compressed, dealt into id ranges and sorted by descending id in each.
 
     A range also gets, as a guest, the first row of the next lower range (the lowest range: the very first row), so that every
     row finds its neighbour in its own range. One shuffle of the texts; the range limits are quantiles of the ids alone.
@@ -130,7 +139,7 @@ def with_neighbours(df: DataFrame, id_col: str, text_col: str, buckets: int) ->
     order = F.struct(F.col("_id").isNotNull().alias("known"), "_id", F.xxhash64("_text").alias("h"))
     heads = sorted((r["_bucket"], r["head"]) for r in rows.groupBy("_bucket").agg(F.max(order).alias("head")).collect())  # a row per range
     if not heads:
-        return rows.select("_bucket", F.lit(False).alias("_guest"), "_id", "_text")
+        return rows.select("_bucket", "_id", F.lit(None).cast("binary").alias("_text"))
     previous = [(heads[i][1], heads[i - 1][0]) for i in range(len(heads))]  # the first range's head is the last one's guest
     key = F.struct("_id", F.xxhash64("_text").alias("h"))
     guests = df.sparkSession.createDataFrame([(h["_id"], h["h"], b) for h, b in previous], "_gid long, _gh long, _to int")
@@ -139,7 +148,8 @@ def with_neighbours(df: DataFrame, id_col: str, text_col: str, buckets: int) ->
     sent = rows.join(F.broadcast(guests), same).groupBy("_to", "_id").agg(F.first("_text").alias("_text"))
     sent = sent.select(F.col("_to").alias("_bucket"), F.lit(True).alias("_guest"), "_id", "_text")
     both = rows.select("_bucket", F.lit(False).alias("_guest"), "_id", "_text").unionByName(sent)
-    return both.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_guest", F.desc_nulls_last("_id"), F.desc(F.xxhash64("_text")))
+    packed = both.select("_bucket", "_guest", "_id", F.xxhash64("_text").alias("_h"), "_text").mapInArrow(pack_texts, "_bucket int, _guest boolean, _id long, _h long, _text binary")
+    return packed.repartition(buckets, "_bucket").sortWithinPartitions("_bucket", "_guest", F.desc_nulls_last("_id"), F.desc("_h"))
 
 
 def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -171,9 +181,10 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 pa.array(as_text(changed), pa.string()), pa.array(likeness(own[:-1], changed)), pa.array(likeness(own[:-1], own[1:])),
             ], names=names)
 
-        size = 0
+        unpack, size = zstandard.ZstdDecompressor().decompress, 0
         for batch in batches:
-            for bucket, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for bucket, key, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                text = unpack(packed).decode()
                 if waiting and waiting[-1][0] != bucket:
                     if len(waiting) > 1:
                         yield flush(waiting)
