@@ -148,13 +148,17 @@ def doc_word_indices(spark, sf):
     return out.select("doc_id", F.concat_ws(",", F.col("indices").cast("array<string>")).alias("indices"))
 
 
-@add("embed_lookup", """SELECT p_partkey AS vec_id, round(coalesce(v[1], 0), 6) AS head, round(coalesce(v[64], 0), 6) AS tail, coalesce(len(v), 64) AS dim
-    FROM part LEFT JOIN vectors ON vec_id = p_partkey""")
+def places(out, name, *ids, digits=6):
+    """All numbers of an array column, one per row."""
+    return rounded(out.select(*ids, F.posexplode(name).alias("place", "value")), "value", digits=digits)
+
+
+@add("embed_lookup", """SELECT p_partkey AS vec_id, CAST(p - 1 AS INTEGER) AS place, round(coalesce(v[p], 0), 6) AS value
+    FROM part LEFT JOIN vectors ON vec_id = p_partkey CROSS JOIN range(1, 65) r(p)""")
 def embed_lookup(spark, sf):
     index = fx.table(spark, sf, "part").select(F.col("p_partkey").alias("vec_id"))
     out = text.embed_lookup(index, fx.vectors(spark, sf), "vec_id", 64, "v")
-    out = out.select("vec_id", F.col("v")[0].alias("head"), F.col("v")[63].alias("tail"), F.size("v").cast("long").alias("dim"))
-    return rounded(out, "head", "tail")
+    return places(out, "v", "vec_id")
 
 
 # ---------------------------------------------------------------- vector pairs
@@ -197,18 +201,17 @@ def link_spearman(spark, sf):
     return rounded(vectors.spearman(scored.select("score", "edge"), "score", "edge"))
 
 
-@add("l2_normalize", """SELECT vec_id, round(v[1] / n, 6) AS head, round(v[64] / n, 6) AS tail FROM (
-    SELECT vec_id, v, CASE WHEN s = 0 THEN 1 ELSE sqrt(s) END AS n FROM (SELECT *, list_sum(list_transform(v, lambda e: e * e)) AS s FROM vectors))""")
+@add("l2_normalize", """SELECT vec_id, CAST(p - 1 AS INTEGER) AS place, round(v[p] / n, 6) AS value FROM (
+    SELECT vec_id, v, CASE WHEN s = 0 THEN 1 ELSE sqrt(s) END AS n FROM (SELECT *, list_sum(list_transform(v, lambda e: e * e)) AS s FROM vectors))
+    CROSS JOIN range(1, 65) r(p)""")
 def l2_normalize(spark, sf):
-    out = vectors.l2_normalize(fx.vectors(spark, sf), "v")
-    return rounded(out.select("vec_id", F.col("v")[0].alias("head"), F.col("v")[63].alias("tail")), "head", "tail")
+    return places(vectors.l2_normalize(fx.vectors(spark, sf), "v"), "v", "vec_id")
 
 
-@add("column_center", """SELECT vec_id, round(v[1] - (SELECT avg(v[1]) FROM vectors), 6) AS head,
-    round(v[64] - (SELECT avg(v[64]) FROM vectors), 6) AS tail FROM vectors""")
+@add("column_center", """SELECT vec_id, CAST(p - 1 AS INTEGER) AS place, round(x - avg(x) OVER (PARTITION BY p), 6) AS value
+    FROM (SELECT vec_id, p, v[p] AS x FROM vectors CROSS JOIN range(1, 65) r(p))""")
 def column_center(spark, sf):
-    out = vectors.column_center(fx.vectors(spark, sf), "v")
-    return rounded(out.select("vec_id", F.col("v")[0].alias("head"), F.col("v")[63].alias("tail")), "head", "tail")
+    return places(vectors.column_center(fx.vectors(spark, sf), "v"), "v", "vec_id")
 
 
 @add("pca")
@@ -250,7 +253,20 @@ def transition_prob(spark, sf):
     return rounded(graph.transition_prob(_edges(spark, sf)), "weight", "prob", digits=9)
 
 
-@add("random_walks")
+_RANDOM = {
+    "owned": """SELECT node, next, CASE WHEN i = 1 THEN 0 ELSE hi - prob END AS lo, CASE WHEN i = n THEN 1 ELSE hi END AS hi FROM (
+        SELECT *, sum(prob) OVER (PARTITION BY node ORDER BY next) AS hi, row_number() OVER (PARTITION BY node ORDER BY next) AS i,
+          count(*) OVER (PARTITION BY node) AS n FROM (
+            SELECT w.node, next, weight / d AS prob FROM ways w JOIN (SELECT node, sum(weight) AS d FROM ways GROUP BY 1) s ON s.node = w.node))""",
+    "rw": f"""SELECT * FROM (WITH RECURSIVE r AS (
+        SELECT node || '#' || w AS walk, 0 AS step, node FROM (SELECT DISTINCT node FROM owned) CROSS JOIN range(10) t(w)
+        UNION ALL SELECT r.walk, r.step + 1, o.next FROM r JOIN owned o ON o.node = r.node
+          AND {h('42', 'r.walk', '(r.step + 1)')} >= o.lo AND {h('42', 'r.walk', '(r.step + 1)')} < o.hi WHERE r.step < 9)
+        SELECT walk, step, node FROM r)""",
+}
+
+
+@add("random_walks", "SELECT walk, step, node FROM rw", **_RANDOM)
 def random_walks(spark, sf):
     return graph.random_walks(graph.transition_prob(_edges(spark, sf)))
 
@@ -316,11 +332,25 @@ def context_pairs(spark, sf):
     return graph.context_pairs(walks, keep=graph.sequence_keep_prob(walks))
 
 
-@add("walk_embeddings")
+_DIM = 32
+_EMBED = {
+    "met": """SELECT c.node AS a, o.node AS b, CAST(count(*) AS DOUBLE) AS n FROM rw c JOIN rw o ON o.walk = c.walk
+        AND o.step BETWEEN c.step - 5 AND c.step + 5 AND o.node <> c.node GROUP BY 1, 2""",
+    "own": "SELECT a, sum(n) AS n FROM met GROUP BY 1",
+    "ppmi": """SELECT * FROM (SELECT met.a, met.b, ln(met.n * (SELECT sum(n) FROM own) / (x.n * y.n)) AS w FROM met
+        JOIN own x ON x.a = met.a JOIN own y ON y.a = met.b) WHERE w > 0""",
+    "v0": f"SELECT a AS node, p, CASE WHEN {h('42', 'a', 'p')} < 0.5 THEN -1.0::DOUBLE ELSE 1 END AS x FROM own CROSS JOIN range(1, {_DIM + 1}) t(p)",
+    "v1": """SELECT node, p, x / sqrt(sum(x * x) OVER (PARTITION BY node)) AS x FROM (
+        SELECT a AS node, p, sum(w * x) AS x FROM ppmi JOIN v0 ON v0.node = b GROUP BY 1, 2)""",
+    "v2": """SELECT node, p, x / sqrt(sum(x * x) OVER (PARTITION BY node)) AS x FROM (
+        SELECT a AS node, p, sum(w * x) AS x FROM ppmi JOIN v1 ON v1.node = b GROUP BY 1, 2)""",
+}
+
+
+@add("walk_embeddings", "SELECT node, CAST(p - 1 AS INTEGER) AS place, round(x, 6) AS value FROM v2", **_RANDOM, **_EMBED)
 def walk_embeddings(spark, sf):
-    walks = graph.random_walks(graph.transition_prob(_edges(spark, sf)), 2, 6)
-    out = graph.walk_embeddings(walks, 16, epochs=1)
-    return out.select("node", F.size("vec").alias("dim"))
+    walks = graph.random_walks(graph.transition_prob(_edges(spark, sf)))
+    return places(graph.walk_embeddings(walks, _DIM), "vec", "node")
 
 
 @add("norm_adjacency", 'SELECT "userID", "itemID", round(value, 9) AS value FROM adj')
@@ -342,8 +372,7 @@ _LAYERS = {
 }
 
 
-@add("propagate_vectors", """SELECT side, id, round(sqrt(sum(x * x)), 6) AS length, round(max(CASE WHEN p = 1 THEN x END), 6) AS head
-    FROM summed GROUP BY 1, 2""", **_LAYERS)
+@add("propagate_vectors", "SELECT side, id, CAST(p - 1 AS INTEGER) AS place, round(x, 6) AS value FROM summed", **_LAYERS)
 def propagate_vectors(spark, sf):
     train, v = fx.train(spark, sf), fx.vectors(spark, sf)
     n = v.agg(F.count(F.lit(1))).scalar()
@@ -351,5 +380,4 @@ def propagate_vectors(spark, sf):
     users = train.select(F.col(USER).alias("id")).distinct().withColumn("_k", F.pmod("id", n)).join(vec, "_k")
     items = train.select(F.col(ITEM).alias("id")).distinct().withColumn("_k", F.pmod(F.col("id") + 1, n)).join(vec, "_k")
     out = graph.propagate_vectors(graph.norm_adjacency(train), users, items, 2)
-    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    return rounded(out.select("side", "id", length.alias("length"), F.col("vec")[0].alias("head")), "length", "head")
+    return places(out, "vec", "side", "id")

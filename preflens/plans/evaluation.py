@@ -132,6 +132,40 @@ QUERIES["ranking_report"] = (
     rank_sql("SELECT " + ", ".join(f'round({e}, 6) AS "{n}"' for n, e in _RANK_SQL.items()) + " FROM user_metrics"),
 )
 
+_METHODS = {
+    "ranking_by_threshold": (
+        {"method": "by_threshold", "threshold": 0.5}, "rank_pred",
+        """SELECT *, row_number() OVER (PARTITION BY "userID" ORDER BY prediction DESC, "itemID") AS rank FROM rank_pred WHERE prediction >= 0.5""",
+    ),
+    "ranking_by_time": (
+        {"method": "by_time_stamp"}, "interactions",
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "userID" ORDER BY "timestamp" DESC, "itemID") AS rank
+        FROM interactions) WHERE rank <= 10""",
+    ),
+}
+for _name, (_options, _source, _listed) in _METHODS.items():
+    def _by(spark, sf, options=_options, source=_source):
+        return rounded(ranking.ranking_report(fx.test(spark, sf), getattr(fx, source)(spark, sf), **options))
+
+    QUERIES[_name] = (_by, sql("SELECT " + ", ".join(f'round({e}, 6) AS "{n}"' for n, e in _RANK_SQL.items()) + " FROM user_metrics", **{**_HITS, "top10": _listed}))
+
+
+def report_runs(spark, sf):
+    """The reports of two recommenders under each other."""
+    test, names = fx.test(spark, sf), ["precision", "recall", "map"]
+    lists = {"scored": ranking.ranking_report(test, fx.rank_pred(spark, sf), names),
+             "latest": ranking.ranking_report(test, fx.interactions(spark, sf), names, method="by_time_stamp")}
+    return rounded(ranking.run_reports(lists), *names)
+
+
+_MEANS = """round(avg("precision"), 6) AS "precision", round(avg(recall), 6) AS recall, round(avg(map), 6) AS map"""
+_LATEST = {k: v.replace("top10", "latest10").replace("hits", "latest_hits") for k, v in _HITS.items() if k in ("hits", "user_metrics")}
+QUERIES["report_runs"] = (
+    report_runs,
+    sql(f"SELECT 'scored' AS algorithm, {_MEANS} FROM user_metrics UNION ALL SELECT 'latest', {_MEANS} FROM latest_metrics",
+        **_HITS, latest10=_METHODS["ranking_by_time"][2], latest_hits=_LATEST["hits"], latest_metrics=_LATEST["user_metrics"]),
+)
+
 _NDCG = """SELECT round(avg(coalesce(dcg, 0) / best), 6) AS ndcg FROM (
       SELECT "userID", sum({gain} / {log}(1 + r)) AS best FROM (
         SELECT *, row_number() OVER (PARTITION BY "userID" ORDER BY rating DESC, "itemID") AS r FROM test) WHERE r <= 10 GROUP BY 1)

@@ -271,6 +271,17 @@ def impression_negatives(spark, sf):
     return negatives.impression_negatives(rows, 4).withColumn("j", F.col("j").cast("long"))
 
 
+@add("impression_negatives_padded", """SELECT p.grp AS imp, p.item AS pos, j, n.item AS neg FROM (
+      SELECT grp, item, unnest(range(4)) AS j FROM line_scores WHERE label = 1) p
+    LEFT JOIN (SELECT grp, count(*) AS n FROM line_scores WHERE label = 0 GROUP BY 1) s ON p.grp = s.grp
+    LEFT JOIN (SELECT grp, item, row_number() OVER (PARTITION BY grp ORDER BY """ + h("42", "grp", "item") + """, item) - 1 AS i
+      FROM line_scores WHERE label = 0) n ON n.grp = p.grp AND j < s.n
+      AND n.i = (CAST(floor(""" + h("42", "p.grp", "p.item") + """ * s.n) AS BIGINT) + j) % s.n""")
+def impression_negatives_padded(spark, sf):
+    rows = fx.line_scores(spark, sf).withColumnRenamed("grp", "imp")
+    return negatives.impression_negatives(rows, 4, pad=True).withColumn("j", F.col("j").cast("long"))
+
+
 # ---------------------------------------------------------------- candidates
 
 

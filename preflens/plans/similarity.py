@@ -150,14 +150,10 @@ def _model(spark, sf):
     return cooccur.affinity(train), cooccur.item_similarity(train, "jaccard")
 
 
-@add("sar_scores", """SELECT "userID", count(*) AS n_items, round(sum(score), 4) AS total, round(max(score), 6) AS best
-    FROM sar_new GROUP BY 1""")
+@add("sar_scores", f"SELECT {PAIR}, round(score, 6) AS prediction FROM sar_new")
 def sar_scores(spark, sf):
     aff, sim = _model(spark, sf)
-    out = cooccur.scores(aff, sim, fx.train(spark, sf))
-    return out.groupBy(USER).agg(
-        F.count(F.lit(1)).alias("n_items"), F.round(F.sum(PREDICTION), 4).alias("total"), F.round(F.max(PREDICTION), 6).alias("best")
-    )
+    return rounded(cooccur.scores(aff, sim, fx.train(spark, sf)), PREDICTION)
 
 
 @add("sar_normalized", f"""SELECT {PAIR}, round((raw - low * lo) / nullif(high * hi - low * lo, 0) * (hi - lo) + lo, 6) AS prediction

@@ -262,12 +262,10 @@ for _name, _expr in _TIMES.items():
     def _time(spark, sf, name=_name):
         out = _history(spark, sf).withColumn("times", F.col(f"history.{TIMESTAMP}"))
         out = out.withColumn("v", getattr(sequence, name)("times", TIMESTAMP))
-        total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
-        out = out.select("event_id", F.size("v").cast("long").alias("n"), F.col("v")[0].alias("head"), total.alias("total"))
-        return rounded(out, "head", "total")
+        return rounded(out.select("event_id", F.posexplode("v").alias("place", "value")), "value")
 
-    add(_name, f"""SELECT event_id, len(v) AS n, round(v[1], 6) AS head, round(list_sum(v), 6) AS total FROM (
-        SELECT event_id, {_expr} AS v FROM hist WHERE len(times) >= 1)""")(_time)
+    add(_name, f"""SELECT event_id, CAST(p - 1 AS INTEGER) AS place, round(v[p], 6) AS value FROM (
+        SELECT event_id, v, unnest(range(1, len(v) + 1)) AS p FROM (SELECT event_id, {_expr} AS v FROM hist WHERE len(times) >= 1))""")(_time)
 
 
 @add("pad_sequences", """SELECT event_id, array_to_string(list_concat(items[-20:], list_transform(range(20 - least(20, len(items))), lambda i: 0::BIGINT)), ',') AS items,
@@ -354,6 +352,30 @@ def target_lookup(spark, sf):
     return rounded(out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "t_mean", "t_count"), "t_mean", "t_count")
 
 
+@add("encode_test", """SELECT "userID", "itemID", coalesce(code, -1) AS code, round(coalesce(m, 0), 6) AS t_mean, round(coalesce(c, 0), 6) AS t_count,
+      round(coalesce(number, (SELECT avg(number) FROM coded)), 6) AS number FROM coded_test t
+      LEFT JOIN (SELECT cat, row_number() OVER (ORDER BY min((\"userID\", \"itemID\"))) AS code FROM coded GROUP BY 1) o ON o.cat = t.cat
+      LEFT JOIN (SELECT cat, avg(CAST(rating > 25 AS INTEGER)) AS m, count(*) / CAST((SELECT count(*) FROM train) AS DOUBLE) AS c
+        FROM coded GROUP BY 1) s ON s.cat = t.cat""".replace('\\"', '"'),
+     kept="""SELECT cat FROM (SELECT *, row_number() OVER (ORDER BY n DESC, cat) AS r, count(*) OVER () AS total FROM
+       (SELECT "itemID" % 50 AS cat, count(*) AS n FROM train GROUP BY 1)) WHERE r <= floor(total * 0.99::DOUBLE) AND n > 10""",
+     coded="""SELECT "userID", "itemID", rating, CASE WHEN "itemID" % 50 IN (SELECT cat FROM kept) THEN CAST("itemID" % 50 AS VARCHAR) ELSE '<LESS>' END AS cat,
+       CASE WHEN "itemID" % 3 <> 0 THEN CAST("itemID" AS DOUBLE) END AS number FROM train""",
+     coded_test="""SELECT "userID", "itemID", CASE WHEN "itemID" % 60 IN (SELECT cat FROM kept) THEN CAST("itemID" % 60 AS VARCHAR) ELSE '<LESS>' END AS cat,
+       CASE WHEN "itemID" % 3 <> 0 THEN CAST("itemID" AS DOUBLE) END AS number FROM test""")
+def encode_test(spark, sf):
+    """Encoders made from train, applied to test, where some values are new."""
+    number = F.when(F.col(ITEM) % 3 != 0, F.col(ITEM).cast("double"))
+    train = fx.train(spark, sf).select(USER, ITEM, RATING, (F.col(ITEM) % 50).alias("cat"), number.alias("number"))
+    test = fx.test(spark, sf).select(USER, ITEM, (F.col(ITEM) % 60).alias("cat"), number.alias("number"))
+    kept = features.frequent_values(train, "cat", 10)
+    filled = features.fill_mean(features.fold_rare(test, "cat", kept), "number", train)
+    folded = features.fold_rare(train, "cat", kept).withColumn("label", (F.col(RATING) > 25).cast("int"))
+    out = features.ordinal_encode(filled, "cat", features.ordinal_map(folded, "cat", [USER, ITEM]))
+    out = features.target_lookup(folded, out, "cat", "label")
+    return rounded(out.select(USER, ITEM, "code", "t_mean", "t_count", "number"), "t_mean", "t_count", "number")
+
+
 @add("cross_hash", f'SELECT {PAIR}, CAST(floor({h("42", PAIR)} * 1000) AS INTEGER) AS "cross" FROM interactions')
 def cross_hash(spark, sf):
     return features.cross_hash(fx.interactions(spark, sf), [USER, ITEM]).select(USER, ITEM, "cross")

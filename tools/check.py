@@ -50,7 +50,7 @@ def main():
     args = sys.argv[1:]
     sf = args.pop(0) if args and args[0].startswith("/") else "/root/testdata/sf0.01"
     spark = session("check", **{
-        "spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false",
+        "spark.master": "local[8]", "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "16g", "spark.driver.maxResultSize": "4g",
     })
     spark.sparkContext.setLogLevel("ERROR")
