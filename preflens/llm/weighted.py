@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ SEED = 2024
 SLICE_BYTES = 1 << 21
 GATHER = 1 << 15
 TEXT_BYTES_PER_BUCKET = 4 << 20
+MOST_BUCKETS = 10_000  # ranges; beyond 40 GB of text they grow, and tasks stream them
 
 
 @functools.lru_cache(1)
@@ -132,10 +134,14 @@ def with_neighbours(df: DataFrame, id_col: str, text_col: str, buckets: int) ->
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     points = [i / buckets for i in range(1, buckets)]
     limits = sorted(set(rows.agg(F.percentile_approx("_id", points, 10 * buckets)).first()[0] or [])) if points else []
+    bounds = np.array(limits, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64)))
+
     # Ranges are numbered from the highest ids on; null ids come last.
-    below = F.size(F.filter(F.array(*map(F.lit, limits)), lambda x: x >= F.col("_id"))) if limits else F.lit(0)
-    bucket = F.when(F.col("_id").isNull(), F.lit(len(limits) + 1)).otherwise(below)
-    rows = rows.withColumn("_bucket", bucket)
+    rows = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), F.lit(len(limits) + 1)).otherwise(range_of(F.coalesce("_id", F.lit(0)))))
     order = F.struct(F.col("_id").isNotNull().alias("known"), "_id", F.xxhash64("_text").alias("h"))
     heads = sorted((r["_bucket"], r["head"]) for r in rows.groupBy("_bucket").agg(F.max(order).alias("head")).collect())  # a row per range
     if not heads:
@@ -162,7 +168,7 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     if buckets is None:
         size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-        buckets = max(1, int(size // TEXT_BYTES_PER_BUCKET))
+        buckets = min(MOST_BUCKETS, max(1, int(size // TEXT_BYTES_PER_BUCKET)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[int, int | None, str]] = []  # rows of the open range whose next is not seen yet, or not signed
