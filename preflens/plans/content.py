@@ -220,6 +220,16 @@ def pca(spark, sf):
     return out.select("vec_id", F.concat_ws(",", F.transform("reduced", lambda x: F.round(F.abs(x), 4)).cast("array<string>")).alias("reduced"))
 
 
+@add("pca_shape", "SELECT count(*) AS n, 4 AS dim, true AS falling, 0.0::DOUBLE AS overlap FROM vectors")
+def pca_shape(spark, sf):
+    """Components are uncorrelated and their variances fall."""
+    x = vectors.reduce_dims(fx.vectors(spark, sf), 4, "v").select("vec_id", *[F.col("reduced")[i].cast("double").alias(f"x{i}") for i in range(4)])
+    pairs = [(i, j) for i in range(4) for j in range(i)]
+    falling = [F.var_pop(f"x{i}") >= F.var_pop(f"x{i + 1}") for i in range(3)]
+    overlap = F.greatest(*[F.abs(F.corr(f"x{i}", f"x{j}")) for i, j in pairs])
+    return x.agg(F.count(F.lit(1)).alias("n"), F.lit(4).alias("dim"), (falling[0] & falling[1] & falling[2]).alias("falling"), F.round(overlap, 4).alias("overlap"))
+
+
 @add("one_hot", """SELECT vec_id, concat_ws(',', """ + ", ".join(f"CAST(label = {i} AS INTEGER)" for i in range(10)) + ") AS one_hot FROM vectors")
 def one_hot(spark, sf):
     out = vectors.one_hot(fx.vectors(spark, sf), "label", list(range(10)))

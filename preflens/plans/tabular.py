@@ -390,3 +390,9 @@ def param_grid(spark, sf):
         return rounded(rating.rating_report(test, pred, ["rmse", "mae"], prediction=PREDICTION), digits=4)
 
     return features.sweep(features.parameter_grid({"rank": [4, 8], "reg": 0.1}), evaluate)
+
+
+@add("param_grid_shape", "SELECT * FROM (VALUES (4, 0.1::DOUBLE, true), (8, 0.1::DOUBLE, true)) t(rank, reg, fits)")
+def param_grid_shape(spark, sf):
+    """One report per parameter set, with errors that fit each other."""
+    return param_grid(spark, sf).select("rank", "reg", ((F.col("rmse") >= F.col("mae")) & (F.col("mae") > 0)).alias("fits"))
