@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflens.llm.store import keep, most_frequent
+from preflens.llm.store import drop_table, keep, most_frequent, release
 from preflens.llm.words import row_slices, shingle_hashes, text_bytes, word_hashes
 
 SIZE, PERCENT = 3, 90
@@ -230,18 +230,25 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     """
     spark = df.sparkSession
     ranked = spark.sparkContext.broadcast(recurring(df, text_col, size))  # RANKED numbers at most
-    docs = keep(with_sets(df, id_col, text_col, size, percent, ranked), "sets")
+    sets = keep(with_sets(df, id_col, text_col, size, percent, ranked), "sets")
+    docs = keep(sets.select("_id", "_n", "_key"), "ids")
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id is not null")
-    known = docs.filter("_id is not null and _n > 0")
-    classes = keep(known.groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix")), "classes")
-    tokens = classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
+    classes = sets.filter("_id is not null and _n > 0").groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix"))
+    full_classes = keep(classes, "classes")
+    drop_table(spark, sets)
+    classes = keep(full_classes.select("_key", "node"), "keys")
+    tokens = full_classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
     # A shared shingle of the prefixes brings documents together.
     shared = tokens.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("first"), F.max("node").alias("last")).filter("first.node <> last")
     rows = keep(tokens.join(shared, "token").select("token", "node", "n", "pos", "first"), "shared")
+    drop_table(spark, full_classes)
+    del tokens, shared, full_classes, sets
+    release(spark)
     # Rows of one id with different texts are one node.
-    several = known.join(classes.select("_key", "node"), "_key").groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("a", "b")
+    several = docs.filter("_id is not null and _n > 0").join(classes, "_key").groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("a", "b")
     star = rows.filter(F.col("node") != F.col("first.node")).filter(may_link(F.col("pos"), F.col("n"), F.col("first.pos"), F.col("first.n"), percent))
     links = keep(verify(star.select(F.col("first.node").alias("pivot"), "node", "n"), texts, size, percent, ranked).union(several), "links")
+    release(spark)
     labels = components(links)
 
     def open_rows() -> DataFrame:
@@ -258,13 +265,15 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         pivots = left.groupBy("token").agg(by_hash)
         star = left.join(pivots, "token").filter(F.col("label") != F.col("p.label")).filter(may_link(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), percent))
         links = keep(links.union(verify(star.select(F.col("p.node").alias("pivot"), "node", "n"), texts, size, percent, ranked)), "links")
+        release(spark)
         labels = components(links)
         left = open_rows()
     # What is left: every pair across components that lengths and places allow.
     if not left.isEmpty():
-        links = links.union(verify(across(left, percent), texts, size, percent, ranked))
+        links = keep(links.union(verify(across(left, percent), texts, size, percent, ranked)), "links")
+        release(spark)
         labels = components(links)
-    found = docs.join(classes.select("_key", "node"), "_key", "left").join(labels, "node", "left")
+    found = docs.join(classes, "_key", "left").join(labels, "node", "left")
     component = F.when(F.col("_id").isNotNull(), F.coalesce("label", "node", "_id"))
     return found.select(F.col("_id").cast(df.schema[id_col].dataType).alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"))
 
