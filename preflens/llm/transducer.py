@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from preflens.llm.packing import byte_characters
-from preflens.llm.store import share_file
+from preflens.llm.store import most_frequent, share_file
 
 LEXICON_WORDS = 65_536
 CACHE_WORDS = 300_000
@@ -358,11 +358,11 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def build_lexicon(df: DataFrame, tokenizer: str, text_col: str = "text", size: int = LEXICON_WORDS) -> str | None:
-    """Compile the ``size`` most frequent words of the corpus; returns the shared file's name (None for an empty corpus).
+    """Compile the most frequent words, ``size`` at most, of the corpus; returns the shared file's name (None if no word recurs).
 
     ``size`` bounds the file, not the work: every other word is merged where it occurs.
     """
-    top = word_counts(df, text_col).orderBy(F.desc("n"), "word").limit(size).collect()
+    top = most_frequent(word_counts(df, text_col), size).collect()
     own = rules(tokenizer)
     words = sorted({p for r in top for p in own.parts(r["word"])})
     return share_file(df.sparkSession, pack_file(words, own.merge(words)), "lexicon") if words else None
