@@ -220,7 +220,22 @@ def may_link(pa_, na, pb, nb, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= needed)
 
 
-def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
+def likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (pivot, node, n) whose prefixes share as much as a link needs.
+
+    Of the set whose prefix ends first, every prefix element that the other set holds is in the other's prefix too, so what
+    is shared beyond the prefixes is at most the rest of that set.
+    """
+    one, two = (prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n{i}"), F.col("prefix").alias(f"p{i}")) for i, c in enumerate(("pivot", "node")))
+    both = pairs.select("pivot", "node").distinct().join(one, "pivot").join(two, "node")
+    rest = lambda n: F.ceil(percent * F.col(n) / 100.0 - 1e-9) - 1
+    needed = F.ceil(percent * (F.col("n0") + F.col("n1")) / F.lit(100.0 + percent) - 1e-9) - F.greatest(rest("n0"), rest("n1"))
+    return both.filter(F.size(F.array_intersect("p0", "p1")) >= needed).select("pivot", "node", F.col("n1").alias("n"))
+
+
+def link(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT,
+) -> DataFrame:
     """(id, n_shingles, component_id) of every row.
 
     Two documents link when 100 * shared >= ``percent`` * united of their sets of ``size``-word shingles (A-Z lower-cased; fewer
@@ -241,13 +256,16 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     # A shared shingle of the prefixes brings documents together.
     shared = tokens.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("first"), F.max("node").alias("last")).filter("first.node <> last")
     rows = keep(tokens.join(shared, "token").select("token", "node", "n", "pos", "first"), "shared")
-    drop_table(spark, full_classes)
-    del tokens, shared, full_classes, sets
+    del tokens, shared, sets
     release(spark)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return verify(keep(likely(pairs, full_classes, percent), "pairs"), texts, size, percent, ranked)
+
     # Rows of one id with different texts are one node.
     several = docs.filter("_id is not null and _n > 0").join(classes, "_key").groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("a", "b")
     star = rows.filter(F.col("node") != F.col("first.node")).filter(may_link(F.col("pos"), F.col("n"), F.col("first.pos"), F.col("first.n"), percent))
-    links = keep(verify(star.select(F.col("first.node").alias("pivot"), "node", "n"), texts, size, percent, ranked).union(several), "links")
+    links = keep(check(star.select(F.col("first.node").alias("pivot"), "node")).union(several), "links")
     release(spark)
     labels = components(links)
 
@@ -264,13 +282,13 @@ def link(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
         by_hash = F.max_by(F.struct("node", "n", "pos", "label"), F.xxhash64("node", F.lit(1))).alias("p")
         pivots = left.groupBy("token").agg(by_hash)
         star = left.join(pivots, "token").filter(F.col("label") != F.col("p.label")).filter(may_link(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), percent))
-        links = keep(links.union(verify(star.select(F.col("p.node").alias("pivot"), "node", "n"), texts, size, percent, ranked)), "links")
+        links = keep(links.union(check(star.select(F.col("p.node").alias("pivot"), "node"))), "links")
         release(spark)
         labels = components(links)
         left = open_rows()
     # What is left: every pair across components that lengths and places allow.
     if not left.isEmpty():
-        links = keep(links.union(verify(across(left, percent), texts, size, percent, ranked)), "links")
+        links = keep(links.union(check(across(left, percent))), "links")
         release(spark)
         labels = components(links)
     found = docs.join(classes, "_key", "left").join(labels, "node", "left")
@@ -295,7 +313,9 @@ def across(rows: DataFrame, percent: int, block: int = 1_000) -> DataFrame:
     return pairs.select(F.least("a.node", "b.node").alias("pivot"), F.greatest("a.node", "b.node").alias("node"), F.greatest("a.n", "b.n").alias("n")).distinct()
 
 
-def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+def keep_first(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80,
+) -> DataFrame:
     """Rows of ``df``, all columns, of the smallest id of each component (rows without words or id stay; repeated rows of one
     id count as one document and stay together)."""
     dropped = link(df, id_col, text_col, size, percent).filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
