@@ -1,9 +1,10 @@
 """Substring deduplication with content-defined chunks.
 
 A gear rolling hash over the last 16 bytes marks boundaries; a chunk ends with the word in which a mark falls, so chunks hold
-whole words and depend on nearby text only: an insertion moves no boundary beyond it. Chunks are compared by digest over the
-whole corpus. A chunk whose digest occurs earlier, by document id and place, is a copy; a run of copies of ``min_words`` words
-or more is taken out of the text. Shorter agreements, such as common phrases, stay.
+whole words and depend on nearby text only: an insertion moves no boundary beyond it. From and up to each chunk there is a run,
+the fewest consecutive chunks that have ``min_words`` words; runs are compared by digest over the whole corpus. A run whose digest occurs
+earlier, by document id and place, is a copy of that one passage and is taken out of the text. Shorter agreements, such as
+common phrases, stay, also where they follow each other.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflens.llm.words import hash_spans, mix, row_slices, text_bytes, word_spans
+from preflens.llm.words import _power, hash_spans, mix, row_slices, text_bytes, word_spans
 
 WINDOW = 16
 MARK_EVERY = 24  # bytes between marks, on average
@@ -53,27 +54,54 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts[first], ends[last], last - first + 1, np.searchsorted(starts[first], offsets)
 
 
-def chunk_rows(df: DataFrame) -> DataFrame:
-    """(digest, _id, _h, idx) of every chunk of rows (_id, _h, _text)."""
+def run_spans(words: np.ndarray, cut: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First chunk and end (exclusive) of the shortest runs of ``min_words`` words: one from each chunk on, and one up to each
+    chunk at which none of these ends. Runs of equal chunks lie inside one passage, and together they cover it."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    n = np.diff(cut)
+    ends = np.searchsorted(total, total[:-1] + min_words)
+    first = np.flatnonzero(ends <= np.repeat(cut[1:], n))
+    ends = ends[first]
+    ended = np.zeros(len(total), bool)
+    ended[ends] = True
+    back = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    more = np.flatnonzero((back >= np.repeat(cut[:-1], n)) & ~ended[1:])
+    first, ends = np.append(first, back[more]), np.append(ends, more + 1)
+    order = np.lexsort((ends, first))
+    return first[order], ends[order]
+
+
+def run_digests(digests: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digest of each sequence of chunk digests; the space between chunks does not count."""
+    up, down = _power(len(digests) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(digests * up[:len(digests)], dtype=np.uint64)])
+    return mix((sums[ends] - sums[first]) * down[first] + (ends - first).astype(np.uint64))
+
+
+def run_rows(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(digest, _id, _h, idx) of every run of rows (_id, _h, _text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_bytes(batch.column(2))
             for lo, hi in row_slices(offsets, SLICE_BYTES):
                 part, at = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
-                starts, ends, _, cut = chunk_spans(part, at)
-                n = np.diff(cut)
+                starts, ends, words, cut = chunk_spans(part, at)
+                first, until = run_spans(words, cut, min_words)
+                digest = run_digests(hash_spans(part, starts, ends, lower=False), first, until)
+                runs = np.searchsorted(first, cut)
+                n = np.diff(runs)
                 row = pa.array(np.repeat(np.arange(lo, hi), n))
-                idx = np.arange(len(starts)) - np.repeat(cut[:-1], n)
+                idx = np.arange(len(first)) - np.repeat(runs[:-1], n)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(hash_spans(part, starts, ends, lower=False).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(idx.astype(np.int32)),
+                    pa.array(digest.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(idx.astype(np.int32)),
                 ], names=["digest", "_id", "_h", "idx"])
 
     return df.mapInArrow(run, "digest long, _id long, _h int, idx int")
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """(_id, _h, _copies): places of the chunks whose digest occurs earlier, for each text that has such chunks.
+    """(_id, _h, _copies): places of the runs whose digest occurs earlier, for each text that has such runs.
 
     The first occurrence of a digest is combined before the shuffle; the join back splits hot digests.
     """
@@ -81,18 +109,21 @@ def copies(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "first")
     found = rows.join(first, F.col("digest") == F.col("same"))
     itself = F.col("first._id").eqNullSafe(F.col("_id")) & (F.col("first._h") == F.col("_h")) & (F.col("first.idx") == F.col("idx"))
-    return found.filter(~itself).groupBy("_id", "_h").agg(F.collect_set("idx").alias("_copies"))  # a text's own chunks at most
+    return found.filter(~itself).groupBy("_id", "_h").agg(F.collect_set("idx").alias("_copies"))  # a text's own runs at most
 
 
 def removed_spans(text: bytes, marked: np.ndarray, min_words: int) -> list[tuple[int, int]]:
-    """Byte ranges to take out: runs of marked chunks with ``min_words`` words, up to the chunk that follows."""
+    """Byte ranges to take out: the union of the marked runs, up to the chunk that follows."""
     data = np.frombuffer(text, np.uint8)
-    starts, _, words, _ = chunk_spans(data, np.array([0, len(data)]))
-    copy = np.zeros(len(starts) + 2, bool)
-    copy[1 + marked] = True
+    starts, _, words, cut = chunk_spans(data, np.array([0, len(data)]))
+    first, ends = run_spans(words, cut, min_words)
+    open_runs = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(open_runs, first[marked], 1)
+    np.add.at(open_runs, ends[marked], -1)
+    copy = np.append(False, np.cumsum(open_runs) > 0)
     edge = np.flatnonzero(copy[1:] != copy[:-1])
-    total, bounds = np.concatenate([[0], np.cumsum(words)]), np.append(starts, len(data))
-    return [(int(bounds[a]), int(bounds[b])) for a, b in zip(edge[::2], edge[1::2], strict=True) if total[b] - total[a] >= min_words]
+    bounds = np.append(starts, len(data))
+    return [(int(bounds[a]), int(bounds[b])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
 def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -104,7 +135,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
     """
     text = F.col(text_col).cast("string")
     keyed = df.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.hash(text)})
-    dups = copies(chunk_rows(keyed.filter(text.isNotNull()).select("_id", "_h", text.alias("_text"))))
+    dups = copies(run_rows(keyed.filter(text.isNotNull()).select("_id", "_h", text.alias("_text")), min_words))
     dups = dups.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "_copies")
     joined = keyed.join(dups, (F.coalesce("_id", F.lit(0)) == F.coalesce("_id2", F.lit(0))) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
     joined = joined.select(*df.columns, "_copies")

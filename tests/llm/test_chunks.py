@@ -77,3 +77,34 @@ def test_passages(spark, frame):
     assert all(by[i]["removed"] == [] for i in (504, 505))
     assert [r["text"] for r in got if r["doc_id"] is None] == ["", ""]
     assert chunks.dedupe(frame([])).collect() == []
+
+
+def uncopied(rows, got, n=16):
+    """Removed ranges of which some word is in no n-word window that occurs earlier, by brute force."""
+    seen, bad = set(), []
+    for (i, text), removed in zip(rows, got, strict=True):
+        w = text.split()
+        starts = np.cumsum([0] + [len(x.encode()) + 1 for x in w])
+        again = np.zeros(len(w), bool)
+        for k in range(len(w) - n + 1):
+            again[k:k + n] |= tuple(w[k:k + n]) in seen
+            seen.add(tuple(w[k:k + n]))
+        for r in removed:
+            a, b = np.searchsorted(starts, [r["start"], r["end"]])
+            if not again[a:b].all():
+                bad.append((i, a, b))
+    return bad
+
+
+def test_small_vocabulary_is_not_a_copy(spark, frame):
+    """Chunks of few words all occur earlier somewhere; runs of them do not occur in one passage."""
+    ship(spark)
+    rng = random.Random(5)
+    vocabulary = words(rng, 12).split()
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(200))) for i in range(400)]
+    passage = rows[3][1].split()[50:120]
+    rows.append((400, " ".join(rng.choice(vocabulary) for _ in range(60)) + " " + " ".join(passage) + " " + rows[9][1][:20]))
+    by = {r["doc_id"]: r["removed"] for r in chunks.dedupe(frame(rows)).collect()}
+    got = [by[i] for i, _ in rows]
+    assert uncopied(rows, got) == []
+    assert not any(got[:400]) and sum(r["end"] - r["start"] for r in got[400]) > len(" ".join(passage)) / 2
