@@ -1,7 +1,8 @@
 """Substring deduplication with content-defined chunks.
 
 A gear rolling hash over the last 16 bytes marks boundaries; a chunk ends with the word in which a mark falls, so chunks hold
-whole words and depend on nearby text only: an insertion moves no boundary beyond it. From and up to each chunk there is a run,
+whole words and depend on nearby text only: an insertion moves no boundary beyond it. Where marks are far apart, as in passages
+of a short period, words of locally least hash end chunks too, and no chunk has over ``MOST_WORDS`` words. From and up to each chunk there is a run,
 the fewest consecutive chunks that have ``min_words`` words; runs are compared by digest over the whole corpus. A run whose digest occurs
 earlier, by document id and place, is a copy of that one passage and is taken out of the text. Shorter agreements, such as
 common phrases, stay, also where they follow each other.
@@ -16,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from preflens.llm.store import drop_table, keep, release
 from preflens.llm.words import _power, hash_spans, mix, row_slices, text_bytes, word_spans
 
 WINDOW = 16
 MARK_EVERY = 24  # bytes between marks, on average
 MIN_WORDS = 16
+MOST_WORDS = 12  # a longer chunk is cut at words of least hash, and after so many words at the latest
+NEAR = 3  # words on each side that the hash of such a word is compared with
+MOST_BITS = 1 << 28
 SLICE_BYTES = 1 << 21
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -39,6 +44,17 @@ def gear_marks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(h[at]) < np.uint64(2**64 // MARK_EVERY)
 
 
+def least_words(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """Whether no word of the same row has a lesser hash within ``NEAR`` words; of equal words in a row only the first."""
+    at = np.arange(len(hashes)) + NEAR * (row + 1)
+    h = np.full(len(hashes) + NEAR * (rows + 1), np.uint64(2**64 - 1))
+    h[at] = hashes
+    out = h[at - 1] != hashes
+    for step in range(1, NEAR + 1):
+        out &= (hashes <= h[at - step]) & (hashes <= h[at + step])
+    return out
+
+
 def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, words) of every chunk, and the chunk offsets of the rows."""
     starts, ends = word_spans(data, offsets)
@@ -49,6 +65,17 @@ def chunk_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     closes = marks[ends] > marks[starts]
     closes[:-1] |= row[1:] != row[:-1]
     closes[-1] = True
+    for limit in ("least", "most"):
+        last = np.flatnonzero(closes)
+        words = np.diff(last, prepend=-1)
+        if (words <= MOST_WORDS).all():
+            break
+        far = np.repeat(words > MOST_WORDS, words)
+        if limit == "least":
+            closes |= far & least_words(hash_spans(data, starts, ends, lower=False), row, len(offsets) - 1)
+        else:
+            place = np.arange(len(starts)) - np.repeat(last - words + 1, words)
+            closes |= far & (place % MOST_WORDS == MOST_WORDS - 1)
     last = np.flatnonzero(closes)
     first = np.concatenate([[0], last[:-1] + 1])
     return starts[first], ends[last], last - first + 1, np.searchsorted(starts[first], offsets)
@@ -78,8 +105,9 @@ def run_digests(digests: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.
     return mix((sums[ends] - sums[first]) * down[first] + (ends - first).astype(np.uint64))
 
 
-def run_rows(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(digest, _id, _h, idx) of every run of rows (_id, _h, _text)."""
+def run_rows(df: DataFrame, min_words: int = MIN_WORDS, bits: np.ndarray | None = None) -> DataFrame:
+    """(digest, _id, _h, idx) of every run of rows (_id, _h, _text); with ``bits``, of those whose bit is set."""
+    shared = None if bits is None else df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,8 +119,12 @@ def run_rows(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 digest = run_digests(hash_spans(part, starts, ends, lower=False), first, until)
                 runs = np.searchsorted(first, cut)
                 n = np.diff(runs)
-                row = pa.array(np.repeat(np.arange(lo, hi), n))
-                idx = np.arange(len(first)) - np.repeat(runs[:-1], n)
+                row, idx = np.repeat(np.arange(lo, hi), n), np.arange(len(first)) - np.repeat(runs[:-1], n)
+                if shared is not None:
+                    at = digest & np.uint64(64 * len(shared.value) - 1)
+                    found = np.flatnonzero(shared.value[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
+                    digest, row, idx = digest[found], row[found], idx[found]
+                row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(digest.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(idx.astype(np.int32)),
                 ], names=["digest", "_id", "_h", "idx"])
@@ -100,6 +132,25 @@ def run_rows(df: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return df.mapInArrow(run, "digest long, _id long, _h int, idx int")
 
 
+def repeated_runs(df: DataFrame, min_words: int) -> DataFrame:
+    """(digest, _id, _h, idx) of every run whose digest occurs twice, and of a few others.
+
+    Digests are counted first, without their places. A bit for each repeated one, in a table of ``MOST_BITS`` at most, lets the
+    tasks leave out the rows of other digests; one that shares its bit passes, so no repeated run is lost.
+    """
+    spark = df.sparkSession
+    twice = keep(run_rows(df, min_words).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "repeated-runs")
+    size = min(MOST_BITS, max(1 << 16, 1 << (16 * twice.count()).bit_length()))
+    at = F.col("digest").bitwiseAND(F.lit(size - 1))
+    words = twice.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(digest & 63 as int))")).alias("bits")).toArrow()  # size / 64 rows at most
+    bits = np.zeros(size // 64, np.uint64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    found = keep(run_rows(df, min_words, bits), "runs")
+    drop_table(spark, twice)
+    release(spark)
+    return found
+
+
 def copies(rows: DataFrame) -> DataFrame:
     """(_id, _h, _copies): places of the runs whose digest occurs earlier, for each text that has such runs.
 
@@ -135,7 +186,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
     """
     text = F.col(text_col).cast("string")
     keyed = df.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.hash(text)})
-    dups = copies(run_rows(keyed.filter(text.isNotNull()).select("_id", "_h", text.alias("_text")), min_words))
+    dups = copies(repeated_runs(keyed.filter(text.isNotNull()).select("_id", "_h", text.alias("_text")), min_words))
     dups = dups.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "_copies")
     joined = keyed.join(dups, (F.coalesce("_id", F.lit(0)) == F.coalesce("_id2", F.lit(0))) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
     joined = joined.select(*df.columns, "_copies")

@@ -108,3 +108,28 @@ def test_small_vocabulary_is_not_a_copy(spark, frame):
     got = [by[i] for i, _ in rows]
     assert uncopied(rows, got) == []
     assert not any(got[:400]) and sum(r["end"] - r["start"] for r in got[400]) > len(" ".join(passage)) / 2
+
+
+def test_chunks_have_a_maximum_and_periods_go(spark, frame):
+    """Periodic passages, and passages of 51 words without a mark in most of them, lose more than half in the later document."""
+    ship(spark)
+    rng = random.Random(6)
+
+    def unmarked():
+        while True:
+            text = words(rng, 51)
+            at = np.flatnonzero(chunks.gear_marks(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())])))
+            if not len(at) or len(text.encode()[:at[0]].split()) > 20:
+                return text
+
+    passages = [unmarked() for _ in range(6)] + [" ".join([words(rng, p)] * (120 // p)) for p in (1, 2, 3, 4, 5, 7, 9, 12, 13, 17, 24)]
+    rows = []
+    for k, p in enumerate(passages):
+        rows += [(k, words(rng, 40) + " " + p + " " + words(rng, 40)), (100 + k, words(rng, 33) + " " + p + " " + words(rng, 40))]
+        _, _, n, _ = chunks.chunk_spans(*text_bytes(pa.array([rows[-1][1]])))
+        assert n.max() <= chunks.MOST_WORDS
+    got = {r["doc_id"]: r["text"] for r in chunks.dedupe(frame(rows)).collect()}
+    for k, p in enumerate(passages):
+        gone = len(dict(rows)[100 + k].split()) - len(got[100 + k].split())
+        assert gone > len(p.split()) / 2, (k, gone)
+    assert all(got[k] == dict(rows)[k] for k in range(6))
