@@ -1,9 +1,9 @@
 """Document fingerprints by consistent weighted sampling.
 
-A text is a weighted set: its words (A-Z lower-cased) hashed into 2^16 terms, weighted by their counts. For each of ``SAMPLES``
-hash functions, gamma and uniform numbers fixed per term turn weights into sampling keys; the smallest key's (term, level) is
-the sample. Two texts agree on a sample with the probability of their generalised Jaccard similarity, the sum of the smaller
-weights over the sum of the larger. Keys of the common weights are tabulated once for each worker.
+A text is a weighted set: its words (A-Z lower-cased) as 64-bit hashes, weighted by their counts. For each of ``SAMPLES``
+hash functions, gamma and uniform numbers mixed from the word's hash turn weights into sampling keys; the smallest key's (word,
+level) is the sample. Two texts agree on a sample with the probability of their generalised Jaccard similarity, the sum of the
+smaller weights over the sum of the larger. The numbers are made once for each distinct word of a block of words.
 """
 
 from __future__ import annotations
@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 from preflens.llm.words import hash_spans, mix, row_slices, text_bytes, word_spans
 
 SAMPLES = 64
-TERM_BITS = 16
 SEED = 2024
 SLICE_BYTES = 1 << 21
 GATHER = 1 << 15
@@ -31,29 +30,36 @@ MOST_BUCKETS = 10_000  # ranges; beyond 40 GB of text they grow, and tasks strea
 
 
 @functools.lru_cache(1)
-def parameters(samples: int = SAMPLES, seed: int = SEED) -> tuple[np.ndarray, ...]:
-    """Gamma(2, 1) numbers r, log of Gamma(2, 1) numbers c, uniform b for each term and sample; keys of weight 1."""
-    rng = np.random.default_rng(seed)
-    shape = (1 << TERM_BITS, samples)
-    uniform = lambda: rng.random(shape, dtype=np.float32) + np.float32(1e-9)
-    r = -np.log(uniform() * uniform())
-    log_c = np.log(-np.log(uniform() * uniform()))
-    b = rng.random(shape, dtype=np.float32)
+def parameters(samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
+    """Odd factors and offsets (2 x 2 x samples) of the hash functions."""
+    draws = np.random.default_rng(seed).integers(0, 2**64, (2, 2, samples), dtype=np.uint64)
+    draws[:, 0] |= np.uint64(1)
+    return draws
+
+
+def numbers(terms: np.ndarray, functions: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gamma(2, 1) numbers r, log of Gamma(2, 1) numbers c, uniform b for each word hash and sample; keys of weight 1."""
+    x, y = (mix(terms[:, None] * factor + offset) for factor, offset in functions)
+    uniform = lambda bits, shift: (((bits >> np.uint64(shift)) & np.uint64(0x7FFFFF)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-23)
+    r = -np.log(uniform(x, 40)) - np.log(uniform(x, 16))
+    log_c = np.log(-np.log(uniform(y, 40)) - np.log(uniform(y, 16)))
+    b = ((x & np.uint64(0xFFF)) << np.uint64(12) | y & np.uint64(0xFFF)).astype(np.float32) * np.float32(2**-24)
     return r, log_c, b, log_c - r * (1 - b)  # floor(0 / r + b) = 0
 
 
 def weighted_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, weight) of the texts, ordered by row and term."""
+    """(row, word hash, weight) of the texts, ordered by row and hash."""
     starts, ends = word_spans(data, offsets)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    key = row << TERM_BITS | (hash_spans(data, starts, ends) >> np.uint64(64 - TERM_BITS)).astype(np.int64)
-    key, weight = np.unique(key, return_counts=True)
-    return key >> TERM_BITS, key & ((1 << TERM_BITS) - 1), weight
+    row, term = np.searchsorted(offsets, starts, "right") - 1, hash_spans(data, starts, ends)
+    order = np.lexsort((term, row))
+    row, term = row[order], term[order]
+    heads = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (term[1:] != term[:-1]))) if len(row) else order
+    return row[heads], term[heads], np.diff(np.append(heads, len(row)))
 
 
 def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
     """16-bit digest of the sample (term, level) for each row and hash function; 0 for a text without words."""
-    r, log_c, b, first = parameters(samples)
+    functions = parameters(samples)
     n = len(offsets) - 1
     best = np.full((n, samples), np.inf, np.float32)
     out = np.zeros((n, samples), np.uint16)
@@ -61,7 +67,9 @@ def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) ->
     lo = 0
     while lo < len(row):
         hi = min(len(row), lo + GATHER)
-        rows, terms = row[lo:hi], term[lo:hi]
+        rows = row[lo:hi]
+        words, terms = np.unique(term[lo:hi], return_inverse=True)
+        r, log_c, b, first = numbers(words, functions)
         keys = first[terms]
         level = np.zeros(keys.shape, np.float32)
         many = np.flatnonzero(weight[lo:hi] > 1)
@@ -73,7 +81,7 @@ def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) ->
         least = np.minimum.reduceat(keys, heads, axis=0)
         group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(rows))))
         at, sample = np.nonzero(keys == least[group])
-        digest = mix((terms[at].astype(np.uint64) << np.uint64(32)) + (level[at, sample].astype(np.int64) + 1024).astype(np.uint64)) >> np.uint64(48)
+        digest = mix(words[terms[at]] + np.uint64(0x9E3779B97F4A7C15) * (level[at, sample].astype(np.int64) + 1024).astype(np.uint64)) >> np.uint64(48)
         at, sample, digest = at[::-1], sample[::-1], digest[::-1]  # of equal keys the first term stays
         found = np.zeros(least.shape, np.uint16)
         found[group[at], sample] = digest

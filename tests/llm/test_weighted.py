@@ -64,3 +64,18 @@ def test_edits(spark, frame):
     assert one[0]["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
     twice = weighted.compare_with_edits(frame([(5, "abcd"), (5, "abcd"), (6, "zz")])).collect()
     assert len(twice) == 3
+
+
+def test_collision_rate_of_long_texts():
+    """Against the similarity of the real words: 120,000 distinct words, 0.5 in common."""
+    a, b = ([f"word{i}" for i in range(lo, lo + 90_000)] for lo in (0, 30_000))
+    data, offsets = text_bytes(pa.array([" ".join(a), " ".join(b)]))
+    want = len({*a} & {*b}) / len({*a} | {*b})
+    got = []
+    for seed in range(6):
+        functions = weighted.parameters.__wrapped__(weighted.SAMPLES, seed)
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(weighted, "parameters", lambda s, f=functions: f)
+            s = weighted.signatures(data, offsets)
+        got.append((s[0] == s[1]).mean())
+    assert abs(np.mean(got) - want) < 0.08, (want, got)
