@@ -133,23 +133,38 @@ def pack_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names=batch.schema.names)
 
 
+def hash_parts(n: int, last: bool = False) -> np.ndarray:
+    """``n`` limits that part the signed 64-bit numbers evenly, and the highest number if ``last``."""
+    return np.array([(i << 64) // (n + 1) - (1 << 63) for i in range(1, n + 1)] + [(1 << 63) - 1] * last, np.int64)
+
+
 def with_neighbours(df: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
     """Rows (_bucket, _guest, _id, _h, _text), texts compressed, dealt into id ranges and sorted by descending id in each.
 
     A range also gets, as a guest, the first row of the next lower range (the lowest range: the very first row), so that every
-    row finds its neighbour in its own range. One shuffle of the texts; the range limits are quantiles of the ids alone.
+    row finds its neighbour in its own range. One shuffle of the texts; the range limits are quantiles of the ids, and equal
+    parts of the hashes of the texts for null ids and for an id that is several quantiles.
     """
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     points = [i / buckets for i in range(1, buckets)]
-    limits = sorted(set(rows.agg(F.percentile_approx("_id", points, 10 * buckets)).first()[0] or [])) if points else []
-    bounds = np.array(limits, np.int64)
+    found = rows.agg(F.percentile_approx("_id", points, 10 * buckets) if points else F.lit(None), F.count(F.lit(1)), F.count("_id")).first()
+    ids, times = np.unique(np.array(found[0] or [], np.int64), return_counts=True)
+    # A row is over a limit if its (id, hash) is greater; the last limit of an id is over all its rows.
+    parts = [hash_parts(int(n) if n > 1 else 0, last=True) for n in times]
+    limit_ids, limit_hashes = np.repeat(ids, [len(p) for p in parts]), np.concatenate([np.zeros(0, np.int64), *parts])
+    null_hashes = hash_parts((found[1] - found[2]) * buckets // max(1, found[1]))
 
     @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(bounds) - np.searchsorted(bounds, ids.to_numpy(np.int64)))
+    def range_of(ids: pd.Series, is_known: pd.Series, hashes: pd.Series) -> pd.Series:
+        key, known, h = ids.to_numpy(np.int64), is_known.to_numpy(bool), hashes.to_numpy(np.int64)
+        at, until = np.searchsorted(limit_ids, key), np.searchsorted(limit_ids, key, "right")
+        for i in np.unique(at[until - at > 1]):
+            rows = np.flatnonzero((at == i) & (until - at > 1))
+            at[rows] = i + np.searchsorted(limit_hashes[i:until[rows[0]]], h[rows])
+        return pd.Series(np.where(known, len(limit_ids) - at, len(limit_ids) + 1 + len(null_hashes) - np.searchsorted(null_hashes, h)))
 
     # Ranges are numbered from the highest ids on; null ids come last.
-    rows = rows.withColumn("_bucket", F.when(F.col("_id").isNull(), F.lit(len(limits) + 1)).otherwise(range_of(F.coalesce("_id", F.lit(0)))))
+    rows = rows.withColumn("_bucket", range_of(F.coalesce("_id", F.lit(0)), F.col("_id").isNotNull(), F.xxhash64("_text")))
     order = F.struct(F.col("_id").isNotNull().alias("known"), "_id", F.xxhash64("_text").alias("h"))
     heads = sorted((r["_bucket"], r["head"]) for r in rows.groupBy("_bucket").agg(F.max(order).alias("head")).collect())  # a row per range
     if not heads:

@@ -79,3 +79,21 @@ def test_collision_rate_of_long_texts():
             s = weighted.signatures(data, offsets)
         got.append((s[0] == s[1]).mean())
     assert abs(np.mean(got) - want) < 0.08, (want, got)
+
+
+def test_null_and_repeated_ids_are_parted(spark, frame):
+    ship(spark)
+    rng = random.Random(5)
+    rows = [(rng.choice([None, 7, -(1 << 62), (1 << 60) + i]), f"{i} " + " ".join(rng.choice("abcd") for _ in range(9))) for i in range(600)]
+    df = frame(rows)
+    sizes = Counter(r["_bucket"] for r in weighted.with_neighbours(df, "doc_id", "text", 20).filter("not _guest").collect())
+    assert sum(sizes.values()) == 600 and max(sizes.values()) < 90
+    texts = df.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()
+    texts.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]), reverse=True)
+    want = []
+    for r, after in zip(texts, texts[1:] + texts[:1], strict=True):
+        half = len(r["text"]) // 2
+        edited = r["text"][:len(r["text"]) - half] + after["text"][:half]
+        want.append((repr(r["doc_id"]), hashlib.sha256(edited.encode()).hexdigest()))
+    got = [(repr(r[0]), r["edited_sha256"]) for r in weighted.compare_with_edits(df, buckets=20).collect()]
+    assert sorted(got) == sorted(want)
