@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preflens.frames import ship
-from preflens.llm import archive, chunks, classlm, fourier, jaccard, language, packing, rules, transducer, weighted
+from preflens.llm import (
+    archive, chunks, classlm, collocations, fourier, jaccard, language, mainblock, packing, resample, rules, transducer, weighted,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +58,18 @@ def op10_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_dynamic_itemsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_best_subsequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mainblock.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_language_bitmask": op1_language_bitmask,
     "op2_decision_list": op2_decision_list,
@@ -67,6 +81,9 @@ QUERIES = {
     "op8_transducer_bpe": op8_transducer_bpe,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_trie_jaccard": op10_trie_jaccard,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_dynamic_itemsets": op12_dynamic_itemsets,
+    "op13_best_subsequence": op13_best_subsequence,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_importance_resampling": resample.SQL, "op12_dynamic_itemsets": collocations.SQL}
