@@ -1,6 +1,6 @@
 """Phrase collocations by dynamic itemset counting.
 
-The corpus is cut into shards that are scanned in turn, again and again. Words are counted from the first scan on. A longer phrase
+The texts are written once as numbered words. The corpus is cut into shards that are scanned in turn, again and again. Words are counted from the first scan on. A longer phrase
 is counted from the scan after both its subphrases (without its last word, without its first word) have reached the threshold, so
 lengths are counted side by side, and until it has seen each shard once. The scans end when nothing is under count any more.
 
@@ -8,7 +8,7 @@ Tasks learn from a Bloom filter which phrases are frequent. It only ever gains b
 not, is let through by all later scans: every counted phrase sees each shard exactly once and its count is exact; a full filter
 costs time, not results.
 
-Null text: no words. Null language: ``und``. Texts are read whole, about 4 MB at a time; repeated rows count each time; ties have
+Null text: no words. Null language: ``und``. Texts are read whole, about 1 MB at a time; repeated rows count each time; ties have
 a defined order. Empty tables give empty results. Columns other than the text and the language are left aside.
 """
 
@@ -27,18 +27,26 @@ from preflens.llm.words import _LOWER, _PLACE, hash_spans, mix, row_slices, text
 #: Fixed values of the contract: threshold, words of the longest phrase, rows for each language, percent of a longer phrase.
 MIN_COUNT, LONGEST, TOP, COVERED = 100, 5, 2000, 100
 SHARDS = 3
+SLICE = 1 << 20  # bytes of text that a task holds as arrays at a time; a longer text stays whole
 LANGUAGES = 10_000  # so many word totals are broadcast, more are joined
 MOST_BITS = 1 << 27  # 16 MB of filter; more frequent phrases than it can hold cost time, not results
-_COUNTS = "lang string, length int, phrase string, key long, n long"
+_ALWAYS = 1 << 30  # "since" of rows that stay open
+_CODED = "shard int, words binary, langs array<string>, word binary, lang binary, continues binary"
+_COUNTS = "gram string, key long, n long"  # gram: language, tab, words
 _KIND = np.zeros(256, np.uint8)  # 0 word, 1 between words, 2 between pieces
 _KIND[[0x20, 0x09]] = 1
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 
 
 class Words:
-    """The words of a slice of texts: number, spelling and hash of each, and whether it continues the piece of the word before."""
+    """The words of a slice of texts by number, with their spelling, language and whether a word continues the piece of the one before."""
 
-    def __init__(self, texts: pa.Array, langs: pa.Array):
+    def __init__(self, spelling: pa.Array, langs: pa.Array, word: np.ndarray, lang: np.ndarray, continues: np.ndarray):
+        self.spelling, self.langs, self.word, self.lang, self.continues = spelling, langs, word, lang, continues
+        self.hash, self.lang_hash = _hashes(spelling)[word], _hashes(langs)
+
+    @classmethod
+    def of_texts(cls, texts: pa.Array, langs: pa.Array) -> Words:
         data, offsets = text_bytes(texts)
         data = _LOWER[data]
         kind = _KIND[data]
@@ -51,48 +59,61 @@ class Words:
         starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
         row = np.searchsorted(offsets, starts, "right") - 1
         piece = np.cumsum(kind == 2)[starts] if len(starts) else starts
-        self.continues = np.zeros(len(starts) + 1, bool)
-        self.continues[1:len(starts)] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
+        continues = np.zeros(len(starts) + 1, bool)
+        continues[1:len(starts)] = (row[1:] == row[:-1]) & (piece[1:] == piece[:-1])
         spelled = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
         words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(spelled), pa.py_buffer(data[inside]))
         words = words.dictionary_encode()
-        self.spelling, self.word = words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         langs = pc.fill_null(langs, "und").dictionary_encode()
-        self.langs, self.lang = langs.dictionary, langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)[row]
-        distinct, self.number = np.unique(self.lang * max(1, len(self.spelling)) + self.word, return_inverse=True)
-        lang, word = np.divmod(distinct, max(1, len(self.spelling)))
-        self.hash = mix(_hashes(self.spelling)[word] + _hashes(self.langs)[lang] * _PLACE[63])[self.number]
+        word, lang = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (words, langs))
+        return cls(words.dictionary, langs.dictionary, word, lang[row], continues)
+
+    @classmethod
+    def of_row(cls, words: bytes, langs: list[str], word: bytes, lang: bytes, continues: bytes) -> Words:
+        """Back from a row of the coded table."""
+        spelling = pc.list_flatten(pc.split_pattern(pa.array([words.decode()], pa.large_string()), " "))
+        number, of = (np.frombuffer(x, np.int32).astype(np.int64) for x in (word, lang))
+        links = np.unpackbits(np.frombuffer(continues, np.uint8), count=len(number) + 1).view(bool)
+        return cls(spelling, pa.array(langs, pa.large_string()), number, of, links)
+
+    def row(self) -> tuple:
+        return (" ".join(self.spelling.to_pylist()).encode(), self.langs.to_pylist(), self.word.astype(np.int32).tobytes(),
+                self.lang.astype(np.int32).tobytes(), np.packbits(self.continues).tobytes())
 
     def __len__(self) -> int:
         return len(self.word)
 
     def keys(self, at: np.ndarray, length: int) -> np.ndarray:
         """Hash of the phrases of this length that start at the given words."""
-        total = np.full(len(at), length, np.uint64)
+        total = self.lang_hash[self.lang[at]] + np.uint64(length)
         for k in range(length):
             total += self.hash[at + k] * _PLACE[k]
         return mix(total)
 
     def counts(self, at: np.ndarray, length: int) -> pa.RecordBatch:
         """Rows of the counts table for the phrases that start there; equal numbers of equal words, so no hash decides."""
-        number, size = self.number[at], int(self.number.max(initial=0)) + 1
+        size = len(self.spelling)
+        number = self.lang[at] * size + self.word[at]
         for k in range(1, length):
-            number = np.unique(number * size + self.number[at + k], return_inverse=True)[1]
+            if k > 1:
+                number = np.unique(number, return_inverse=True)[1]
+            number = number * size + self.word[at + k]
         _, one, n = np.unique(number, return_index=True, return_counts=True)
         one = at[one]
-        parts = [self.spelling.take(pa.array(self.word[one + k])) for k in range(length)]
-        phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())) if length > 1 else parts[0]
-        return _batch(self.langs.take(pa.array(self.lang[one])), length, phrase, self.keys(one, length).view(np.int64), n)
+        phrase = [self.spelling.take(pa.array(self.word[one + k])) for k in range(length)]
+        return _batch(self.langs.take(pa.array(self.lang[one])), phrase, self.keys(one, length), n)
 
     def totals(self) -> pa.RecordBatch:
         """Number of words of each language, as phrases without words."""
         n = np.bincount(self.lang, minlength=len(self.langs))
-        return _batch(self.langs, 0, pa.array([""] * len(n), pa.large_string()), np.zeros(len(n), np.int64), n)
+        return _batch(self.langs, [pa.array([""] * len(n), pa.large_string())], np.zeros(len(n), np.uint64), n)
 
 
-def _batch(lang, length, phrase, key, n) -> pa.RecordBatch:
-    columns = [lang.cast(pa.string()), pa.array(np.full(len(n), length, np.int32)), phrase.cast(pa.string()), pa.array(key), pa.array(n, pa.int64())]
-    return pa.RecordBatch.from_arrays(columns, ["lang", "length", "phrase", "key", "n"])
+def _batch(lang, words, key, n) -> pa.RecordBatch:
+    space, tab = pa.scalar(" ", pa.large_string()), pa.scalar("\t", pa.large_string())
+    phrase = pc.binary_join_element_wise(*words, space) if len(words) > 1 else words[0]
+    gram = pc.binary_join_element_wise(lang, phrase, tab)
+    return pa.RecordBatch.from_arrays([gram.cast(pa.string()), pa.array(key.view(np.int64)), pa.array(n, pa.int64())], ["gram", "key", "n"])
 
 
 def _hashes(texts: pa.Array) -> np.ndarray:
@@ -115,15 +136,11 @@ def _count_shard(shard: DataFrame, now, before, longest: int) -> DataFrame:
     def count(batches):
         filters = [None if b is None else b.value for b in (now, before)]
         for batch in batches:
-            langs, column = batch.column(0).cast(pa.large_string()), batch.column(1).cast(pa.large_string())
-            for lo, hi in row_slices(text_bytes(column)[1]):
-                words = Words(column.slice(lo, hi - lo), langs.slice(lo, hi - lo))
-                if not len(words):
-                    continue
-                every = np.arange(len(words))
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
+                words = Words.of_row(*row)
                 if filters[1] is None:
                     yield words.totals()
-                    yield words.counts(every, 1)
+                    yield words.counts(np.arange(len(words)), 1)
                 able = [np.ones(len(words) + 1, bool) for _ in filters]  # may a phrase of this length start here?
                 able[0][-1] = able[1][-1] = False
                 for length in range(2, longest + 1):
@@ -137,7 +154,7 @@ def _count_shard(shard: DataFrame, now, before, longest: int) -> DataFrame:
                     if len(fresh):
                         yield words.counts(fresh, length)
 
-    return shard.select("lang", "text").mapInArrow(count, _COUNTS)
+    return shard.select("words", "langs", "word", "lang", "continues").mapInArrow(count, _COUNTS)
 
 
 def _filter_bits(frequent: DataFrame, n_bits: int) -> np.ndarray:
@@ -153,12 +170,24 @@ def _filter_bits(frequent: DataFrame, n_bits: int) -> np.ndarray:
 
 
 def in_shards(docs: DataFrame, shards: int, text: str, lang: str) -> tuple[DataFrame, str]:
-    """The table written once, its rows dealt in turn to the shards, each in a folder of its own."""
+    """The texts as numbered words, written once: rows dealt in turn to the shards, some thousand texts to a row of the table."""
     spark, path = docs.sparkSession, new_path(docs.sparkSession, "shards")
+
+    def code(batches):
+        types = [pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for shard in range(shards):
+                rows = pa.array(np.arange(shard, batch.num_rows, shards))
+                langs, texts = (batch.column(i).cast(pa.large_string()).take(rows) for i in (0, 1))
+                for lo, hi in row_slices(text_bytes(texts)[1], SLICE):
+                    words = Words.of_texts(texts.slice(lo, hi - lo), langs.slice(lo, hi - lo))
+                    if len(words):
+                        row = [pa.array([x], t) for x, t in zip((shard, *words.row()), types)]
+                        yield pa.RecordBatch.from_arrays(row, ["shard", "words", "langs", "word", "lang", "continues"])
+
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    turn = F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int")
-    rows.withColumn("shard", turn).write.partitionBy("shard").parquet(path)
-    return spark.read.schema("lang string, text string, shard int").parquet(path), path
+    rows.mapInArrow(code, _CODED).write.partitionBy("shard").parquet(path)
+    return spark.read.schema(_CODED).parquet(path), path
 
 
 def frequent_phrases(
@@ -168,28 +197,28 @@ def frequent_phrases(
     language as its phrase of length 0."""
     spark = docs.sparkSession
     table, path = in_shards(docs, shards, text, lang)
-    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = table.agg(F.sum(F.octet_length("word"))).first()[0] or 0  # 4 bytes a word
     n_bits = 1 << 15
-    while n_bits < min(most_bits, 16 * size // (6 * min_count)):
+    while n_bits < min(most_bits, 4 * size // min_count):
         n_bits *= 2
     filters, state, step = [None], None, 0
     while True:
         now, before = filters[step], filters[step - shards] if step >= shards else None
-        words_too = step < shards
-        if not words_too and before is None:
+        if step >= shards and before is None:  # the words are done
             before = np.zeros(n_bits // 8, np.uint8)
         sent = [None if bits is None else spark.sparkContext.broadcast(bits) for bits in (now, before)]
-        found = _count_shard(table.filter(F.col("shard") == step % shards), *sent, longest).withColumn("since", F.lit(step))
+        since = F.when(F.endswith(F.col("gram"), F.lit("\t")), _ALWAYS).otherwise(step)
+        found = _count_shard(table.filter(F.col("shard") == step % shards), *sent, longest).withColumn("since", since)
         if state is not None:
             found = found.unionByName(state)
-        found = found.groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"), F.min("since").alias("since"), F.max("key").alias("key"))
+        found = found.groupBy("gram").agg(F.sum("n").alias("n"), F.min("since").alias("since"), F.max("key").alias("key"))
         # A phrase first seen in this scan is complete after shards - 1 more of them at the latest.
-        open_ = (F.col("n") >= min_count) | (F.col("length") == 0) | (F.col("since") + (shards - 1) > step)
-        found = keep(found.filter(open_), "phrases")
+        found = keep(found.filter((F.col("n") >= min_count) | (F.col("since") + (shards - 1) > step)), "phrases")
         if state is not None:
             drop_table(spark, state)
         state, step = found, step + 1
-        filters.append(_filter_bits(state.filter((F.col("n") >= min_count) & F.col("length").between(1, longest - 1)), n_bits))
+        known = _by_columns(state.filter(F.col("n") >= min_count))
+        filters.append(_filter_bits(known.filter(F.col("length").between(1, longest - 1)), n_bits))
         for b in sent:
             if b is not None:
                 b.unpersist()
@@ -198,7 +227,14 @@ def frequent_phrases(
         if step >= shards and np.array_equal(filters[step], np.zeros_like(filters[step]) if older is None else older):
             break
     drop_table(spark, path)
-    return state.filter((F.col("n") >= min_count) | (F.col("length") == 0)).select("lang", "length", "phrase", "n")
+    known = _by_columns(state.filter((F.col("n") >= min_count) | (F.col("since") == _ALWAYS)))
+    return known.select("lang", "length", "phrase", "n")
+
+
+def _by_columns(grams: DataFrame) -> DataFrame:
+    phrase = F.substring_index("gram", "\t", -1)
+    grams = grams.withColumns({"phrase": phrase, "lang": F.expr("left(gram, length(gram) - length(substring_index(gram, '\t', -1)) - 1)")})
+    return grams.withColumn("length", F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " "))))
 
 
 def best_cuts(counts: DataFrame) -> DataFrame:
