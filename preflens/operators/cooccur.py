@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from preflens.frames import (
-    DEFAULT_K, ITEM, ITEMS_PER_BLOCK, PREDICTION, RATING, TIMESTAMP, USER, item_pairs, top_k,
+    DEFAULT_K, ITEM, ITEMS_PER_BLOCK, PREDICTION, RATING, TIMESTAMP, USER, item_pairs, stable, top_k,
 )
+from preflens.operators.blocked import sparse_bounds, sparse_topk
 from preflens.operators.prep import exponential_decay
 
 DIGITS = 10  # scores are sums without a fixed order; rounded, equal scores tie
@@ -123,21 +124,34 @@ def recommend_k_items(
 ) -> DataFrame:
     """Best k reached items per user, whatever the sign of their scores.
 
-    Affinity meets similarity on the item, products are summed before and after the shuffle, and only k rows per user are
-    sorted. ``normalize`` (low, high, n_items) brings the scores to the rating range; ``check`` raises on repeated pairs and
-    on users without affinity.
+    Blocks of users stay in place, the similarities of their items are sent to them once, and only k rows a user leave a task
+    (``blocked.sparse_topk``). ``normalize`` (low, high, n_items) brings the scores to the rating range; ``check`` raises on
+    repeated pairs and on users without affinity. Rows without a user or an item count for nothing.
     """
     if check:
         require_unique(aff, user, item)
         if users is not None:
             require_known_users(users, aff, user)
+    aff = aff.filter(F.col(user).isNotNull() & F.col(item).isNotNull())
     wanted = aff if users is None else aff.join(users.select(user).distinct(), user, "left_semi")
-    seen = wanted if remove_seen else None
+    unity = F.col("unity") if "unity" in aff.columns else F.lit(1.0)
+    wanted = wanted.select(F.col(user).alias("user"), F.col(item).alias("item"), F.col("affinity").cast("double").alias("weight"), unity.alias("unity"))
+    wanted = stable(wanted)  # counted and then read more than once, like the links
+    half = stable(sim.select(F.col("i1").alias("item"), F.col("i2").alias("to"), F.col("sim").cast("double").alias("sim")))
+    links = half.union(half.select("to", "item", "sim").filter(F.col("to") != F.col("item")))
     if normalize is None:
-        scored = scores(wanted, sim, seen, user, item)
-    else:
-        scored = normalized_scores(wanted, sim, *normalize, seen, user, item)
-    return top_k(scored, [user], [F.col(PREDICTION).desc(), F.col(item)], k)
+        best = sparse_topk(wanted.drop("unity"), links, k, remove_seen, DIGITS)
+        return best.select(F.col("user").alias(user), F.col("item").alias(item), F.col("score").alias(PREDICTION), "rank")
+    low, high, n_items = normalize
+    bounds = sparse_bounds(wanted.select("user", "item", F.col("unity").alias("weight")), links)
+    some = F.col("n") < n_items
+    floor = F.when(some, F.least(F.col("low"), F.lit(0.0))).otherwise(F.col("low")) * low
+    span = F.greatest(F.col("high"), F.when(some, 0.0)) * high - floor
+    scale = F.try_divide(high - low, span)
+    bounds = bounds.select("user", F.coalesce(scale, F.lit(0.0)).alias("scale"), F.coalesce(low - floor * scale, F.lit(0.0)).alias("shift"), (span == 0).alias("_flat"))
+    best = sparse_topk(wanted.drop("unity").join(bounds.drop("_flat"), "user"), links, k, remove_seen, DIGITS)
+    best = best.join(bounds.select("user", "_flat"), "user").withColumn("score", F.when(~F.col("_flat"), F.col("score")))
+    return best.select(F.col("user").alias(user), F.col("item").alias(item), F.col("score").alias(PREDICTION), "rank")
 
 
 def require_known_users(test, train, user=USER) -> None:

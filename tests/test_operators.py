@@ -105,27 +105,52 @@ def test_edge_split(spark):
     assert not known & {tuple(sorted(n)) for n in neg} and len(set(neg)) == len(neg)
 
 
-@pytest.mark.parametrize("sparse", [None, "left", "right"])
-def test_blocked_topk(spark, sparse, monkeypatch):
-    monkeypatch.setattr(blocked, "DENSE_CELLS", 12)
+def test_blocked_topk(spark):
     rng = np.random.default_rng(3)
     a = rng.integers(0, 3, (23, 6)).astype(float)
     b = rng.integers(0, 3, (31, 6)).astype(float)
     seen = [(i, (i * 5) % 31) for i in range(23)]
 
     def table(m):
-        if sparse:
-            return spark.createDataFrame([(i, [int(x) for x in np.flatnonzero(r)], [float(x) for x in r[r != 0]]) for i, r in enumerate(m)],
-                                         "id long, idx array<long>, vec array<double>")
         return spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, vec array<double>")
 
-    out = blocked.blocked_topk(table(a), table(b), 4, spark.createDataFrame(seen, "l long, r long"), True, spread=sparse or "left", left_block=5, right_block=7).collect()
+    out = blocked.blocked_topk(table(a), table(b), 4, spark.createDataFrame(seen, "l long, r long"), True, left_block=5, right_block=7).collect()
     scores = a @ b.T
     for i in range(23):
         order = sorted((-scores[i, j], j) for j in range(31) if j != i and (i, j) not in seen)[:4]
         assert [(r.right, r.score) for r in sorted((o for o in out if o.left == i), key=lambda o: o.rank)] == [(j, -s) for s, j in order]
 
 
+@pytest.mark.parametrize("text_ids", [False, True])
+def test_sparse_topk(spark, monkeypatch, text_ids):
+    """Small blocks, steps of a few cells, negative links, ties, a heavy user and items without links."""
+    for name, size in (("DENSE_CELLS", 12), ("PRODUCTS", 9), ("WEIGHTS_PER_BLOCK", 20), ("LINKS_PER_BLOCK", 30)):
+        monkeypatch.setattr(blocked, name, size)
+    rng = np.random.default_rng(5)
+    name = (lambda x: f"i{x:02d}") if text_ids else (lambda x: x)
+    w = {(u, int(i)): float(rng.integers(1, 4)) for u in range(15) for i in rng.choice(25, rng.integers(1, 6), replace=False)}
+    w |= {(99, i): 1.0 for i in range(25)}
+    links = {(a, b): float(rng.integers(-2, 3)) for a in range(22) for b in range(25) if rng.random() < 0.3}
+    kind = "string" if text_ids else "long"
+    weights = spark.createDataFrame([(u, name(i), x) for (u, i), x in w.items()], f"user long, item {kind}, weight double")
+    table = spark.createDataFrame([(name(a), name(b), s) for (a, b), s in links.items()], f"item {kind}, to {kind}, sim double")
+    sums = {}
+    for (u, i), x in w.items():
+        for (a, b), s in links.items():
+            if a == i:
+                sums[u, b] = sums.get((u, b), 0.0) + x * s
+    for drop in (True, False):
+        got = sorted((r.user, r["rank"], r["item"], r.score) for r in blocked.sparse_topk(weights, table, 3, drop).collect())
+        want = []
+        for u in {u for u, _ in w}:
+            order = sorted((-s, b) for (v, b), s in sums.items() if v == u and not (drop and (u, b) in w))[:3]
+            want += [(u, r, name(b), -s) for r, (s, b) in enumerate(order, 1)]
+        assert got == sorted(want)
+    bounds = {r.user: (r.low, r.high, r.n) for r in blocked.sparse_bounds(weights, table).collect()}
+    per_user = {u: [s for (v, _), s in sums.items() if v == u] for u in {u for u, _ in sums}}
+    assert bounds == {u: (min(s), max(s), len(s)) for u, s in per_user.items()}
+
+
 def test_random_walks(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 0.5)] + [("hub", f"n{i}", 1.2) for i in range(60)] + [("a", "hub", 1.0)],
                                   "product1 string, product2 string, weight double")
