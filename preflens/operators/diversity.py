@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflens.frames import ITEM, RELEVANCE, USER, item_pairs, require_disjoint, require_rows
+from preflens.frames import ITEM, RELEVANCE, USER, hot_groups, item_pairs, require_disjoint, require_rows, stable
 from preflens.functions.arrays import cosine
 from preflens.operators.cooccur import item_similarity
 
+SET_SIZE = 2_000  # users of an item that go into one array
 COOCCURRENCE, FEATURES = "item_cooccurrence_count", "item_feature_vector"
 
 
@@ -17,18 +18,49 @@ def cooccurrence_sim(train, user=USER, item=ITEM) -> DataFrame:
     return item_similarity(train, "cosine", 1, user, item)
 
 
-def cooccurrence_sim_of(pairs, train, user=USER, item=ITEM) -> DataFrame:
-    """The same similarity for the pairs asked for: the users of the rarer item are looked up for the other one."""
-    owned = train.select(user, item).distinct()
-    freq = owned.groupBy(item).agg(F.count(F.lit(1)).cast("double").alias("_n"))
-    wanted = pairs.select("i1", "i2").distinct()
-    wanted = wanted.join(freq.select(F.col(item).alias("i1"), F.col("_n").alias("_a")), "i1")
-    wanted = wanted.join(freq.select(F.col(item).alias("i2"), F.col("_n").alias("_b")), "i2")
-    rare = F.when(F.col("_a") <= F.col("_b"), F.struct(F.col("i1").alias("x"), F.col("i2").alias("y"))).otherwise(F.struct(F.col("i2").alias("x"), F.col("i1").alias("y")))
-    users = wanted.withColumn("_r", rare).join(owned.select(F.col(user).alias("_u"), F.col(item).alias("_x")), F.col("_r.x") == F.col("_x"))
-    both = users.select("i1", "i2", "_a", "_b", "_u", F.col("_r.y").alias("_y")).join(
-        owned.select(F.col(user).alias("_v"), F.col(item).alias("_z")), (F.col("_u") == F.col("_v")) & (F.col("_y") == F.col("_z")))
-    counts = both.groupBy("i1", "i2").agg(F.count(F.lit(1)).alias("_c"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+def cooccurrence_sim_of(pairs, train, user=USER, item=ITEM, set_size=SET_SIZE) -> DataFrame:
+    """The same similarity for the pairs asked for (columns i1, i2), without those that share no user."""
+    return with_cooccurrence_sim(pairs.select("i1", "i2").distinct(), train, user, item, set_size).filter("sim > 0")
+
+
+def with_cooccurrence_sim(rows, train, user=USER, item=ITEM, set_size=SET_SIZE) -> DataFrame:
+    """Adds ``sim`` to rows with columns i1 and i2; 0 where the items share no user.
+
+    The users of an item are packed into one array, and a pair's common users are counted in place from the two arrays, so a pair
+    stays one row. Items with more than ``set_size`` users have no array: for a pair with such an item the users of its rarer item
+    are looked up one by one, on the key (user, item), which no hot item gathers in one task.
+    """
+    owned = stable(train.select(F.col(user).alias("_u"), F.col(item).alias("_i")).dropna().distinct())
+    hot = hot_groups(owned, ["_i"], set_size)
+    if hot is None:
+        return _packed_sim(rows, owned)
+    freq = owned.groupBy("_i").agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    rows = rows.join(freq.select(F.col("_i").alias("i1"), F.col("_n").alias("_a")), "i1", "left")
+    rows = rows.join(freq.select(F.col("_i").alias("i2"), F.col("_n").alias("_b")), "i2", "left")
+    is_hot = F.coalesce(F.greatest("_a", "_b") > set_size, F.lit(False))
+    cold = _packed_sim(rows.filter(~is_hot).drop("_a", "_b"), owned.join(freq.filter(F.col("_n") <= set_size), "_i", "left_semi"))
+    others = rows.filter(is_hot)
+    asked = others.select("i1", "i2", "_a", "_b").dropna().distinct()
+    found = others.drop("_a", "_b").join(_looked_up_sim(asked, owned), ["i1", "i2"], "left").na.fill(0.0, ["sim"])
+    return cold.unionByName(found)
+
+
+def _packed_sim(rows, owned) -> DataFrame:
+    sets = owned.groupBy("_i").agg(F.collect_list("_u").alias("_set"))
+    first = sets.select(F.col("_i").alias("i1"), F.col("_set").alias("_x"))
+    second = sets.select(F.col("_i").alias("i2"), F.col("_set").alias("_y"))
+    found = rows.join(first, "i1", "left").join(second, "i2", "left")
+    common = F.when(F.col("i1") == F.col("i2"), F.size("_x")).otherwise(F.size(F.array_intersect("_x", "_y")))
+    sim = common / F.sqrt(F.size("_x").cast("double") * F.size("_y"))
+    known = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    return found.withColumn("sim", F.when(known, sim).otherwise(0.0)).drop("_x", "_y")
+
+
+def _looked_up_sim(wanted, owned) -> DataFrame:
+    rarer = F.col("_a") <= F.col("_b")
+    asked = wanted.withColumns({"_i": F.when(rarer, F.col("i1")).otherwise(F.col("i2")), "_y": F.when(rarer, F.col("i2")).otherwise(F.col("i1"))})
+    users = asked.join(owned, "_i").select("i1", "i2", "_a", "_b", "_u", F.col("_y").alias("_i"))
+    counts = users.join(owned, ["_u", "_i"]).groupBy("i1", "i2", "_a", "_b").agg(F.count(F.lit(1)).alias("_c"))
     return counts.select("i1", "i2", (F.col("_c") / F.sqrt(F.col("_a") * F.col("_b"))).alias("sim"))
 
 
@@ -45,13 +77,14 @@ def feature_sim(pairs, features, item=ITEM, vec="features") -> DataFrame:
     return wanted.join(left, "i1").join(right, "i2").select("i1", "i2", cosine("_x", "_y").alias("sim"))
 
 
-def _similarity(pairs, train, features, measure, user, item):
+def _with_similarity(rows, train, features, measure, user, item):
+    """Rows with columns i1 and i2, and their ``sim``; unknown pairs have 0."""
     if measure == COOCCURRENCE:
-        return cooccurrence_sim_of(pairs, train, user, item)
+        return with_cooccurrence_sim(rows, train, user, item)
     if measure == FEATURES:
         if features is None:
             raise ValueError("item features are needed for this measure")
-        return feature_sim(pairs, features, item)
+        return rows.join(feature_sim(rows, features, item), ["i1", "i2"], "left").na.fill(0.0, ["sim"])
     raise ValueError(f"unknown similarity measure {measure!r}")
 
 
@@ -70,9 +103,8 @@ def intralist_sim(train, reco, features=None, measure=COOCCURRENCE, user=USER, i
     if check:
         _check(train, reco, user, item)
     pairs = item_pairs(reco, [user], item, with_self=False)
-    sim = _similarity(pairs, train, features, measure, user, item)
-    joined = pairs.join(sim, ["i1", "i2"], "left")
-    return joined.groupBy(user).agg(F.avg(F.coalesce("sim", F.lit(0.0))).alias("avg_il_sim"))
+    joined = _with_similarity(pairs, train, features, measure, user, item)
+    return joined.groupBy(user).agg(F.avg("sim").alias("avg_il_sim"))
 
 
 def user_diversity(train, reco, **options) -> DataFrame:
@@ -109,11 +141,8 @@ def user_item_serendipity(
     listed = listed.select(user, item, relevance)
     past = train.select(user, F.col(item).alias("_past")).distinct()
     pairs = listed.join(past, user).withColumns({"i1": F.least(item, "_past"), "i2": F.greatest(item, "_past")})
-    sim = _similarity(pairs, train, features, measure, user, item)
-    joined = pairs.join(sim, ["i1", "i2"], "left")
-    per_item = joined.groupBy(user, item).agg(
-        F.avg(F.coalesce("sim", F.lit(0.0))).alias("_sim"), F.first(relevance).alias(relevance)
-    )
+    joined = _with_similarity(pairs, train, features, measure, user, item)
+    per_item = joined.groupBy(user, item).agg(F.avg("sim").alias("_sim"), F.first(relevance).alias(relevance))
     return per_item.select(user, item, ((1 - F.col("_sim")) * F.col(relevance)).alias("user_item_serendipity"))
 
 

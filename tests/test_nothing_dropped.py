@@ -79,3 +79,19 @@ def test_overlapping_lists_raise(spark):
     assert diversity.serendipity(train, ok, check=True).count() == 1
     sims = {(r.i1, r.i2): r.sim for r in diversity.cooccurrence_sim_of(spark.createDataFrame([(1, 2), (1, 3), (2, 2)], "i1 long, i2 long"), train).collect()}
     assert sims == {(1, 2): pytest.approx(1 / 2**0.5), (2, 2): pytest.approx(1.0)}
+
+
+@pytest.mark.parametrize("set_size", [1, 3, 2_000])
+def test_similarity_of_pairs_with_hot_items(spark, set_size):
+    """Packed sets, single look-ups and their mix give the similarity of the full table."""
+    rng = np.random.default_rng(8)
+    rows = [(int(u), int(i)) for u in range(40) for i in rng.choice(12, 4, replace=False)] + [(u, 99) for u in range(40)] + [(1, 2), (1, 2), (None, 3), (4, None)]
+    train = spark.createDataFrame(rows, "userID long, itemID long")
+    pairs = spark.createDataFrame([(a, b) for a in [*range(12), 99, 500] for b in [*range(12), 99, 500] if a <= b] * 2, "i1 long, i2 long")
+    got = {(r.i1, r.i2): round(r.sim, 12) for r in diversity.cooccurrence_sim_of(pairs, train, set_size=set_size).collect()}
+    users = {}
+    for u, i in rows:
+        if u is not None and i is not None:
+            users.setdefault(i, set()).add(u)
+    want = {(a, b): round(len(users[a] & users[b]) / (len(users[a]) * len(users[b])) ** 0.5, 12) for a in users for b in users if a <= b and users[a] & users[b]}
+    assert got == want
