@@ -287,3 +287,39 @@ def test_libffm(spark):
     assert {r.id: r.value for r in lines.collect()} == {1: "1 1:1:1 2:3:5", 2: "0 1:2:1 2:3:6"}
     parsed = features.parse_libffm(lines, key=["id"]).filter("id = 1").first()
     assert (parsed.label, parsed.impression, [tuple(f) for f in parsed.features]) == (1.0, "0", [(0, 0, 1.0), (1, 2, 5.0)])
+
+
+@pytest.mark.parametrize("k,impacts,first_terms", [(1, 64, 8), (4, 2, 1), (30, 64, 8)])
+def test_doc_topk_against_all_pairs(spark, k, impacts, first_terms):
+    """Copies, ties, a word of every document, documents without partners."""
+    rng = np.random.default_rng(k)
+    words = [f"w{i}" for i in range(60)]
+    docs = [" ".join(["the", *rng.choice(words, rng.integers(1, 12))]) for _ in range(60)]
+    docs += docs[:6] + ["the", "the the", "only here", ""] + ["same text again"] * 8
+    table = spark.createDataFrame(list(enumerate(docs)), "id long, text string")
+    weights = text.tfidf(table, "id", "text", (1, 2))
+    got = {}
+    for r in text.doc_topk(weights, "id", k, impacts=impacts, first_terms=first_terms).collect():
+        got.setdefault(r["id"], []).append((r["rank"], r["other"], r["similarity"]))
+    terms = {t: i for i, t in enumerate(sorted({r["term"] for r in weights.collect()}))}
+    m = np.zeros((len(docs), len(terms)))
+    for r in weights.collect():
+        m[r["id"], terms[r["term"]]] = r["weight"]
+    sims = np.round(m @ m.T, 9)
+    for i in range(len(docs)):
+        order = sorted((-sims[i, j], j) for j in range(len(docs)) if j != i and sims[i, j] > 0)[:k]
+        assert [(a, b) for a, b, _ in sorted(got.get(i, []))] == [(n, j) for n, (_, j) in enumerate(order, 1)]
+
+
+def test_doc_topk_rows_grow_with_the_documents(spark):
+    """A word of every document pairs no documents once the floors are known: join rows stay in proportion."""
+    rng = np.random.default_rng(2)
+
+    def rows(n):
+        docs = [" ".join(["the", "of", *(f"g{i // 8}x{j}" for j in rng.choice(12, 6, replace=False))]) for i in range(n)]
+        weights = text.tfidf(spark.createDataFrame(list(enumerate(docs)), "id long, text string"), "id", "text", (1, 1))
+        shared = weights.filter("df > 1").select(F.col("id").alias("_id"), "term", "df", "weight")
+        asked, _, _ = text._floors(shared, 3, None, "id", 64, 8)
+        return asked.filter("_needed").agg(F.sum("df")).first()[0]
+
+    assert rows(500) <= 6 * rows(100)
