@@ -7,9 +7,10 @@ and the drawn positions. So a draw costs one row, whatever the size of the catal
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from preflens.frames import (
@@ -18,13 +19,41 @@ from preflens.frames import (
 from preflens.operators.prep import index_ids
 
 SPAN = 1_024  # numbers per lookup block
+PRIME, ROUNDS, WALK = 2_147_483_647, 6, 16  # of the permutations: modulus of the round numbers, rounds, steps along a cycle
 SHIFT = 1_000_003  # prime; strides through the shifts of the circle of products
 
 
-def _stratum_position(draw: Column, j: Column, n: Column, pool: Column) -> Column:
-    """Random place in the j-th of n equal parts of [0, pool): n different places, each as likely as any other."""
-    low, high = F.floor(j * pool / n), F.floor((j + 1) * pool / n)
-    return low + F.floor(draw * (high - low))
+def _with_permutation(rows: DataFrame, pool: str, seed, keys: Sequence[str]) -> DataFrame:
+    """Adds the columns of one random permutation of [0, pool) for every row: its sides and the numbers its rounds are made from."""
+    side = F.ceil(F.sqrt(F.col(pool).cast("double"))).cast("long")
+    rows = rows.withColumn("_a", side).withColumn("_b", F.expr(f"({pool} + _a - 1) DIV _a"))
+    return rows.withColumns({f"_k{i}": F.floor(unit_hash(seed, *keys, F.lit(f"k{i}")) * (PRIME - 1)).cast("long") for i in range(1, 5)})
+
+
+def _permuted(rows: DataFrame, place: str, pool: str, out: str) -> DataFrame:
+    """Adds where the row's permutation sends a place of [0, pool).
+
+    Format-preserving Feistel rounds on the rectangle _a x _b, the smallest near-square one with room for pool places: each round
+    adds a number drawn from one coordinate to the other one, so places never collide. A place outside the pool walks on along its
+    cycle; a step stays outside with a chance below 1 / sqrt(pool).
+    """
+    def drawn(x: str, r: str, even: str) -> tuple[str, str]:
+        key, mix = f"((_k3 + {r} * _k4) % {PRIME})", f"(1 + (_k1 + {r} * _k2) % {PRIME - 1})"
+        return f"((if({even}, {x} % _b, {x} DIV _b) * {mix} + {key}) % {PRIME})", key
+
+    def moved(x: str, even: str, add: str) -> str:
+        return f"if({even}, (({x} DIV _b + {add}) % _a) * _b + {x} % _b, ({x} DIV _b) * _b + ({x} % _b + {add}) % _b)"
+
+    kept = [c for c in rows.columns if c not in ("_a", "_b", "_k1", "_k2", "_k3", "_k4")]
+    rows = rows.withColumn("_x", F.col(place))
+    for r in range(ROUNDS):  # a projection each, so that the rounds are compiled
+        even = "true" if r % 2 == 0 else "false"
+        first, key = drawn("_x", f"{r}L", even)
+        rows = rows.withColumn("_t", F.expr(first)).withColumn("_x", F.expr(moved("_x", even, f"((_t * _t + {key}) % {PRIME})")))
+    first, key = drawn("t", "q", "q % 2 = 0")
+    again = f"aggregate(sequence(0L, {ROUNDS - 1}L), x, (t, q) -> {moved('t', 'q % 2 = 0', f'(({first} * {first} + {key}) % {PRIME})')})"
+    walked = F.expr(f"if(_x < {pool}, _x, aggregate(sequence(1, {WALK}), _x, (x, i) -> if(x < {pool}, x, {again})))")
+    return rows.select(*kept, walked.alias(out))
 
 
 def unseen_sizes(seen: DataFrame, items: DataFrame, user=USER, item=ITEM) -> DataFrame:
@@ -55,16 +84,20 @@ def unseen_items(
 def draw_unseen(need, seen, items, keys=(), seed=SEED, replace=False, user=USER, item=ITEM, limit=ROWS_PER_TASK):
     """``need`` (user, keys..., n): n unseen items for every row, numbered by ``j``.
 
-    Without replacement n is cut to the number of unseen items.
+    Without replacement n is cut to the number of unseen items, and the draws are the first n values of a random permutation of
+    them: any n items are as likely as any others, neighbours included.
     """
     sized = need.join(unseen_sizes(seen, items, user, item), user).filter(F.col("pool") > 0)
     n = F.col("n") if replace else F.least(F.col("n"), F.col("pool"))
     drawn = sized.withColumn("_n", n).filter(F.col("_n") > 0)
+    if not replace:
+        drawn = _with_permutation(drawn, "pool", seed, [user, *keys])
     drawn = drawn.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
     if replace:
         p = F.floor(unit_hash(seed, user, *keys, "j") * F.col("pool"))
     else:
-        p = _stratum_position(unit_hash(seed, user, *keys, "j"), F.col("j"), F.col("_n"), F.col("pool"))
+        p = F.col("p")
+        drawn = _permuted(drawn, "j", "pool", "p")
     sizes = sized.groupBy(user).agg((F.sum(n) + F.first("n_seen")).alias("n"))
     return unseen_items(drawn.select(user, *keys, "j", p.alias("p")), seen, items, user, item, limit, sizes)
 
@@ -111,37 +144,68 @@ def bpr_triples(df, batch_size: int | None = None, seed=SEED, user=USER, item=IT
     return pos.join(neg.select(user, F.col(item).alias("neg")), user)
 
 
+def _hot_items(freq: DataFrame, n: int, total: int, item: str) -> list:
+    """Items that would come up again and again: the most frequent ones, as long as one has over 1 / 4n of what is left.
+
+    Each takes that share of the rest away, so there are at most 4 n ln(total) + 1 of them.
+    """
+    hot, left = [], total
+    for row in freq.orderBy(F.col("_n").desc(), item).limit(int(4 * n * math.log(total)) + 2).collect():
+        if 4 * n * row["_n"] <= left:
+            break
+        hot.append(row)
+        left -= row["_n"]
+    return hot
+
+
 def popularity_negatives(positives, history, n=4, keys=(USER, ITEM), seed=SEED, item=ITEM, cate="cate", draws=16):
-    """n distinct items other than the positive, drawn in proportion to their frequency in ``history``.
+    """n distinct items other than the positive, drawn without replacement in proportion to their frequency in ``history``.
 
-    Draws are row numbers of ``history``; a key that has met too few different items draws on, so every
-    key gets its n items. ``history`` has (item, cate).
+    An exponential race: items arrive at the rate of their frequency, the first n different ones win. Arrivals of ordinary items
+    are row numbers of ``history`` without the hot items, drawn with replacement; none of them has over 1 / 4n of these rows, so a
+    draw is new with a chance above 2/3. Hot items (see ``_hot_items``) have one arrival time each. Keys that ``draws`` arrivals
+    leave short draw 8 n + 64 more, which is the last step. ``history`` has (item, cate).
     """
     keys = list(keys)
     rows = history.select(item, cate)
-    freq = rows.groupBy(item).agg(F.count(F.lit(1)).alias("_n"), F.min(cate).alias(cate))
+    freq = stable(rows.groupBy(item).agg(F.count(F.lit(1)).alias("_n"), F.min(cate).alias(cate)))
     n_items, total = freq.agg(F.count(F.lit(1)), F.sum("_n")).first()
     if n > n_items - 1:
         raise ValueError(f"only {n_items} distinct items for {n} negatives")
+    hot = _hot_items(freq, n, total, item)
+    hot_table = freq.sparkSession.createDataFrame([tuple(r) for r in hot], freq.schema)
+    cold, total = freq.join(F.broadcast(hot_table.select(item)), item, "left_anti"), total - sum(r["_n"] for r in hot)  # few rows
     # Item x owns as many of the numbers 0 .. total - 1 as it has rows; blocks of numbers make the lookup an equi-join.
-    spans = running(freq, [], [(item, True)], {"_high": F.col("_n")}).withColumn("_low", F.col("_high") - F.col("_n"))
+    spans = running(cold, [], [(item, True)], {"_high": F.col("_n")}).withColumn("_low", F.col("_high") - F.col("_n"))
     blocks = F.sequence(F.floor(F.col("_low") / SPAN), F.floor((F.col("_high") - 1) / SPAN))
     spans = spans.select(F.col(item).alias("neg"), cate, "_low", "_high", F.explode(blocks).alias("_span"))
-    pending, done, start = positives.select(*keys).distinct(), None, 0
-    while True:
-        js = pending.withColumn("j", F.explode(F.sequence(F.lit(start), F.lit(start + draws - 1))))
-        js = js.withColumn("_at", F.floor(unit_hash(seed, *keys, "j") * total)).withColumn("_span", F.floor(F.col("_at") / SPAN))
+
+    def race(wanted: DataFrame, arrivals: int) -> DataFrame:
+        js = wanted.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(arrivals - 1))))
+        time = F.col("j").cast("double")
+        if hot:
+            time = F.sum(-F.ln(1 - unit_hash(seed, *keys, "j", F.lit("wait"))) / max(total, 1)).over(
+                Window.partitionBy(*keys).orderBy("j").rowsBetween(Window.unboundedPreceding, 0))
+        js = js.withColumn("_time", time).withColumn("_at", F.floor(unit_hash(seed, *keys, "j") * total))
+        js = js.withColumn("_span", F.floor(F.col("_at") / SPAN))
         inside = (F.col("_at") >= F.col("_low")) & (F.col("_at") < F.col("_high"))
-        hit = js.join(spans, "_span").filter(inside & (F.col("neg") != F.col(item)))
-        hit = hit.groupBy(*keys, "neg").agg(F.min("j").alias("j"), F.min(cate).alias(cate))
-        if done is not None:
-            hit = done.unionByName(hit).groupBy(*keys, "neg").agg(F.min("j").alias("j"), F.min(cate).alias(cate))
-        found = stable(top_k(hit, keys, [F.col("j")], n))
-        full = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") == n).select(*keys)
-        short = positives.select(*keys).distinct().join(full, keys, "left_anti")
-        if short.isEmpty():
-            return found.select(*keys, "neg", cate, F.col("rank").cast("long").alias("rank"))
-        pending, done, start, draws = short, found.drop("rank"), start + draws, draws * 2
+        hit = js.join(spans, "_span").filter(inside).select(*keys, "neg", cate, "_time")
+        if hot:
+            known = F.array(*[F.struct(F.lit(r[item]).alias("neg"), F.lit(r[cate]).alias(cate), F.lit(float(r["_n"])).alias("_n")) for r in hot])
+            each = wanted.withColumn("_hot", F.explode(known)).select(*keys, "_hot.*")
+            wait = -F.ln(1 - unit_hash(seed, *keys, "neg", F.lit("hot"))) / F.col("_n")
+            hit = hit.unionByName(each.withColumn("_time", wait).drop("_n"))
+        hit = hit.filter(F.col("neg") != F.col(item)).groupBy(*keys, "neg").agg(F.min("_time").alias("_time"), F.min(cate).alias(cate))
+        if hot and total:  # arrivals after the last drawn one are not known to be next
+            last = js.groupBy(*keys).agg(F.max("_time").alias("_last"))
+            hit = hit.join(last, keys).filter((F.col("_time") <= F.col("_last")) | F.lit(len(hot) == n_items)).drop("_last")
+        return top_k(hit, keys, [F.col("_time"), F.col("neg")], n)
+
+    wanted = positives.select(*keys).distinct()
+    first = stable(race(wanted, draws))
+    full = first.filter(F.col("rank") == n).select(*keys)
+    found = first.join(full, keys, "left_semi").unionByName(race(wanted.join(full, keys, "left_anti"), 8 * n + 64))
+    return found.select(*keys, "neg", cate, F.col("rank").cast("long").alias("rank"))
 
 
 def impression_negatives(rows, ratio=4, pad=False, seed=SEED, imp="imp", item="item", label="label", limit=ROWS_PER_TASK):

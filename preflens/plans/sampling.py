@@ -182,6 +182,19 @@ def sample_items(spark, sf):
 
 # ---------------------------------------------------------------- negatives
 
+def permuted(place: str) -> str:
+    """SQL of the keyed permutation of [0, pool): six rounds on the rectangle a x b, then up to 16 steps along the cycle."""
+    def rounds(x, s, r):
+        key = f"((k3 + {r} * k4) % 2147483647)"
+        half = f"(CASE WHEN {r} % 2 = 0 THEN {s} % b ELSE {s} // b END)"
+        first = f"(({half} * (1 + (k1 + {r} * k2) % 2147483646) + {key}) % 2147483647)"
+        drawn = f"(({first} * {first} + {key}) % 2147483647)"
+        moved = f"CASE WHEN {r} % 2 = 0 THEN (({s} // b + {drawn}) % a) * b + {s} % b ELSE ({s} // b) * b + ({s} % b + {drawn}) % b END"
+        return f"list_reduce([{x}, 0, 1, 2, 3, 4, 5], lambda {s}, {r}: {moved})"
+
+    return f"list_reduce(list_concat([{rounds(place, 's', 'r')}], range(16)), lambda x, i: CASE WHEN x < pool THEN x ELSE {rounds('x', 't', 'q')} END)"
+
+
 def unseen_views(seen: str, pool: str, need: str, keys: str = "", replace: bool = False) -> dict[str, str]:
     """SQL for ``draw_unseen``: view drawn has the user, the keys, j and the item."""
     names = f'"userID"{", " + keys if keys else ""}'
@@ -191,15 +204,16 @@ def unseen_views(seen: str, pool: str, need: str, keys: str = "", replace: bool
         n = "n"
     else:
         n = "least(n, pool)"
-        low, high = f"j * pool // {n}", f"(j + 1) * pool // {n}"
-        p = f"{low} + CAST(floor({h('42', *seeds, 'j')} * ({high} - {low})) AS BIGINT)"
+        p = permuted("j")
     return {
         "pool": f'SELECT "itemID", row_number() OVER (ORDER BY "itemID") - 1 AS idx FROM (SELECT DISTINCT "itemID" FROM {pool})',
         "seen_at": f"""SELECT s."userID", idx - (row_number() OVER (PARTITION BY s."userID" ORDER BY idx) - 1) AS t
             FROM (SELECT DISTINCT {PAIR} FROM {seen}) s JOIN pool ON s."itemID" = pool."itemID" """,
         "sizes": 'SELECT "userID", (SELECT count(*) FROM pool) - count(*) AS pool FROM seen_at GROUP BY 1',
         "need": need,
-        "js": f'SELECT *, unnest(range({n})) AS j FROM need JOIN sizes USING ("userID") WHERE pool > 0',
+        "js": f"""SELECT *, unnest(range({n})) AS j FROM (SELECT *, (pool + a - 1) // a AS b FROM (SELECT *,
+            CAST(ceil(sqrt(pool::DOUBLE)) AS BIGINT) AS a, {", ".join(f"CAST(floor({h('42', *seeds, chr(39) + k + chr(39))} * 2147483646) AS BIGINT) AS {k}" for k in ("k1", "k2", "k3", "k4"))}
+            FROM need JOIN sizes USING ("userID") WHERE pool > 0))""",
         "positions": f"SELECT {names}, j, {p} AS p FROM js",
         "placed": f"""SELECT d.*, count(t.t) AS before FROM positions d LEFT JOIN seen_at t
             ON t."userID" = d."userID" AND t.t <= d.p GROUP BY ALL""",

@@ -95,3 +95,48 @@ def test_similarity_of_pairs_with_hot_items(spark, set_size):
             users.setdefault(i, set()).add(u)
     want = {(a, b): round(len(users[a] & users[b]) / (len(users[a]) * len(users[b])) ** 0.5, 12) for a in users for b in users if a <= b and users[a] & users[b]}
     assert got == want
+
+
+@pytest.mark.parametrize("pool,n", [(5, 2), (7, 3)])
+def test_every_set_of_negatives_is_as_likely(spark, pool, n):
+    """Draws are the start of a random permutation: all sets, neighbours included, come equally often."""
+    users = 4_000
+    need = spark.range(users).selectExpr("id AS userID", f"{pool}L AS pool", f"{n}L AS n")
+    rows = negatives._with_permutation(need, "pool", 42, ["userID"]).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pool") - 1)))
+    rows = negatives._permuted(rows, "j", "pool", "p").select("userID", "j", "p").collect()
+    sets, whole = {}, {}
+    for r in rows:
+        whole.setdefault(r.userID, set()).add(r.p)
+        if r.j < n:
+            sets.setdefault(r.userID, set()).add(r.p)
+    assert all(x == set(range(pool)) for x in whole.values())
+    from collections import Counter
+    from math import comb
+
+    counts = Counter(frozenset(x) for x in sets.values())
+    expected = users / comb(pool, n)
+    assert len(counts) == comb(pool, n) and all(0.75 * expected < c < 1.25 * expected for c in counts.values())
+
+
+@pytest.mark.parametrize("pool", [1, 2, 3, 10, 97, 1_000, 123_457])
+def test_permutation_of_any_pool(spark, pool):
+    rows = negatives._with_permutation(spark.range(1).selectExpr("id AS userID", f"{pool}L AS pool"), "pool", 1, ["userID"])
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pool") - 1)))
+    assert negatives._permuted(rows, "j", "pool", "p").agg(F.min("p"), F.max("p"), F.count_distinct("p")).first()[:] == (0, pool - 1, pool)
+
+
+def test_popularity_draws_with_a_hot_item(spark):
+    """One item with 99 % of the rows: every key has its n items, and the hot one comes first nearly always."""
+    history = spark.createDataFrame([(0, "c0")] * 9_900 + [(i, f"c{i}") for i in range(1, 101)], "itemID long, cate string")
+    positives = spark.createDataFrame([(u, 1 + u % 100) for u in range(400)] + [(999, 0)], "userID long, itemID long")
+    rows = negatives.popularity_negatives(positives, history, 4).collect()
+    by = {}
+    for r in rows:
+        by.setdefault((r.userID, r.itemID), []).append((r["rank"], r.neg))
+        assert r.neg != r.itemID and r.cate == f"c{r.neg}"
+    assert len(by) == 401 and all(len(x) == 4 == len({i for _, i in x}) for x in by.values())
+    assert 0 not in [i for _, i in by[999, 0]]
+    assert sum(min(x)[1] == 0 for k, x in by.items() if k[1]) >= 380
+    few = spark.createDataFrame([(0, "a")] * 50 + [(1, "b")] * 5 + [(2, "c")], "itemID long, cate string")
+    got = negatives.popularity_negatives(spark.createDataFrame([(1, 0), (1, 2)], "userID long, itemID long"), few, 2).collect()
+    assert sorted((r.itemID, r.neg) for r in got) == [(0, 1), (0, 2), (2, 0), (2, 1)]
