@@ -56,19 +56,22 @@ def _permuted(rows: DataFrame, place: str, pool: str, out: str) -> DataFrame:
     return rows.select(*kept, walked.alias(out))
 
 
-def unseen_sizes(seen: DataFrame, items: DataFrame, user=USER, item=ITEM) -> DataFrame:
+def known_places(seen: DataFrame, items: DataFrame, user=USER, item=ITEM) -> DataFrame:
+    """(user, _s): index of each seen item of the catalogue."""
+    return seen.select(user, item).distinct().join(items.select(item, F.col("index").alias("_s")), item).select(user, "_s")
+
+
+def unseen_sizes(known: DataFrame, items: DataFrame, user=USER) -> DataFrame:
     """(user, n_seen, pool): seen items of the catalogue and what is left of it."""
     total = items.agg(F.count(F.lit(1))).scalar()
-    known = seen.select(user, item).distinct().join(items.select(item), item)
     sizes = known.groupBy(user).agg(F.count(F.lit(1)).alias("n_seen"))
     return sizes.withColumn("pool", total - F.col("n_seen"))
 
 
 def unseen_items(
-    draws: DataFrame, seen: DataFrame, items: DataFrame, user=USER, item=ITEM, limit=ROWS_PER_TASK, sizes: DataFrame | None = None
+    draws: DataFrame, known: DataFrame, items: DataFrame, user=USER, item=ITEM, limit=ROWS_PER_TASK, sizes: DataFrame | None = None
 ) -> DataFrame:
     """Replace column ``p`` of the draws by the user's p-th unseen item; ``sizes`` (user, n) counts draws and seen items."""
-    known = seen.select(user, item).distinct().join(items.select(item, F.col("index").alias("_s")), item).select(user, "_s")
     known = rank_rows(known, [user], [("_s", True)], "_i", limit=limit)
     carried = [c for c in draws.columns if c not in (user, "p")]
     marks = known.select(
@@ -87,7 +90,8 @@ def draw_unseen(need, seen, items, keys=(), seed=SEED, replace=False, user=USER,
     Without replacement n is cut to the number of unseen items, and the draws are the first n values of a random permutation of
     them: any n items are as likely as any others, neighbours included.
     """
-    sized = need.join(unseen_sizes(seen, items, user, item), user).filter(F.col("pool") > 0)
+    known = stable(known_places(seen, items, user, item))  # read for the sizes and for the places
+    sized = need.join(unseen_sizes(known, items, user), user).filter(F.col("pool") > 0)
     n = F.col("n") if replace else F.least(F.col("n"), F.col("pool"))
     drawn = sized.withColumn("_n", n).filter(F.col("_n") > 0)
     if not replace:
@@ -99,7 +103,7 @@ def draw_unseen(need, seen, items, keys=(), seed=SEED, replace=False, user=USER,
         p = F.col("p")
         drawn = _permuted(drawn, "j", "pool", "p")
     sizes = sized.groupBy(user).agg((F.sum(n) + F.first("n_seen")).alias("n"))
-    return unseen_items(drawn.select(user, *keys, "j", p.alias("p")), seen, items, user, item, limit, sizes)
+    return unseen_items(drawn.select(user, *keys, "j", p.alias("p")), known, items, user, item, limit, sizes)
 
 
 def negative_feedback(df, ratio=1.0, seed=SEED, user=USER, item=ITEM, pos=1, neg=0, out="feedback", limit=ROWS_PER_TASK):

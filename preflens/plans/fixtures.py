@@ -194,4 +194,10 @@ def sql(body: str, **extra: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({views[n]})" for n in needed) + "\n" + body
+    texts = [body, *(views[n] for n in needed)]
+
+    def kind(name: str) -> str:
+        uses = sum(len(re.findall(rf'\b{name}\b(?!\s*\()', t)) for t in texts)
+        return "AS MATERIALIZED" if uses > 1 else "AS"  # computed once
+
+    return "WITH " + ",\n".join(f"{n} {kind(n)} ({views[n]})" for n in needed) + "\n" + body
