@@ -121,6 +121,28 @@ def test_blocked_topk(spark):
         assert [(r.right, r.score) for r in sorted((o for o in out if o.left == i), key=lambda o: o.rank)] == [(j, -s) for s, j in order]
 
 
+def test_blocked_topk_skips_short_vectors(spark, monkeypatch):
+    """A table of skewed lengths: under half of the block pairs are multiplied, and the result is that of all of them."""
+    rng = np.random.default_rng(6)
+    a, b = rng.normal(size=(40, 5)), rng.normal(size=(200, 5)) * (0.9 ** np.arange(200))[:, None]
+    tables = [spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, vec array<double>") for m in (a, b)]
+    made = []
+    real = blocked.needed_blocks
+
+    def counted(*args):
+        out = real(*args)
+        made.append(out.select("lb", "rb").distinct().count())
+        return out
+
+    monkeypatch.setattr(blocked, "needed_blocks", counted)
+    got = {}
+    for r in blocked.blocked_topk(*tables, 3, left_block=8, right_block=20).collect():
+        got.setdefault(r.left, []).append((r["rank"], r.right))
+    scores = a @ b.T
+    assert {i: [j for _, j in sorted(x)] for i, x in got.items()} == {i: np.lexsort((np.arange(200), -scores[i]))[:3].tolist() for i in range(40)}
+    assert made[0] + 5 < 5 * 10 / 2
+
+
 @pytest.mark.parametrize("text_ids", [False, True])
 def test_sparse_topk(spark, monkeypatch, text_ids):
     """Small blocks, steps of a few cells, negative links, ties, a heavy user and items without links."""
