@@ -386,13 +386,15 @@ def param_grid(spark, sf):
     train, test = fx.train(spark, sf), fx.test(spark, sf)
 
     def evaluate(rank, reg):
-        pred = candidates.als_predict(train, test, rank=rank, reg=reg, iterations=3)
-        return rounded(rating.rating_report(test, pred, ["rmse", "mae"], prediction=PREDICTION), digits=4)
+        pred = candidates.als_predict(train, test, rank=rank, reg=reg)
+        report = rating.rating_report(test, pred, ["rmse", "mae"], prediction=PREDICTION)
+        return rounded(report.withColumn("n", pred.agg(F.count(F.lit(1))).scalar()), "rmse", "mae", digits=4)
 
-    return features.sweep(features.parameter_grid({"rank": [4, 8], "reg": 0.1}), evaluate)
+    return features.sweep(features.parameter_grid({"rank": [4, 8], "reg": [0.05, 0.2]}), evaluate)
 
 
-@add("param_grid_shape", "SELECT * FROM (VALUES (4, 0.1::DOUBLE, true), (8, 0.1::DOUBLE, true)) t(rank, reg, fits)")
+@add("param_grid_shape", """SELECT rank, reg, true AS fits, (SELECT count(*) FROM test WHERE "userID" IN (SELECT "userID" FROM train)
+      AND "itemID" IN (SELECT "itemID" FROM train)) AS n FROM (VALUES (4, 0.05::DOUBLE), (4, 0.2::DOUBLE), (8, 0.05::DOUBLE), (8, 0.2::DOUBLE)) t(rank, reg)""")
 def param_grid_shape(spark, sf):
-    """One report per parameter set, with errors that fit each other."""
-    return param_grid(spark, sf).select("rank", "reg", ((F.col("rmse") >= F.col("mae")) & (F.col("mae") > 0)).alias("fits"))
+    """One report per parameter set: as many scored pairs as have a known user and item, with errors that fit each other."""
+    return param_grid(spark, sf).select("rank", "reg", ((F.col("rmse") >= F.col("mae")) & (F.col("mae") > 0)).alias("fits"), "n")
