@@ -24,7 +24,9 @@ from preflens.llm.words import hash_spans, mix, row_slices, text_bytes, word_spa
 SAMPLES = 64
 SEED = 2024
 SLICE_BYTES = 1 << 21
-GATHER = 1 << 15
+TERMS = 1 << 17  # terms whose distinct words are looked up at once
+GATHER = 1 << 12  # terms whose keys are held at once
+KEPT_WORDS = 1 << 16  # words whose keys a task remembers
 TEXT_BYTES_PER_BUCKET = 4 << 20
 MOST_BUCKETS = 10_000  # ranges; beyond 40 GB of text they grow, and tasks stream them
 
@@ -47,6 +49,38 @@ def numbers(terms: np.ndarray, functions: np.ndarray) -> tuple[np.ndarray, ...]:
     return r, log_c, b, log_c - r * (1 - b)  # floor(0 / r + b) = 0
 
 
+class Keys:
+    """Keys of weight 1 of the words met lately. A memory of at most ``KEPT_WORDS`` words and those of one block: when it is full,
+    the words of the block at hand stay, so frequent words are computed once. It changes no result."""
+
+    def __init__(self, functions: np.ndarray):
+        self.functions = functions
+        self.words = np.zeros(0, np.uint64)
+        self.table = np.zeros((0, functions.shape[2]), np.float32)
+
+    def compute(self, words: np.ndarray) -> np.ndarray:
+        out = np.empty((len(words), self.table.shape[1]), np.float32)
+        for lo in range(0, len(words), 512):
+            out[lo:lo + 512] = numbers(words[lo:lo + 512], self.functions)[3]
+        return out
+
+    def rows(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A table of keys, and the place of each of the sorted distinct ``words`` in it."""
+        at = np.searchsorted(self.words, words)
+        known = np.zeros(len(words), bool)
+        inside = at < len(self.words)
+        known[inside] = self.words[at[inside]] == words[inside]
+        new = np.flatnonzero(~known)
+        keys = self.compute(words[new])
+        if len(self.words) + len(new) > KEPT_WORDS:
+            table = np.empty((len(words), keys.shape[1]), np.float32)
+            table[known], table[new] = self.table[at[known]], keys
+            self.words, self.table = words, table
+        elif len(new):
+            self.words, self.table = np.insert(self.words, at[new], words[new]), np.insert(self.table, at[new], keys, axis=0)
+        return self.table, np.searchsorted(self.words, words)
+
+
 def weighted_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, word hash, weight) of the texts, ordered by row and hash."""
     starts, ends = word_spans(data, offsets)
@@ -57,45 +91,52 @@ def weighted_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return row[heads], term[heads], np.diff(np.append(heads, len(row)))
 
 
-def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+def signatures(data: np.ndarray, offsets: np.ndarray, samples: int = SAMPLES, memory: Keys | None = None) -> np.ndarray:
     """16-bit digest of the sample (term, level) for each row and hash function; 0 for a text without words."""
     functions = parameters(samples)
+    memory = memory or Keys(functions)
     n = len(offsets) - 1
     best = np.full((n, samples), np.inf, np.float32)
     out = np.zeros((n, samples), np.uint16)
     row, term, weight = weighted_terms(data, offsets)
-    lo = 0
-    while lo < len(row):
-        hi = min(len(row), lo + GATHER)
-        rows = row[lo:hi]
-        words, terms = np.unique(term[lo:hi], return_inverse=True)
-        r, log_c, b, first = numbers(words, functions)
-        keys = first[terms]
-        level = np.zeros(keys.shape, np.float32)
-        many = np.flatnonzero(weight[lo:hi] > 1)
-        if len(many):
-            rr, bb = r[terms[many]], b[terms[many]]
-            level[many] = np.floor(np.log(weight[lo:hi][many]).astype(np.float32)[:, None] / rr + bb)
-            keys[many] = log_c[terms[many]] - rr * (level[many] - bb + 1)  # log of c / (y exp(r)), y = exp(r (level - b))
-        heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        least = np.minimum.reduceat(keys, heads, axis=0)
-        group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(rows))))
-        at, sample = np.nonzero(keys == least[group])
-        digest = mix(words[terms[at]] + np.uint64(0x9E3779B97F4A7C15) * (level[at, sample].astype(np.int64) + 1024).astype(np.uint64)) >> np.uint64(48)
-        at, sample, digest = at[::-1], sample[::-1], digest[::-1]  # of equal keys the first term stays
-        found = np.zeros(least.shape, np.uint16)
-        found[group[at], sample] = digest
-        owners = rows[heads]
-        better = least < best[owners]
-        best[owners] = np.where(better, least, best[owners])
-        out[owners] = np.where(better, found, out[owners])
-        lo = hi
+    for start in range(0, len(row), TERMS):
+        block = slice(start, start + TERMS)
+        words, terms = np.unique(term[block], return_inverse=True)
+        table, place = memory.rows(words)
+        place = place[terms]
+        again, repeated = np.unique(terms[weight[block] > 1], return_inverse=True)
+        r, log_c, b, _ = numbers(words[again], functions)
+        many = np.flatnonzero(weight[block] > 1)
+        for lo in range(0, len(terms), GATHER):
+            hi = min(len(terms), lo + GATHER)
+            rows = row[start + lo:start + hi]
+            keys = table[place[lo:hi]]
+            level = np.zeros(keys.shape, np.float32)
+            first, last = np.searchsorted(many, [lo, hi])
+            if last > first:
+                at, which = many[first:last], repeated[first:last]
+                rr, bb = r[which], b[which]
+                level[at - lo] = np.floor(np.log(weight[start + at]).astype(np.float32)[:, None] / rr + bb)
+                keys[at - lo] = log_c[which] - rr * (level[at - lo] - bb + 1)  # log of c / (y exp(r)), y = exp(r (level - b))
+            heads = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+            least = np.minimum.reduceat(keys, heads, axis=0)
+            group = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(rows))))
+            at, sample = np.nonzero(keys == least[group])
+            digest = mix(term[start + lo + at] + np.uint64(0x9E3779B97F4A7C15) * (level[at, sample].astype(np.int64) + 1024).astype(np.uint64)) >> np.uint64(48)
+            at, sample, digest = at[::-1], sample[::-1], digest[::-1]  # of equal keys the first term stays
+            found = np.zeros(least.shape, np.uint16)
+            found[group[at], sample] = digest
+            owners = rows[heads]
+            better = least < best[owners]
+            best[owners] = np.where(better, least, best[owners])
+            out[owners] = np.where(better, found, out[owners])
     return out
 
 
-def sign(texts: list[str]) -> np.ndarray:
+def sign(texts: list[str], memory: Keys | None = None) -> np.ndarray:
+    memory = memory or Keys(parameters())
     data, offsets = text_bytes(pa.array(texts, pa.large_string()))
-    parts = [signatures(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]) for lo, hi in row_slices(offsets, SLICE_BYTES)]
+    parts = [signatures(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], memory=memory) for lo, hi in row_slices(offsets, SLICE_BYTES)]
     return np.concatenate(parts) if parts else np.zeros((0, SAMPLES), np.uint16)
 
 
@@ -112,10 +153,11 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id, fingerprint) of every row: 4 hex digits a sample. Null counts as empty; equal texts have equal fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Keys(parameters())
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for lo, hi in row_slices(offsets, SLICE_BYTES):
-                rows = signatures(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
+                rows = signatures(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo], memory=memory)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(as_text(rows))], names=[id_col, "fingerprint"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -194,6 +236,7 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         buckets = min(MOST_BUCKETS, max(1, int(size // TEXT_BYTES_PER_BUCKET)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = Keys(parameters())
         waiting: list[tuple[int, int | None, str]] = []  # rows of the open range whose next is not seen yet, or not signed
 
         def flush(rows):
@@ -203,7 +246,9 @@ def compare_with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             for text, after in zip(texts, texts[1:], strict=False):
                 half = len(text) // 2
                 edited.append(text[:len(text) - half] + after[:half])
-            own, changed = sign(texts), sign(edited)
+            # A text and its edited text lie side by side: their words are looked up together.
+            signed = sign([t for pair in zip(texts, [*edited, ""], strict=True) for t in pair], memory)
+            own, changed = signed[::2], signed[1:-1:2]
             return pa.RecordBatch.from_arrays([
                 pa.array([r[1] for r in rows[:-1]], pa.int64()), pa.array([len(t) for t in texts[:-1]], pa.int64()),
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array(as_text(own[:-1]), pa.string()),
