@@ -5,9 +5,10 @@ of their short prefixes, so only prefixes are shuffled. Sets that share one are
 ordered sets form a trie, and each set walks it once, sharing the overlap counted on common paths and leaving subtrees that
 the remaining lengths put out of reach.
 
-Only connected components are asked for, so large groups need no all-pairs work: each shared shingle first links its documents
-with a pivot (block mates are compared too), groups that are connected by then are done, and what is left, exactly, is compared
-across components. Exact copies are one set from the start. No set, bucket or candidate is capped.
+Only connected components are asked for, so large groups need no all-pairs work: each document is first compared with the one pivot
+that it shares most prefix shingles with (block mates are compared too), then with one other; groups that are connected by then
+are done, and what is left, exactly, is compared across components. There, bit marks of the prefixes bound how much two of them
+share before a pair leaves the join. Exact copies are one set from the start. No set, bucket or candidate is capped.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from preflens.llm.store import drop_table, keep, most_frequent, release
-from preflens.llm.words import row_slices, shingle_hashes, text_bytes, word_hashes
+from preflens.llm.weighted import pack_texts
+from preflens.llm.words import mix, row_slices, shingle_hashes, text_bytes, word_hashes
 
 SIZE, PERCENT = 3, 90
 #: Recurring shingles that get a rank at the end of the order; the others follow their hash. It shapes the work, not the result.
@@ -30,6 +33,7 @@ RANKED = 1 << 17
 BLOCK_SETS, BLOCK_SHINGLES = 48, 400_000
 HELD_SHINGLES = 4_000_000
 SLICE_BYTES = 1 << 21
+MARK_WORDS = 4  # 64-bit numbers that mark a prefix
 _TOP = np.uint64(1 << 63)
 
 
@@ -84,8 +88,19 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
+def parity_marks(keys: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """(rows, MARK_WORDS) numbers; a bit tells whether an odd count of the row's elements falls on it.
+
+    Sets a and b share at most (|a| + |b| - d) / 2 elements if d bits of their marks differ.
+    """
+    rows, bits = len(cut) - 1, 64 * MARK_WORDS
+    at = np.repeat(np.arange(rows), np.diff(cut)) * bits + (mix(keys) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
+    return np.packbits(odd, axis=1).view(np.int64)
+
+
 def with_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, ranked) -> DataFrame:
-    """(_id, _n, _key, _prefix): set size, digest of the set, the elements that any partner must share one of."""
+    """(_id, _n, _key, _prefix, _marks): set size, digest of the set, the elements that any partner must share one of, their marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -96,10 +111,12 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 first = np.repeat(at[:-1] - cut[:-1], length) + np.arange(cut[-1])
                 digests = [hashlib.blake2b(keys[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
                 prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(keys[first].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), prefix],
-                                                 names=["_id", "_n", "_key", "_prefix"])
+                marks = parity_marks(keys[first], cut).reshape(-1)
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) + 1, MARK_WORDS, dtype=np.int32)), pa.array(marks))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), prefix, marks],
+                                                 names=["_id", "_n", "_key", "_prefix", "_marks"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, _n long, _key binary, _prefix array<long>")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, _n long, _key binary, _prefix array<long>, _marks array<long>")
 
 
 # ---------------------------------------------------------------- the trie
@@ -183,20 +200,17 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, ranked)
     pivots = members.select("pivot", "block").distinct().withColumn("node", F.col("pivot"))
     wanted = members.unionByName(pivots)
 
-    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, keys, at in ordered_sets(batch.column(3), size, ranked.value):
-                raw = [keys[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(raw, pa.binary())], names=["pivot", "block", "node", "set"])
-
+    # Texts travel compressed; the sets exist only where their block is joined.
     with_text = wanted.join(texts, F.col("node") == F.col("_id")).select("pivot", "block", "node", "_text")
-    sets = with_text.mapInArrow(to_sets, "pivot long, block long, node long, set binary")
+    packed = with_text.mapInArrow(pack_texts, "pivot long, block long, node long, _text binary")
 
     def join_block(rows: pd.DataFrame) -> pd.DataFrame:
-        links = spanning_links(rows["node"].tolist(), [np.frombuffer(s, np.uint64) for s in rows["set"]], percent)
-        return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+        unpack = zstandard.ZstdDecompressor().decompress
+        column = pa.array([unpack(t).decode() for t in rows["_text"]], pa.large_string())
+        sets = [keys[a:b] for _, _, keys, at in ordered_sets(column, size, ranked.value) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pd.DataFrame(spanning_links(rows["node"].tolist(), sets, percent), columns=["a", "b"], dtype=np.int64)
 
-    return sets.groupBy("pivot", "block").applyInPandas(join_block, "a long, b long").distinct()
+    return packed.groupBy("pivot", "block").applyInPandas(join_block, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -220,17 +234,34 @@ def may_link(pa_, na, pb, nb, percent: int):
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1) >= needed)
 
 
-def likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (pivot, node, n) whose prefixes share as much as a link needs.
+def prefix_needed(na, nb, percent: int):
+    """How many elements the prefixes of two linked sets share.
 
     Of the set whose prefix ends first, every prefix element that the other set holds is in the other's prefix too, so what
     is shared beyond the prefixes is at most the rest of that set.
     """
+    rest = lambda n: F.ceil(percent * n / F.lit(100.0) - 1e-9) - 1
+    return F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9) - F.greatest(rest(na), rest(nb))
+
+
+def marks_allow(a, na, b, nb, percent: int):
+    """Do the marks of two prefixes leave room for what linked sets share?"""
+    length = lambda n: n - F.ceil(percent * n / F.lit(100.0) - 1e-9) + 1
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(MARK_WORDS)), F.lit(0))
+    return length(na) + length(nb) - differ >= 2 * prefix_needed(na, nb, percent)
+
+
+def likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (pivot, node, n), one pivot a node, whose prefixes share as much as a link needs."""
     one, two = (prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n{i}"), F.col("prefix").alias(f"p{i}")) for i, c in enumerate(("pivot", "node")))
-    both = pairs.select("pivot", "node").distinct().join(one, "pivot").join(two, "node")
-    rest = lambda n: F.ceil(percent * F.col(n) / 100.0 - 1e-9) - 1
-    needed = F.ceil(percent * (F.col("n0") + F.col("n1")) / F.lit(100.0 + percent) - 1e-9) - F.greatest(rest("n0"), rest("n1"))
-    return both.filter(F.size(F.array_intersect("p0", "p1")) >= needed).select("pivot", "node", F.col("n1").alias("n"))
+    both = pairs.select("pivot", "node").join(two, "node").join(one, "pivot")
+    return both.filter(F.size(F.array_intersect("p0", "p1")) >= prefix_needed(F.col("n0"), F.col("n1"), percent)).select("pivot", "node", F.col("n1").alias("n"))
+
+
+def one_pivot(star: DataFrame) -> DataFrame:
+    """(pivot, node) of the pivot that a node of rows (pivot, node) meets under most shingles; of equals the smallest."""
+    met = star.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    return met.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot")).select("pivot", "node")
 
 
 def link(
@@ -248,7 +279,7 @@ def link(
     sets = keep(with_sets(df, id_col, text_col, size, percent, ranked), "sets")
     docs = keep(sets.select("_id", "_n", "_key"), "ids")
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id is not null")
-    classes = sets.filter("_id is not null and _n > 0").groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix"))
+    classes = sets.filter("_id is not null and _n > 0").groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix"), F.first("_marks").alias("marks"))
     full_classes = keep(classes, "classes")
     drop_table(spark, sets)
     classes = keep(full_classes.select("_key", "node"), "keys")
@@ -260,35 +291,38 @@ def link(
     release(spark)
 
     def check(pairs: DataFrame) -> DataFrame:
-        return verify(keep(likely(pairs, full_classes, percent), "pairs"), texts, size, percent, ranked)
+        return verify(keep(pairs, "pairs"), texts, size, percent, ranked)
 
     # Rows of one id with different texts are one node.
     several = docs.filter("_id is not null and _n > 0").join(classes, "_key").groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("a", "b")
     star = rows.filter(F.col("node") != F.col("first.node")).filter(may_link(F.col("pos"), F.col("n"), F.col("first.pos"), F.col("first.n"), percent))
-    links = keep(check(star.select(F.col("first.node").alias("pivot"), "node")).union(several), "links")
+    star = one_pivot(star.select(F.col("first.node").alias("pivot"), "node"))
+    links = keep(check(likely(star, full_classes, percent)).union(several), "links")
     release(spark)
     labels = components(links)
 
     def open_rows() -> DataFrame:
-        """Rows, but for the first pivots, of shingles whose documents are in several components yet."""
-        now = rows.filter(F.col("node") != F.col("first.node")).join(labels, "node", "left")
-        now = now.select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
+        """Rows of shingles whose documents are in several components yet."""
+        now = rows.join(labels, "node", "left").select("token", "node", "n", "pos", F.coalesce("label", "node").alias("label"))
         left = now.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi")
         return keep(now.join(left.select("token"), "token"), "open")
 
-    # Another pivot, by hash, for each group that is not connected yet.
+    # Another pivot, by hash, for each document of a group that is not connected yet.
     left = open_rows()
     if not left.isEmpty():
         by_hash = F.max_by(F.struct("node", "n", "pos", "label"), F.xxhash64("node", F.lit(1))).alias("p")
         pivots = left.groupBy("token").agg(by_hash)
         star = left.join(pivots, "token").filter(F.col("label") != F.col("p.label")).filter(may_link(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), percent))
-        links = keep(links.union(check(star.select(F.col("p.node").alias("pivot"), "node"))), "links")
+        star = one_pivot(star.select(F.col("p.node").alias("pivot"), "node"))
+        links = keep(links.union(check(likely(star, full_classes, percent))), "links")
         release(spark)
         labels = components(links)
+        drop_table(spark, left)
         left = open_rows()
-    # What is left: every pair across components that lengths and places allow.
+    # What is left: every pair across components that lengths, places and marks allow, and that meets under enough shingles.
     if not left.isEmpty():
-        links = keep(links.union(check(across(left, percent))), "links")
+        marked = left.join(full_classes.select("node", "marks"), "node")
+        links = keep(links.union(check(across(marked, percent))), "links")
         release(spark)
         labels = components(links)
     found = docs.join(classes, "_key", "left").join(labels, "node", "left")
@@ -297,20 +331,24 @@ def link(
 
 
 def across(rows: DataFrame, percent: int, block: int = 1_000) -> DataFrame:
-    """Candidate pairs (pivot, node, n) of rows (token, node, n, pos, label) with different labels.
+    """Candidate pairs (pivot, node, n) of rows (token, node, n, pos, label, marks) with different labels.
 
     A token's rows are cut into blocks, and each pair of blocks is a join key of its own, so a hot token is many small keys.
-    Pairs that lengths and places rule out do not leave the join.
+    Pairs that lengths, places or marks rule out do not leave the join; a pair that links passes under each shingle. Two sets of
+    different labels meet under every shingle that their prefixes share, so the number of meetings is what the prefixes share.
     """
     blocks = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     cut = rows.join(blocks, "token").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    values = [F.col(c) for c in ("node", "n", "pos", "label")]
+    values = [F.col(c) for c in ("node", "n", "pos", "label", "marks")]
     # A pair of blocks i <= j: rows of block i on the left, rows of block j on the right.
     left = cut.select("token", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("blocks") - 1)).alias("j"), F.struct(*values).alias("a"))
     right = cut.select("token", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("i"), F.col("c").alias("j"), F.struct(*values).alias("b"))
-    fits = may_link(F.col("a.pos"), F.col("a.n"), F.col("b.pos"), F.col("b.n"), percent) & (F.col("a.label") != F.col("b.label"))
-    pairs = left.join(right, ["token", "i", "j"]).filter(fits & ((F.col("i") < F.col("j")) | (F.col("a.node") < F.col("b.node"))))
-    return pairs.select(F.least("a.node", "b.node").alias("pivot"), F.greatest("a.node", "b.node").alias("node"), F.greatest("a.n", "b.n").alias("n")).distinct()
+    one, two = F.col("a"), F.col("b")
+    fits = may_link(one["pos"], one["n"], two["pos"], two["n"], percent) & marks_allow(one["marks"], one["n"], two["marks"], two["n"], percent) & (one["label"] != two["label"])
+    pairs = left.join(right, ["token", "i", "j"]).filter(fits & ((F.col("i") < F.col("j")) | (one["node"] < two["node"])))
+    met = pairs.groupBy(F.least(one["node"], two["node"]).alias("pivot"), F.greatest(one["node"], two["node"]).alias("node")).agg(
+        F.count(F.lit(1)).alias("times"), F.max(F.greatest(one["n"], two["n"])).alias("n"), F.min(prefix_needed(one["n"], two["n"], percent)).alias("needed"))
+    return met.filter(F.col("times") >= F.col("needed")).select("pivot", "node", "n")
 
 
 def keep_first(
