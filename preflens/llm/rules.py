@@ -2,7 +2,8 @@
 
 Statistics of whole texts are plain column expressions. Sequential covering learns from labelled statistics: a rule grows one
 threshold condition at a time by FOIL gain, is pruned on rows set aside, and the rows it covers are taken out before the next
-rule. Every step is one small aggregation over bucket numbers. The list comes out as an ordered CASE expression whose branches
+rule. A rule that does not prove itself there bars its first share and side, and another is grown, until none is left to try.
+Every step is one small aggregation over bucket numbers. The list comes out as an ordered CASE expression whose branches
 are readable, e.g. ``symbol_share > 0.02 and upper_share <= 0.4``.
 """
 
@@ -18,7 +19,6 @@ from preflens.llm.store import keep
 
 SAMPLE_ROWS = 50_000  # a list is learned from about so many labelled rows at most
 QUANTILES = 24
-MAX_RULES, MAX_CONDITIONS = 8, 3
 MIN_PRECISION, MIN_COVER = 0.9, 3
 WINDOW = 8
 #: White space between words, the symbols that are counted, and the base thresholds.
@@ -99,16 +99,25 @@ def verdict(rules: list[Rule]) -> Column:
     return F.lit(None).cast("string") if out is None else out
 
 
-def learn(labelled: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[Rule]:
-    """Decision list for ``_bad`` (boolean) from rows with ``_s``; the hash of ``key`` picks the bounded sample.
+def known_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> DataFrame:
+    """(id, _bad) of the ids to learn from: those with a label, or a share of them by hash, about ``sample_rows``.
+
+    An id with both labels counts as rejected (label 0); null ids and labels are left out.
+    """
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.min(label_col) == 0).alias("_bad"))
+    rows = known.count()
+    if rows > sample_rows:
+        known = known.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit(seed + 1)), F.lit(1 << 40)) < int(sample_rows / rows * (1 << 40)))
+    return known
+
+
+def learn(labelled: DataFrame, key: str, seed: int = 7) -> list[Rule]:
+    """Decision list for ``_bad`` (boolean) from rows with ``_s``; the hash of ``key`` sets a third aside.
 
     The result is an ordered list of rejecting rules; it is empty without rows of both kinds or without a precise rule.
     """
     names = list(SHARES)
     hashed = F.xxhash64(F.col(key), F.lit(seed))
-    rows = labelled.count()
-    if rows > sample_rows:  # a share by hash of the key, about sample_rows
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.col(key), F.lit(seed + 1)), F.lit(1 << 40)) < int(sample_rows / rows * (1 << 40)))
     sample = labelled.select("_bad", (F.pmod(hashed, F.lit(3)) == 0).alias("_aside"), *[F.expr(SHARES[c]).alias(c) for c in names])
     sample = keep(sample, "labelled")
     # Thresholds: quantiles of all rows and of the rejected ones.
@@ -128,34 +137,37 @@ def learn(labelled: DataFrame, key: str, sample_rows: int = SAMPLE_ROWS, seed: i
             out = out & (F.col(c) > k if op == ">" else F.col(c) <= k)
         return out
 
+    kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("share"), F.col(c).alias("bucket")) for c in names])).alias("e")
+
+    def tally(rows: DataFrame):
+        return rows.select("_bad", kinds).groupBy("e.share", "e.bucket").agg(F.count_if("_bad").alias("p"), F.count_if(~F.col("_bad")).alias("n")).collect()
+
     rules: list[Rule] = []
-    left = binned
-    while len(rules) < MAX_RULES:
-        conditions: list[tuple[str, str, int]] = []
-        while len(conditions) < MAX_CONDITIONS:
-            rows = left.filter(~F.col("_aside") & test(conditions))
-            kinds = F.explode(F.array(*[F.struct(F.lit(c).alias("share"), F.col(c).alias("bucket")) for c in names])).alias("e")
-            counts = rows.select("_bad", kinds).groupBy("e.share", "e.bucket").agg(F.count_if("_bad").alias("p"), F.count_if(~F.col("_bad")).alias("n")).collect()
-            best = best_condition(counts, cuts)
-            if best is None:
-                break
-            conditions.append(best)
-        if not conditions:
+    left, barred, start = binned, set(), None
+    while True:
+        start = start or tally(left.filter(~F.col("_aside")))
+        best = best_condition(start, cuts, barred)
+        if best is None:
             break
+        first, conditions = best[:2], []
+        while best is not None:
+            conditions.append(best)
+            best = best_condition(tally(left.filter(~F.col("_aside") & test(conditions))), cuts)
         # Prune: the prefix that does best on the rows set aside.
         prefixes = [conditions[:i] for i in range(1, len(conditions) + 1)]
         tallies = [f(test(p) & b).alias(f"{k}{i}") for i, p in enumerate(prefixes) for k, b, f in (("p", F.col("_bad"), F.count_if), ("n", ~F.col("_bad"), F.count_if))]
         seen = left.filter("_aside").agg(*tallies).first()
         p, n, i = max(((seen[f"p{i}"], seen[f"n{i}"], i) for i in range(len(prefixes))), key=lambda x: ((x[0] - x[1]) / max(1, x[0] + x[1]), -x[2]))
         if p < MIN_COVER or p < MIN_PRECISION * (p + n):
-            break
+            barred.add(first)
+            continue
         rules.append(Rule([(c, op, cuts[c][k]) for c, op, k in prefixes[i]]))
-        left = left.filter(~test(prefixes[i]))
+        left, barred, start = left.filter(~test(prefixes[i])), set(), None
     return rules
 
 
-def best_condition(counts, cuts: dict[str, list[float]]) -> tuple[str, str, int] | None:
-    """Condition of highest FOIL gain; bucket > k means a value over threshold k."""
+def best_condition(counts, cuts: dict[str, list[float]], barred: frozenset | set = frozenset()) -> tuple[str, str, int] | None:
+    """Condition of highest FOIL gain among the (share, side) that are not barred; bucket > k means a value over threshold k."""
     by: dict[str, dict[int, tuple[int, int]]] = {}
     for r in counts:
         by.setdefault(r["share"], {})[r["bucket"]] = (r["p"], r["n"])
@@ -172,14 +184,13 @@ def best_condition(counts, cuts: dict[str, list[float]]) -> tuple[str, str, int]
             p, n = by[share].get(k, (0, 0))
             p_low, n_low = p_low + p, n_low + n
             for op, p, n in (("<=", p_low, n_low), (">", p_all - p_low, n_all - n_low)):
-                if p >= MIN_COVER:
+                if p >= MIN_COVER and (share, op) not in barred:
                     best = max(best, (p * (math.log2(p / (p + n)) - before), (share, op, k)), key=lambda x: x[0])
     return best[1]
 
 
-def learn_from(statistics: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> list[Rule]:
-    """Learn from the rows that pass the base rules and have a label (0: reject); a row with both labels counts as rejected."""
-    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.min(label_col) == 0).alias("_bad"))
+def learn_from(statistics: DataFrame, known: DataFrame, id_col: str = "doc_id") -> list[Rule]:
+    """Learn from the rows that pass the base rules and have a known label."""
     return learn(statistics.filter(~base_failed()).select(id_col, "_s").join(known, id_col), id_col)
 
 
@@ -190,13 +201,19 @@ def judge(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     aside. Without labels the base rules decide alone.
     """
     statistics = keep(with_statistics(df.select(id_col, text_col), text_col).select(id_col, "_s"), "statistics")
-    rule = verdict(learn_from(statistics, labels, id_col))
+    rule = verdict(learn_from(statistics, known_labels(labels, id_col), id_col))
     out = statistics.select(id_col, *[F.col(f"_s.{c}").alias(c) for c in COUNTS], base_failed().alias("base_failed"), rule.alias("rule"))
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``df``, all columns, that the base rules and the learned list keep."""
-    statistics = keep(with_statistics(df.select(id_col, text_col), text_col).select(id_col, "_s"), "statistics")
-    rule = verdict(learn_from(statistics, labels, id_col))
-    return with_statistics(df, text_col).filter(~base_failed() & rule.isNull()).drop("_s")
+    """Rows of ``df``, all columns of whatever name, that the base rules and the learned list keep.
+
+    Null, empty and very short texts fail the base rules. Repeated rows and null ids stay or go by their text. Without labels the base
+    rules decide alone. While learning, only texts of known labels are read; ``SAMPLE_ROWS`` bounds the broadcast of their ids.
+    """
+    known = known_labels(labels, id_col)
+    learned = with_statistics(df.select(id_col, text_col).join(F.broadcast(known.select(id_col)), id_col, "left_semi"), text_col)
+    rule = verdict(learn_from(keep(learned.select(id_col, "_s"), "statistics"), known, id_col))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{text_col}`").alias("_text"))
+    return with_statistics(rows, "_text").filter(~base_failed() & rule.isNull()).select("_row.*")

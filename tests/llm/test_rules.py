@@ -66,6 +66,35 @@ def test_list_is_learned(spark, frame):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_covering_goes_on_after_a_failed_rule(spark, frame):
+    """Kinds of bad rows that take a conjunction, next to many random labels that no rule explains."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    rows, labels = [], []
+    for i in range(2400):
+        upper, loud, odd = i % 4 in (0, 1), i % 4 in (0, 2), i % 2 == 1 and i % 5 == 0
+        words = [word().upper() if upper else word() for _ in range(rng.randint(30, 50))]
+        rows.append((i, " ".join(w + "!" if loud else w for w in words) + (" " + "# " * 10 if odd else "")))
+        # Bad: upper case with exclamations. Symbols: bad by chance only.
+        labels.append((i, int(not ((upper and loud) or (odd and rng.random() < 0.5)))))
+    table = spark.createDataFrame(labels, "doc_id long, quality int")
+    got = rules.judge(frame(rows), table).collect()
+    both = [r for r in got if r["doc_id"] % 4 == 0]
+    assert not any(r["kept"] for r in both), {r["rule"] for r in got}
+    assert all(r["kept"] for r in got if r["doc_id"] % 4 in (1, 2, 3) and r["doc_id"] % 5)
+
+
+def test_clashing_columns_stay(spark, frame):
+    rows, labels = corpus()
+    names = ["_w", "_l", "_j", "_h", "_p", "_d", "_s", "_row", "_text", "_bad", "_aside"]
+    df = frame([(*r, *[f"{n}{r[0]}" for n in names]) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = rules.keep_good(df, spark.createDataFrame(labels, "doc_id long, quality int"))
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted(r["doc_id"] for r in got) == [i for i, _ in rows if i % 5]
+    assert all(r[n] == f"{n}{r['doc_id']}" for r in got for n in names)
+
+
 def test_no_labels_and_empty(spark, frame):
     rows, labels = corpus()
     table = spark.createDataFrame(labels, "doc_id long, quality int")
