@@ -106,12 +106,12 @@ def run_digests(digests: np.ndarray, first: np.ndarray, ends: np.ndarray) -> np.
 
 
 def run_rows(df: DataFrame, min_words: int = MIN_WORDS, bits: np.ndarray | None = None) -> DataFrame:
-    """(digest, _id, _h, idx) of every run of rows (_id, _h, _text); with ``bits``, of those whose bit is set."""
+    """(digest, _none, _id, _h, idx) of every run of rows (_none, _id, _h, _text); with ``bits``, of those whose bit is set."""
     shared = None if bits is None else df.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(2))
+            data, offsets = text_bytes(batch.column(3))
             for lo, hi in row_slices(offsets, SLICE_BYTES):
                 part, at = data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]
                 starts, ends, words, cut = chunk_spans(part, at)
@@ -126,14 +126,14 @@ def run_rows(df: DataFrame, min_words: int = MIN_WORDS, bits: np.ndarray | None
                     digest, row, idx = digest[found], row[found], idx[found]
                 row = pa.array(row)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(digest.view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(idx.astype(np.int32)),
-                ], names=["digest", "_id", "_h", "idx"])
+                    pa.array(digest.view(np.int64)), *(batch.column(i).take(row) for i in range(3)), pa.array(idx.astype(np.int32)),
+                ], names=["digest", "_none", "_id", "_h", "idx"])
 
-    return df.mapInArrow(run, "digest long, _id long, _h int, idx int")
+    return df.mapInArrow(run, "digest long, _none boolean, _id long, _h long, idx int")
 
 
 def repeated_runs(df: DataFrame, min_words: int) -> DataFrame:
-    """(digest, _id, _h, idx) of every run whose digest occurs twice, and of a few others.
+    """(digest, _none, _id, _h, idx) of every run whose digest occurs twice, and of a few others.
 
     Digests are counted first, without their places. A bit for each repeated one, in a table of ``MOST_BITS`` at most, lets the
     tasks leave out the rows of other digests; one that shares its bit passes, so no repeated run is lost.
@@ -152,15 +152,14 @@ def repeated_runs(df: DataFrame, min_words: int) -> DataFrame:
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """(_id, _h, _copies): places of the runs whose digest occurs earlier, for each text that has such runs.
+    """(_none, _id, _h, _copies): places of the runs whose digest occurs earlier, for each text that has such runs.
 
     The first occurrence of a digest is combined before the shuffle; the join back splits hot digests.
     """
-    place = F.struct(F.col("_id").isNull().alias("none"), "_id", "_h", "idx")
+    place = F.struct("_none", "_id", "_h", "idx")
     first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("digest").alias("same"), "first")
     found = rows.join(first, F.col("digest") == F.col("same"))
-    itself = F.col("first._id").eqNullSafe(F.col("_id")) & (F.col("first._h") == F.col("_h")) & (F.col("first.idx") == F.col("idx"))
-    return found.filter(~itself).groupBy("_id", "_h").agg(F.collect_set("idx").alias("_copies"))  # a text's own runs at most
+    return found.filter(F.col("first") != place).groupBy("_none", "_id", "_h").agg(F.collect_set("idx").alias("_copies"))  # a text's own runs at most
 
 
 def removed_spans(text: bytes, marked: np.ndarray, min_words: int) -> list[tuple[int, int]]:
@@ -177,19 +176,37 @@ def removed_spans(text: bytes, marked: np.ndarray, min_words: int) -> list[tuple
     return [(int(bounds[a]), int(bounds[b])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All rows and columns of ``df`` with the repeated passages taken out of the text, and the array ``removed`` of their byte
     ranges (start, end) in the old text.
 
-    The first occurrence, by id (null last), stays. Null and empty texts stay as they are; rows equal in id and text are one
-    document; a text that is all copies becomes empty.
+    The first occurrence, by id (null last), stays. Null and empty texts stay as they are; very long texts are cut like others; rows
+    equal in id and text are one document, so are rows without id whose texts are equal; a text that is all copies becomes empty.
+    Ids must be whole numbers (they are cast to long). Other columns stay whatever their names; if the table has a column
+    ``removed``, the ranges are in ``removed_``.
     """
-    text = F.col(text_col).cast("string")
-    keyed = df.withColumns({"_id": F.col(id_col).cast("long"), "_h": F.hash(text)})
-    dups = copies(repeated_runs(keyed.filter(text.isNotNull()).select("_id", "_h", text.alias("_text")), min_words))
-    dups = dups.select(F.col("_id").alias("_id2"), F.col("_h").alias("_h2"), "_copies")
-    joined = keyed.join(dups, (F.coalesce("_id", F.lit(0)) == F.coalesce("_id2", F.lit(0))) & F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
-    joined = joined.select(*df.columns, "_copies")
+    text = F.col(f"`{text_col}`").cast("string")
+    # Rows without id are told apart by two hashes of their text.
+    known = F.col(f"`{id_col}`").cast("long")
+    none, key, h, marks, key2, h2, none2, spans_col = free_names(df, "_none", "_id", "_h", "_copies", "_id2", "_h2", "_none2", "removed")
+    keyed = df.withColumns({none: known.isNull(), key: F.coalesce(known, F.xxhash64(F.lit(1), text)), h: F.xxhash64(text)})
+    rows = keyed.filter(text.isNotNull()).select(F.col(none).alias("_none"), F.col(key).alias("_id"), F.col(h).alias("_h"), text.alias("_text"))
+    dups = copies(repeated_runs(rows, min_words))
+    dups = dups.select(F.col("_none").alias(none2), F.col("_id").alias(key2), F.col("_h").alias(h2), F.col("_copies").alias(marks))
+    same = (F.col(none) == F.col(none2)) & (F.col(key) == F.col(key2)) & (F.col(h) == F.col(h2))
+    joined = keyed.join(dups, same, "left").select(*[f"`{c}`" for c in df.columns], marks)
     names = joined.columns
     at = names.index(text_col)
 
@@ -209,7 +226,7 @@ def dedupe(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_wo
                 texts = pa.array(new, texts.type)
             pairs = pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             columns = [texts if i == at else batch.column(i) for i in range(len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pairs], names=[*names[:-1], "removed"])
+            yield pa.RecordBatch.from_arrays([*columns, pairs], names=[*names[:-1], spans_col])
 
     base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.withColumn(text_col, text).schema)
-    return joined.withColumn(text_col, text).mapInArrow(run, f"{base}, removed array<struct<start:bigint,end:bigint>>")
+    return joined.withColumn(text_col, text).mapInArrow(run, f"{base}, {spans_col} array<struct<start:bigint,end:bigint>>")

@@ -133,3 +133,23 @@ def test_chunks_have_a_maximum_and_periods_go(spark, frame):
         gone = len(dict(rows)[100 + k].split()) - len(got[100 + k].split())
         assert gone > len(p.split()) / 2, (k, gone)
     assert all(got[k] == dict(rows)[k] for k in range(6))
+
+
+def test_rows_without_id_and_clashing_columns(spark, frame):
+    """Texts whose 32-bit hashes are equal are still two documents; no column of the table is lost or overwritten."""
+    ship(spark)
+    names = ["_id", "_h", "_copies", "_none", "_id2", "removed", "digest", "idx"]
+    # Two texts with the same 32-bit hash, found by trying; their lengths differ.
+    rng = random.Random(9)
+    made = spark.range(200_000).selectExpr("id", "concat(repeat('ab cd ', 20 + cast(id % 40 as int)), hex(id * 7919)) as t").selectExpr("id", "t", "hash(t) as h")
+    pair = made.groupBy("h").agg({"t": "collect_list"}).filter("size(`collect_list(t)`) > 1").first()
+    same = list(pair[1])[:2] if pair else ["x y", "z"]
+    passage = words(rng, 60)
+    rows = [(None, same[0]), (None, same[1]), (1, words(rng, 30) + " " + passage), (2, words(rng, 30) + " " + passage), (None, words(rng, 20) + " " + passage)]
+    df = frame([(i, t, *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(rows)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    out = chunks.dedupe(df)
+    assert out.columns == [*df.columns, "removed_"]
+    got = {r["_id"]: r for r in out.collect()}
+    assert all(got[f"_id{k}"][n] == f"{n}{k}" for k in range(len(rows)) for n in names)
+    assert got["_id2"]["text"] == rows[2][1] and got["_id2"]["removed_"] == []
+    assert all(got[f"_id{k}"]["removed_"] and len(got[f"_id{k}"]["text"]) < len(rows[k][1]) - 150 for k in (3, 4))
