@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from preflens.llm.store import drop_table, keep, most_frequent, release
+from preflens.llm.store import bit_table, drop_table, has_bit, keep, most_frequent, release
 from preflens.llm.weighted import pack_texts
 from preflens.llm.words import mix, row_slices, shingle_hashes, text_bytes, word_hashes
 
@@ -40,11 +40,16 @@ _TOP = np.uint64(1 << 63)
 # ---------------------------------------------------------------- ordered sets
 
 
-def ordered_sets(column: pa.Array, size: int, ranked: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, set elements of the rows in global order, offsets). ``ranked``: recurring shingles, rarest first."""
-    data, offsets = text_bytes(column)
+def rank_table(ranked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Recurring shingles, given rarest first, in the order of their hash, and their ranks."""
     by_hash = np.argsort(ranked)
-    found = ranked[by_hash]
+    return ranked[by_hash], by_hash
+
+
+def ordered_sets(column: pa.Array, size: int, ranks: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, set elements of the rows in global order, offsets). ``ranks``: a ``rank_table``."""
+    data, offsets = text_bytes(column)
+    found, by_hash = ranks
     for lo, hi in row_slices(offsets, SLICE_BYTES):
         words, at = word_hashes(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo])
         shingles, at = shingle_hashes(words, at, size)
@@ -72,7 +77,7 @@ def recurring(df: DataFrame, text_col: str, size: int, limit: int = RANKED) -> n
             return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "n"])
 
         for batch in batches:
-            for _, _, keys, _ in ordered_sets(batch.column(0), size, np.zeros(0, np.uint64)):
+            for _, _, keys, _ in ordered_sets(batch.column(0), size, rank_table(np.zeros(0, np.uint64))):
                 held.append(keys)
                 if sum(map(len, held)) > HELD_SHINGLES:
                     yield flush()
@@ -200,8 +205,15 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int, ranked)
     pivots = members.select("pivot", "block").distinct().withColumn("node", F.col("pivot"))
     wanted = members.unionByName(pivots)
 
-    # Texts travel compressed; the sets exist only where their block is joined.
-    with_text = wanted.join(texts, F.col("node") == F.col("_id")).select("pivot", "block", "node", "_text")
+    wanted = keep(wanted, "wanted")
+    bits = texts.sparkSession.sparkContext.broadcast(bit_table(wanted.select("node").distinct(), "node"))
+
+    @F.pandas_udf("boolean")
+    def may_be_wanted(ids: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(bits.value, ids.to_numpy(np.int64).view(np.uint64)))
+
+    # Texts that no pair needs stay where they are; others travel compressed, and become sets only where their block is joined.
+    with_text = wanted.join(texts.filter(may_be_wanted("_id")), F.col("node") == F.col("_id")).select("pivot", "block", "node", "_text")
     packed = with_text.mapInArrow(pack_texts, "pivot long, block long, node long, _text binary")
 
     def join_block(rows: pd.DataFrame) -> pd.DataFrame:
@@ -251,11 +263,11 @@ def marks_allow(a, na, b, nb, percent: int):
     return length(na) + length(nb) - differ >= 2 * prefix_needed(na, nb, percent)
 
 
-def likely(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (pivot, node, n), one pivot a node, whose prefixes share as much as a link needs."""
-    one, two = (prefixes.select(F.col("node").alias(c), F.col("n").alias(f"n{i}"), F.col("prefix").alias(f"p{i}")) for i, c in enumerate(("pivot", "node")))
+def likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (pivot, node, n), one pivot a node, whose marks (node, n, marks) leave room for a link."""
+    one, two = (marks.select(F.col("node").alias(c), F.col("n").alias(f"n{i}"), F.col("marks").alias(f"m{i}")) for i, c in enumerate(("pivot", "node")))
     both = pairs.select("pivot", "node").join(two, "node").join(one, "pivot")
-    return both.filter(F.size(F.array_intersect("p0", "p1")) >= prefix_needed(F.col("n0"), F.col("n1"), percent)).select("pivot", "node", F.col("n1").alias("n"))
+    return both.filter(marks_allow(F.col("m0"), F.col("n0"), F.col("m1"), F.col("n1"), percent)).select("pivot", "node", F.col("n1").alias("n"))
 
 
 def one_pivot(star: DataFrame) -> DataFrame:
@@ -264,6 +276,24 @@ def one_pivot(star: DataFrame) -> DataFrame:
     return met.groupBy("node").agg(F.max_by("pivot", F.struct("times", -F.col("pivot"))).alias("pivot")).select("pivot", "node")
 
 
+def shared_tokens(prefixes: DataFrame, bits) -> DataFrame:
+    """(token, node, n, pos) of the elements of (node, n, prefix) whose bit is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            token = lists.flatten().to_numpy().view(np.uint64)
+            n = lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(n)), n)
+            pos = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+            found = np.flatnonzero(has_bit(bits.value, token))
+            at = pa.array(row[found])
+            yield pa.RecordBatch.from_arrays([pa.array(token[found].view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(pos[found].astype(np.int32))],
+                                             names=["token", "node", "n", "pos"])
+
+    return prefixes.mapInArrow(run, "token long, node long, n long, pos int")
+
+
 def link(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT,
 ) -> DataFrame:
@@ -275,7 +305,7 @@ def link(
     one document; other columns are left aside.
     """
     spark = df.sparkSession
-    ranked = spark.sparkContext.broadcast(recurring(df, text_col, size))  # RANKED numbers at most
+    ranked = spark.sparkContext.broadcast(rank_table(recurring(df, text_col, size)))  # RANKED numbers at most
     sets = keep(with_sets(df, id_col, text_col, size, percent, ranked), "sets")
     docs = keep(sets.select("_id", "_n", "_key"), "ids")
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id is not null")
@@ -283,10 +313,14 @@ def link(
     full_classes = keep(classes, "classes")
     drop_table(spark, sets)
     classes = keep(full_classes.select("_key", "node"), "keys")
-    tokens = full_classes.select("node", "n", F.posexplode("prefix").alias("pos", "token"))
-    # A shared shingle of the prefixes brings documents together.
+    marks = keep(full_classes.select("node", "n", "marks"), "marks")
+    # A shared shingle of the prefixes brings documents together. Shingles are counted first, without their documents.
+    twice = keep(full_classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token"), "twice")
+    tokens = shared_tokens(full_classes.select("node", "n", "prefix"), spark.sparkContext.broadcast(bit_table(twice, "token")))
     shared = tokens.groupBy("token").agg(F.min(F.struct("node", "n", "pos")).alias("first"), F.max("node").alias("last")).filter("first.node <> last")
     rows = keep(tokens.join(shared, "token").select("token", "node", "n", "pos", "first"), "shared")
+    drop_table(spark, full_classes)
+    drop_table(spark, twice)
     del tokens, shared, sets
     release(spark)
 
@@ -297,7 +331,7 @@ def link(
     several = docs.filter("_id is not null and _n > 0").join(classes, "_key").groupBy("_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a <> b").select("a", "b")
     star = rows.filter(F.col("node") != F.col("first.node")).filter(may_link(F.col("pos"), F.col("n"), F.col("first.pos"), F.col("first.n"), percent))
     star = one_pivot(star.select(F.col("first.node").alias("pivot"), "node"))
-    links = keep(check(likely(star, full_classes, percent)).union(several), "links")
+    links = keep(check(likely(star, marks, percent)).union(several), "links")
     release(spark)
     labels = components(links)
 
@@ -314,14 +348,14 @@ def link(
         pivots = left.groupBy("token").agg(by_hash)
         star = left.join(pivots, "token").filter(F.col("label") != F.col("p.label")).filter(may_link(F.col("pos"), F.col("n"), F.col("p.pos"), F.col("p.n"), percent))
         star = one_pivot(star.select(F.col("p.node").alias("pivot"), "node"))
-        links = keep(links.union(check(likely(star, full_classes, percent))), "links")
+        links = keep(links.union(check(likely(star, marks, percent))), "links")
         release(spark)
         labels = components(links)
         drop_table(spark, left)
         left = open_rows()
     # What is left: every pair across components that lengths, places and marks allow, and that meets under enough shingles.
     if not left.isEmpty():
-        marked = left.join(full_classes.select("node", "marks"), "node")
+        marked = left.join(marks.select("node", "marks"), "node")
         links = keep(links.union(check(across(marked, percent))), "links")
         release(spark)
         labels = components(links)

@@ -6,12 +6,16 @@ import gc
 import hashlib
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from preflens.frames import share_bytes, shared_folder
 
 
+MOST_BITS = 1 << 28
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -62,3 +66,19 @@ def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
             break
         taken, cut = taken + r["count"], r["step"]
     return counts.filter(step >= cut) if cut is not None else counts.limit(0)
+
+
+def bit_table(df: DataFrame, column: str) -> np.ndarray:
+    """A bit for each number of a column, in a table of ``MOST_BITS`` at most. Others may share it, none is lost."""
+    size = min(MOST_BITS, max(1 << 16, 1 << (16 * df.count()).bit_length()))
+    folded = F.col(column).bitwiseXOR(F.shiftrightunsigned(column, 32)).bitwiseAND(F.lit(size - 1))
+    parts = df.select(folded.alias("at")).groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).toArrow()
+    bits = np.zeros(size // 64, np.uint64)  # size / 64 rows at most
+    bits[parts.column("word").to_numpy()] = parts.column("bits").to_numpy().view(np.uint64)
+    return bits
+
+
+def has_bit(bits: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether the bit of each unsigned number is set."""
+    at = (numbers ^ (numbers >> np.uint64(32))) & np.uint64(64 * len(bits) - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
