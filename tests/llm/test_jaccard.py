@@ -44,6 +44,33 @@ def test_trie_finds_all_partners(sets, percent):
         assert sorted(trie.partners(a, percent)) == want
 
 
+def test_marks_never_rule_out_a_link(spark):
+    """Marks bound the overlap of prefixes; bit tables lose no number."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(300):
+        base = rng.choice(2**40, rng.integers(20, 400), replace=False).astype(np.uint64)
+        other = np.where(rng.random(len(base)) < rng.choice([0.0, 0.03, 0.1]), rng.integers(0, 2**40, len(base), dtype=np.uint64), base)
+        a, b = np.unique(base), np.unique(other)
+        both, marks = len(np.intersect1d(a, b)), []
+        for x in (a, b):
+            p = x[:len(x) - int(jaccard.least_overlap(np.array([len(x)]), 90)[0]) + 1]
+            marks.append(jaccard.parity_marks(p, np.array([0, len(p)]))[0].tolist())
+        rows.append((marks[0], len(a), marks[1], len(b), bool(100 * both >= 90 * (len(a) + len(b) - both))))
+    df = spark.createDataFrame(rows, "a array<long>, na long, b array<long>, nb long, link boolean")
+    c = jaccard.F.col
+    whole = jaccard.marks_allow(c("a"), c("na"), c("b"), c("nb"), 90)
+    got = df.select("link", whole.alias("whole")).collect()
+    assert sum(r["link"] for r in got) > 50 and all(r["whole"] for r in got if r["link"])
+    unlike = spark.createDataFrame([(jaccard.parity_marks(np.sort(rng.integers(0, 2**62, 21, dtype=np.uint64)), np.array([0, 21]))[0].tolist(), i) for i in range(60)], "m array<long>, i long")
+    one, two = unlike.select(c("m").alias("a"), "i"), unlike.select(c("m").alias("b"), (c("i") + 1).alias("i"))
+    assert one.join(two, "i").filter(jaccard.marks_allow(c("a"), jaccard.F.lit(200), c("b"), jaccard.F.lit(200), 90)).count() < 5
+    numbers = [int(x) for x in rng.integers(-2**62, 2**62, 500)]
+    bits = jaccard.bit_table(spark.createDataFrame([(x,) for x in numbers], "x long"), "x")
+    assert jaccard.has_bit(bits, np.array(numbers, np.int64).view(np.uint64)).all()
+    assert jaccard.has_bit(bits, rng.integers(0, 2**63, 5000, dtype=np.uint64)).mean() < 0.1
+
+
 def make_rows(seed, groups, members):
     rng = random.Random(seed)
     common = ["the", "of", "and", "to"]
