@@ -8,7 +8,8 @@ the remaining lengths put out of reach.
 Only connected components are asked for, so large groups need no all-pairs work: each document is first compared with the one pivot
 that it shares most prefix shingles with (block mates are compared too), then with one other; groups that are connected by then
 are done, and what is left, exactly, is compared across components. There, bit marks of the prefixes bound how much two of them
-share before a pair leaves the join. Exact copies are one set from the start. No set, bucket or candidate is capped.
+share before a pair leaves the join. Marks of whole sets, a bit or two a shingle, bound what a candidate pair shares, so only
+texts of pairs that nearly link, or do, are shuffled and meet in a trie. Exact copies are one set from the start. No set, bucket or candidate is capped.
 """
 
 from __future__ import annotations
@@ -104,8 +105,22 @@ def parity_marks(keys: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return np.packbits(odd, axis=1).view(np.int64)
 
 
+def set_marks(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks of whole sets, one to two bits an element, and their offsets; a bit tells whether an odd count falls on it.
+
+    Sizes are powers of two from 64 on, so the halves of a mark, xored, are the set's mark at half the size.
+    """
+    n = np.diff(at)
+    bits = np.where(n > 0, np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64)), 0)
+    start = np.concatenate([[0], np.cumsum(bits)])
+    place = np.repeat(start[:-1], n) + (mix(keys) & np.repeat(np.maximum(bits, 1) - 1, n).astype(np.uint64)).astype(np.int64)
+    odd = (np.bincount(place, minlength=start[-1]) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64), start // 64
+
+
 def with_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, ranked) -> DataFrame:
-    """(_id, _n, _key, _prefix, _marks): set size, digest of the set, the elements that any partner must share one of, their marks."""
+    """(_id, _n, _key, _prefix, _marks, _wide): set size, digest of the set, the elements that any partner must share one of,
+    their marks, marks of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,10 +133,12 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(keys[first].view(np.int64)))
                 marks = parity_marks(keys[first], cut).reshape(-1)
                 marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) + 1, MARK_WORDS, dtype=np.int32)), pa.array(marks))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), prefix, marks],
-                                                 names=["_id", "_n", "_key", "_prefix", "_marks"])
+                wide, ends = set_marks(keys, at)
+                wide = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(wide))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), prefix, marks, wide],
+                                                 names=["_id", "_n", "_key", "_prefix", "_marks", "_wide"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, _n long, _key binary, _prefix array<long>, _marks array<long>")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, _n long, _key binary, _prefix array<long>, _marks array<long>, _wide array<long>")
 
 
 # ---------------------------------------------------------------- the trie
@@ -263,11 +280,24 @@ def marks_allow(a, na, b, nb, percent: int):
     return length(na) + length(nb) - differ >= 2 * prefix_needed(na, nb, percent)
 
 
+def sets_allow(a, na, b, nb, percent: int):
+    """Do the marks of two whole sets leave room for a link? The larger is halved once; sizes further apart rule nothing out."""
+    xor = lambda x, y: x.bitwiseXOR(y)
+    middle = lambda m: F.shiftright(F.size(m), 1)
+    half = lambda m: F.zip_with(F.slice(m, F.lit(1), middle(m)), F.slice(m, middle(m) + 1, F.size(m)), xor)
+    one = F.when(F.size(a) > F.size(b), half(a)).otherwise(a)
+    two = F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    differ = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda total, d: total + d)
+    needed = F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
+    return (F.size(one) != F.size(two)) | (na + nb - differ >= 2 * needed)
+
+
 def likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (pivot, node, n), one pivot a node, whose marks (node, n, marks) leave room for a link."""
-    one, two = (marks.select(F.col("node").alias(c), F.col("n").alias(f"n{i}"), F.col("marks").alias(f"m{i}")) for i, c in enumerate(("pivot", "node")))
+    """Candidate pairs (pivot, node, n) whose marks (node, n, marks, wide) leave room for a link."""
+    one, two = (marks.select(F.col("node").alias(c), *(F.col(m).alias(f"{m}{i}") for m in ("n", "marks", "wide"))) for i, c in enumerate(("pivot", "node")))
     both = pairs.select("pivot", "node").join(two, "node").join(one, "pivot")
-    return both.filter(marks_allow(F.col("m0"), F.col("n0"), F.col("m1"), F.col("n1"), percent)).select("pivot", "node", F.col("n1").alias("n"))
+    fits = [allow(F.col(f"{m}0"), F.col("n0"), F.col(f"{m}1"), F.col("n1"), percent) for m, allow in (("marks", marks_allow), ("wide", sets_allow))]
+    return both.filter(fits[0] & fits[1]).select("pivot", "node", F.col("n1").alias("n"))
 
 
 def one_pivot(star: DataFrame) -> DataFrame:
@@ -309,11 +339,11 @@ def link(
     sets = keep(with_sets(df, id_col, text_col, size, percent, ranked), "sets")
     docs = keep(sets.select("_id", "_n", "_key"), "ids")
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id is not null")
-    classes = sets.filter("_id is not null and _n > 0").groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix"), F.first("_marks").alias("marks"))
+    classes = sets.filter("_id is not null and _n > 0").groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix"), F.first("_marks").alias("marks"), F.first("_wide").alias("wide"))
     full_classes = keep(classes, "classes")
     drop_table(spark, sets)
     classes = keep(full_classes.select("_key", "node"), "keys")
-    marks = keep(full_classes.select("node", "n", "marks"), "marks")
+    marks = keep(full_classes.select("node", "n", "marks", "wide"), "marks")
     # A shared shingle of the prefixes brings documents together. Shingles are counted first, without their documents.
     twice = keep(full_classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token"), "twice")
     tokens = shared_tokens(full_classes.select("node", "n", "prefix"), spark.sparkContext.broadcast(bit_table(twice, "token")))
@@ -356,7 +386,7 @@ def link(
     # What is left: every pair across components that lengths, places and marks allow, and that meets under enough shingles.
     if not left.isEmpty():
         marked = left.join(marks.select("node", "marks"), "node")
-        links = keep(links.union(check(across(marked, percent))), "links")
+        links = keep(links.union(check(likely(across(marked, percent), marks, percent))), "links")
         release(spark)
         labels = components(links)
     found = docs.join(classes, "_key", "left").join(labels, "node", "left")

@@ -71,6 +71,31 @@ def test_marks_never_rule_out_a_link(spark):
     assert jaccard.has_bit(bits, rng.integers(0, 2**63, 5000, dtype=np.uint64)).mean() < 0.1
 
 
+def test_set_marks(spark):
+    rng = np.random.default_rng(5)
+
+    def mark(keys):
+        flat, ends = jaccard.set_marks(np.sort(keys), np.array([0, len(keys)]))
+        assert ends.tolist() == [0, len(flat)] and (len(keys) == 0) == (len(flat) == 0)
+        return flat.tolist(), len(keys)
+
+    flat, ends = jaccard.set_marks(np.arange(70, dtype=np.uint64), np.array([0, 1, 1, 70]))
+    assert ends.tolist() == [0, 1, 1, 3] and [flat[:1].tolist(), flat[1:].tolist()] == [mark(np.arange(1, dtype=np.uint64))[0], mark(np.arange(1, 70, dtype=np.uint64))[0]]
+    rows = []
+    for _ in range(300):
+        shared, extra = int(rng.integers(1, 700)), int(rng.integers(0, 90))
+        keys = rng.integers(0, 2**62, shared + extra, dtype=np.uint64)
+        cut = int(rng.integers(0, extra + 1))
+        rows.append((*mark(np.append(keys[:shared], keys[shared:shared + cut])), *mark(np.append(keys[:shared], keys[shared + cut:])), 100 * shared >= 90 * (shared + extra), 100 * shared < 75 * (shared + extra) and shared > 100))
+    rows.append((*mark(np.arange(64, dtype=np.uint64)), *mark(np.arange(66, dtype=np.uint64)), True, False))  # marks of two sizes
+    df = spark.createDataFrame(rows, "a array<long>, na long, b array<long>, nb long, link boolean, far boolean")
+    c = jaccard.F.col
+    got = df.select("link", "far", jaccard.sets_allow(c("a"), c("na"), c("b"), c("nb"), 90).alias("allow")).collect()
+    assert sum(r["link"] for r in got) > 50 and all(r["allow"] for r in got if r["link"])
+    far = [r["allow"] for r in got if r["far"]]
+    assert far and sum(far) <= 0.1 * len(far)
+
+
 def make_rows(seed, groups, members):
     rng = random.Random(seed)
     common = ["the", "of", "and", "to"]
