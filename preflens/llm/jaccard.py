@@ -38,6 +38,34 @@ MARK_WORDS = 4  # 64-bit numbers that mark a prefix
 _TOP = np.uint64(1 << 63)
 
 
+#: The rows of ``link`` with the default size and percent.
+SQL = """
+WITH RECURSIVE texts AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), placed AS (
+  SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS pos, len(words) AS n FROM texts
+), runs AS (
+  SELECT doc_id, n, pos, a, lead(a, 1) OVER w AS b, lead(a, 2) OVER w AS c FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+), sets AS MATERIALIZED (
+  SELECT DISTINCT doc_id, concat_ws(' ', a, b, c) AS shingle FROM runs WHERE pos <= n - 2 OR (n < 3 AND pos = 1)
+), sizes AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sets x JOIN sets y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id
+), links AS MATERIALIZED (
+  SELECT a, b FROM met JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * shared >= 90 * (p.n + q.n - shared)
+), pairs AS MATERIALIZED (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id, doc_id AS other FROM sizes UNION SELECT reach.doc_id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.other
+), tops AS (
+  SELECT doc_id, min(other) AS top FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(t.top, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN tops t ON t.doc_id = d.doc_id
+"""
+
+
 # ---------------------------------------------------------------- ordered sets
 
 

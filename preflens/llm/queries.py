@@ -86,4 +86,4 @@ QUERIES = {
     "op13_best_subsequence": op13_best_subsequence,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_importance_resampling": resample.SQL, "op12_dynamic_itemsets": collocations.SQL}
+ORACLE_SQL: dict[str, str] = {"op10_trie_jaccard": jaccard.SQL, "op11_importance_resampling": resample.SQL, "op12_dynamic_itemsets": collocations.SQL}

@@ -3,6 +3,7 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -133,3 +134,11 @@ def test_keep_first_and_empty(spark, frame):
     kept = jaccard.keep_first(frame(rows))
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == [1, 2, 4, None]
     assert jaccard.link(frame([])).collect() == []
+
+
+def test_sql():
+    rows = make_rows(4, 40, 20) + [(5000, None), (5001, ""), (5002, " \n "), (5003, "a b"), (5004, "A b"), (5005, "É b c"), (5006, "é b c")]
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+        assert sorted(db.execute(jaccard.SQL).fetchall(), key=repr) == brute(rows, 3, 90)
