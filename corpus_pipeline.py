@@ -24,14 +24,17 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or the learned list reject go; null, empty and very short texts are among them."""
     return rules.keep_good(docs, labels(spark, sf_dir))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under the classifier's threshold go; without usable labels all stay."""
     return fourier.keep_good(docs, labels(spark, sf_dir))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group stays (five words, 0.8 or more); rows without words or id stay, repeated rows of one id stay together."""
     ship(spark)
     return jaccard.keep_first(docs)
 
@@ -44,6 +47,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 2048 tokens in their sequences; null and empty texts are pieces of one token."""
     ship(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
