@@ -212,7 +212,11 @@ def held_out_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 
 def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``df``, all columns, with a score of ``threshold`` or more; all labelled rows teach."""
+    """Rows of ``df``, all columns, with a score of ``threshold`` or more; all labelled rows teach.
+
+    Null texts score as empty ones; long texts are read whole; repeated rows and null ids stay or go by their text. Where no
+    model can be learned all rows stay.
+    """
     known = labels.select(id_col).distinct()
     model = train(with_vector(df.join(known, id_col, "left_semi"), id_col, text_col), labels, None, id_col)
     return filter_scored(df, model, text_col, threshold)
