@@ -35,3 +35,15 @@ def test_whole_table_is_made_once(spark):
         got = frames.rank_rows(df, [], [("x", True)], "r", "n", limit=limit).collect()
         assert sorted(tuple(r) for r in got) == [(i, i + 1, 100) for i in range(100)]
         assert made.value <= 200
+
+
+@pytest.mark.parametrize("set_size, pasts", [(2000, 1000), (2000, 2), (4, 1000), (4, 2)])
+def test_mean_past_sim(spark, train, set_size, pasts):
+    listed = spark.createDataFrame(
+        [(u, i, 1.0 + u) for u in range(13) for i in (0, 3, 14, 99)] + [(1, None, 1.0), (2, None, 1.0), (None, 3, 1.0)],
+        "userID long, itemID long, relevance double")
+    past = train.select("userID", F.col("itemID").alias("_past")).distinct()
+    pairs = listed.join(past, "userID").withColumns({"i1": F.least("itemID", "_past"), "i2": F.greatest("itemID", "_past")})
+    want = diversity.with_cooccurrence_sim(pairs, train).groupBy("userID", "itemID").agg(F.round(F.avg("sim"), 9).alias("s"), F.first("relevance").alias("r"))
+    got = diversity.mean_past_sim(listed, train, set_size=set_size, pasts=pasts).select("userID", "itemID", F.round("_sim", 9), "relevance")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
