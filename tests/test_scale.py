@@ -47,3 +47,19 @@ def test_mean_past_sim(spark, train, set_size, pasts):
     want = diversity.with_cooccurrence_sim(pairs, train).groupBy("userID", "itemID").agg(F.round(F.avg("sim"), 9).alias("s"), F.first("relevance").alias("r"))
     got = diversity.mean_past_sim(listed, train, set_size=set_size, pasts=pasts).select("userID", "itemID", F.round("_sim", 9), "relevance")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("block, hot", [(2000, 1000), (5, 1000), (2000, 2), (5, 2)])
+def test_pair_counts(train, block, hot):
+    want, n = Counter(), Counter(i for _, i in set(TRAIN))
+    for u in {u for u, _ in TRAIN}:
+        want.update(combinations(sorted({i for v, i in TRAIN if v == u and i is not None}), 2))
+    want = {(*p, c, n[p[0]], n[p[1]]) for p, c in want.items() if c > 1} | {(i, i, c, c, c) for i, c in n.items() if c > 1}
+    base = train.distinct()
+    got = cooccur._pair_counts(base, cooccur.item_frequency(base), 2, "userID", "itemID", block, hot).collect()
+    assert len(got) == len(want) and {(r.i1, r.i2, r.c, r._a, r._b) for r in got} == want
+
+
+def test_similarity_needs_no_join_of_pairs(train):
+    shown = plan(cooccur.item_similarity(train, "cosine"))
+    assert shown.count("Join") == 1  # frequencies come with the items of the baskets
