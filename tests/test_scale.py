@@ -63,3 +63,14 @@ def test_pair_counts(train, block, hot):
 def test_similarity_needs_no_join_of_pairs(train):
     shown = plan(cooccur.item_similarity(train, "cosine"))
     assert shown.count("Join") == 1  # frequencies come with the items of the baskets
+
+
+def test_related_pairs_without_a_join_of_lines(spark, tmp_path):
+    lines = [(1, 1, "N"), (1, 2, "A"), (1, 2, "A"), (1, 3, None), (2, 1, "N"), (2, 2, "N"), (None, 1, "N"), (None, 2, "N"), (3, None, "N"), (3, 1, "R")]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "x"), (2, "y"), (9, "z")], "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    out = fixtures.related(spark, str(tmp_path))
+    assert {r.asin: r.related for r in out.collect()} == {
+        "1": {"also_viewed": ["2"], "bought_together": ["3"], "also_bought": ["2"]},
+        "2": {"also_bought": ["1"], "bought_together": ["3"]}, "9": None}
+    assert plan(out).count("Join") == 1
