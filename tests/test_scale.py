@@ -65,6 +65,16 @@ def test_similarity_needs_no_join_of_pairs(train):
     assert shown.count("Join") == 1  # frequencies come with the items of the baskets
 
 
+@pytest.mark.parametrize("twice", [False, True])
+def test_terms_are_counted_in_their_row(spark, twice):
+    rows = [(1, "b a b"), (2, ""), (3, None), (None, "a")] + [(1, "b c"), (None, "a a")] * twice
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = text.counts_of(df, "id", text.words("t"), "token", "n")
+    want = Counter((i, w) for i, t in rows for w in (t or "").split())
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(((*k, n) for k, n in want.items()), key=repr)
+    assert twice or "Aggregate" not in plan(got)
+
+
 def test_related_pairs_without_a_join_of_lines(spark, tmp_path):
     lines = [(1, 1, "N"), (1, 2, "A"), (1, 2, "A"), (1, 3, None), (2, 1, "N"), (2, 2, "N"), (None, 1, "N"), (None, 2, "N"), (3, None, "N"), (3, 1, "R")]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
