@@ -84,3 +84,10 @@ def test_related_pairs_without_a_join_of_lines(spark, tmp_path):
         "1": {"also_viewed": ["2"], "bought_together": ["3"], "also_bought": ["2"]},
         "2": {"also_bought": ["1"], "bought_together": ["3"]}, "9": None}
     assert plan(out).count("Join") == 1
+
+
+def test_few_codes_are_sent_to_the_rows(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (2, 0, None), (3, 1, "b")], "id long, y int, c string")
+    out = features.libffm_rows(rows, ["c"], "y", ["id"])
+    assert {r.id: r.value for r in out.collect()} == {1: "1 1:2:1", 2: "0 1:1:1", 3: "1 1:3:1"}
+    assert "strategy=broadcast" in plan(out)
