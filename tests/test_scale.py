@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from preflens import frames
-from preflens.operators import cooccur, diversity, features, text
+from preflens.operators import cooccur, diversity, features, negatives, text
 from preflens.plans import fixtures
 
 TRAIN = [(u, i) for u in range(12) for i in range(15) if (u * 7 + i * 5) % 4 < 2] + [(1, None), (None, 3), (None, 4), (2, 1), (2, 1)]
@@ -91,3 +91,24 @@ def test_few_codes_are_sent_to_the_rows(spark):
     out = features.libffm_rows(rows, ["c"], "y", ["id"])
     assert {r.id: r.value for r in out.collect()} == {1: "1 1:2:1", 2: "0 1:1:1", 3: "1 1:3:1"}
     assert "strategy=broadcast" in plan(out)
+
+
+@pytest.mark.parametrize("replace", [False, True])
+def test_draws_find_their_item_in_place(spark, replace):
+    seen = spark.createDataFrame([(u, i) for u in range(6) for i in range(60) if i % (u + 2) == 0], "userID long, itemID long")
+    items = spark.createDataFrame([(i, i) for i in range(60)], "itemID long, index long")
+    need = spark.createDataFrame([(u, b, 9) for u in range(7) for b in (1, 2)], "userID long, batch long, n long")
+    lists, both = (negatives.draw_unseen(need, seen, items, ("batch",), replace=replace, limit=n) for n in (1000, 15))  # 15: two users by windows
+    assert "Window" not in plan(lists)
+    want = Counter(map(tuple, both.collect()))
+    assert len(want) == 6 * 2 * 9 and Counter(map(tuple, lists.collect())) == want
+    assert not {(r[0], r[3]) for r in want} & set(map(tuple, seen.collect()))
+
+
+def test_large_catalogues_are_joined(spark, monkeypatch):
+    items = spark.createDataFrame([(i * 10, i) for i in range(3000)], "itemID long, index long")
+    rows = spark.createDataFrame([(i,) for i in (0, 1023, 1024, 2999)], "index long")
+    for most in (3000, 10):
+        monkeypatch.setattr(negatives, "SENT_ITEMS", most)
+        got = negatives._items_at(rows, items, 3000, "itemID").select("index", "itemID").collect()
+        assert sorted(map(tuple, got)) == [(0, 0), (1023, 10230), (1024, 10240), (2999, 29990)]
