@@ -143,6 +143,30 @@ def test_blocked_topk_skips_short_vectors(spark, monkeypatch):
     assert made[0] + 5 < 5 * 10 / 2
 
 
+def test_wide_blocks_are_sent_few_times(spark, monkeypatch):
+    """Steps stay small, but a left row is sent to a few wide blocks: about SIDE times, not once for each step of right rows."""
+    rng = np.random.default_rng(8)
+    a, b = (rng.integers(-2, 3, (n, 4)).astype(float) for n in (50, 400))
+    tables = [spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(m)], "id long, vec array<double>") for m in (a, b)]
+    sent, real = [], blocked.needed_blocks
+
+    def counted(*args):
+        out = real(*args)
+        sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(blocked, "needed_blocks", counted)
+    seen = [(i, (i * 7 + j) % 400) for i in range(50) for j in range(60)]
+    got = {}
+    for r in blocked.blocked_topk(*tables, 5, spark.createDataFrame(seen, "l long, r long"), True, left_block=4, right_block=5).collect():
+        got.setdefault(r.left, []).append((r["rank"], r.right, r.score))
+    scores, known = a @ b.T, set(seen)
+    for i in range(50):
+        order = sorted((-scores[i, j], j) for j in range(400) if j != i and (i, j) not in known)[:5]
+        assert [(j, x) for _, j, x in sorted(got[i])] == [(j, -x) for x, j in order]
+    assert sent[0] <= 50 * blocked.SIDE
+
+
 @pytest.mark.parametrize("text_ids", [False, True])
 def test_sparse_topk(spark, monkeypatch, text_ids):
     """Small blocks, steps of a few cells, negative links, ties, a heavy user and items without links."""
