@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from preflens.frames import ITEM, TIMESTAMP, USER, rank_rows
+from preflens.frames import ITEM, TIMESTAMP, USER, rank_rows, stable
 from preflens.operators import graph, negatives, text, vectors
 from preflens.plans import fixtures as fx
 from preflens.plans.evaluation import auc_sql, rounded
@@ -307,7 +307,7 @@ def edge_split(spark, sf):
 
 @add("negative_edges", "SELECT product1, product2 FROM negs", **{**_EDGE, "held": "SELECT * FROM edges"})
 def negative_edges(spark, sf):
-    edges = _edges(spark, sf)
+    edges = stable(_edges(spark, sf).select("product1", "product2"))  # counted and read twice
     return negatives.negative_edges(edges, edges, edges.count())
 
 

@@ -112,3 +112,27 @@ def test_large_catalogues_are_joined(spark, monkeypatch):
         monkeypatch.setattr(negatives, "SENT_ITEMS", most)
         got = negatives._items_at(rows, items, 3000, "itemID").select("index", "itemID").collect()
         assert sorted(map(tuple, got)) == [(0, 0), (1023, 10230), (1024, 10240), (2999, 29990)]
+
+
+@pytest.mark.parametrize("cells", [1, 8, 1 << 16])
+def test_cut_without_a_sort_of_the_table(spark, monkeypatch, cells):
+    """Edges are counted by cell of their hash; only the cell of the cut is ranked, and both parts are those of a full sort."""
+    ranked, real = [], negatives.rank_rows
+    monkeypatch.setattr(negatives, "CELLS", cells)
+    edges = spark.createDataFrame([(f"p{a}", f"p{b}", 1.0) for a in range(40) for b in range(a + 1, 40) if (a * b) % 5 == 1],
+                                  "product1 string, product2 string, weight double")
+    order = [frames.unit_hash(42, "product1", "product2"), F.col("product1"), F.col("product2")]
+    rows = [tuple(r) for r in edges.orderBy(*order).collect()]
+
+    def counted(df, *args, **options):
+        ranked.append(df.count())
+        return real(df, *args, **options)
+
+    monkeypatch.setattr(negatives, "rank_rows", counted)
+    train, val = negatives.edge_split(edges, 0.3)
+    n = int(len(rows) * 0.3)
+    assert sorted(map(tuple, train.collect())) == sorted(rows[n:])
+    assert sorted((r.product1, r.product2) for r in val.filter("edge = 1").collect()) == sorted(r[:2] for r in rows[:n])
+    assert val.filter("edge = 0").distinct().count() == n
+    if cells > 8:
+        assert ranked[0] == 1 and ranked[-1] == 1
