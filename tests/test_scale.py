@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from preflens import frames
 from preflens.operators import cooccur, diversity, features, negatives, text
-from preflens.plans import fixtures
+from preflens.plans import fixtures, sampling, tabular
 
 TRAIN = [(u, i) for u in range(12) for i in range(15) if (u * 7 + i * 5) % 4 < 2] + [(1, None), (None, 3), (None, 4), (2, 1), (2, 1)]
 
@@ -136,3 +136,19 @@ def test_cut_without_a_sort_of_the_table(spark, monkeypatch, cells):
     assert val.filter("edge = 0").distinct().count() == n
     if cells > 8:
         assert ranked[0] == 1 and ranked[-1] == 1
+
+
+def test_factor_models_read_their_table_once(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def row(i):
+        made.add(1)
+        return (i % 9, i * 5 % 7, float(i % 4 + 1), i)
+
+    table = spark.sparkContext.parallelize(range(40), 2).map(row)
+    monkeypatch.setattr(fixtures, "train", lambda *_: spark.createDataFrame(table, "userID long, itemID long, rating double, timestamp long"))
+    monkeypatch.setattr(fixtures, "test", lambda *_: spark.createDataFrame([(1, 2, 3.0, 9), (2, 99, 1.0, 9)], "userID long, itemID long, rating double, timestamp long"))
+    assert [r.n for r in tabular.param_grid(spark, "").collect()] == [1] * 4
+    assert made.value == 40
+    sampling.als_topk_shape(spark, "").collect()
+    assert made.value == 80
