@@ -1,5 +1,6 @@
 """Steps that once made too many rows, shuffles or reads: the results stay, the work does not grow faster than the input."""
 
+import re
 from collections import Counter
 from itertools import combinations
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from preflens import frames
-from preflens.operators import cooccur, diversity, features, negatives, text
+from preflens.operators import cooccur, diversity, features, graph, negatives, text
 from preflens.plans import fixtures, sampling, tabular
 
 TRAIN = [(u, i) for u in range(12) for i in range(15) if (u * 7 + i * 5) % 4 < 2] + [(1, None), (None, 3), (None, 4), (2, 1), (2, 1)]
@@ -169,3 +170,32 @@ def test_few_arrivals_are_drawn_at_first(spark, monkeypatch):
     few, many = ({tuple(r) for r in negatives.popularity_negatives(positives, history, 4, draws=d).collect()} for d in (16, 64))
     assert few == many and len(few) == 240
     assert len(lists) == 4  # two steps a call, before the last one
+
+
+@pytest.mark.parametrize("edges_per_cell", [1024, 7])
+def test_walks_move_and_edges_stay(spark, monkeypatch, edges_per_cell):
+    """Each step goes to the edge that owns its random number, with and without cells; the table of edges is never shuffled again."""
+    rows = [("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 0.5), ("b", "end", 0.5), (None, "b", 1.0), ("hub", None, 1.0)]
+    rows = [(n, x, w / {"a": 4.0, "hub": 61.0}.get(n, 1.0)) for n, x, w in rows + [("hub", f"n{i:02}", 1.0) for i in range(60)] + [("c", "hub", 1.0)]]
+    monkeypatch.setattr(graph, "EDGES_PER_CELL", edges_per_cell)
+    shown, real = [], graph.saved
+
+    def saved(df):
+        shown.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(graph, "saved", saved)
+    edges = spark.createDataFrame(rows, "node string, next string, prob double")
+    got = {(r.walk, r.step): r.node for r in graph.random_walks(edges, 9, 4).collect()}
+    draws = spark.createDataFrame([(f"{n}#{w}",) for n in {r[0] for r in rows if r[0]} for w in range(9)], "walk string")
+    draws = {(r.walk, s): r.u for s in range(1, 4) for r in draws.select("walk", frames.unit_hash(42, "walk", F.lit(s)).alias("u")).collect()}
+    want = {(str(w), 0): None for w in range(9)}
+    for (walk, step), u in sorted(draws.items()):
+        node = want.setdefault((walk, 0), walk.split("#")[0]) if step == 1 else want.get((walk, step - 1))
+        own = sorted(((x or "", p) for n, x, p in rows if node and n == node))
+        for i, (x, _) in enumerate(own):
+            if u < sum(p for _, p in own[:i + 1]) or i == len(own) - 1:
+                want[walk, step] = x or None
+                break
+    assert got == want
+    assert len(shown) == 4 and all(len(re.findall(r"Exchange hashpartitioning\(node#\d+, _cell#", p)) == 1 for p in shown[1:])
