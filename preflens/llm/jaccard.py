@@ -94,23 +94,35 @@ def ordered_sets(column: pa.Array, size: int, ranks: tuple[np.ndarray, np.ndarra
         yield lo, hi, keys[new], np.concatenate([[0], np.cumsum(np.bincount(row[new], minlength=hi - lo))])
 
 
+def repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers that occur twice or more, rising, and how often. ``keys`` is sorted in place; little else is held."""
+    keys.sort()
+    edge = np.diff(keys[1:] == keys[:-1], prepend=False, append=False)
+    at = np.flatnonzero(edge)  # first and last place of a run, in turn
+    return keys[at[::2]], at[1::2] - at[::2] + 1
+
+
 def recurring(df: DataFrame, text_col: str, size: int, limit: int = RANKED) -> np.ndarray:
     """The ``limit`` shingles in most texts among those that recur within a task, rarest first; all texts are counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held, n = np.empty(HELD_SHINGLES, np.uint64), 0
 
-        def flush():
-            keys, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], names=["shingle", "n"])
+        def found(keys):
+            shingles, times = repeated(keys)
+            return pa.RecordBatch.from_arrays([pa.array(shingles.view(np.int64)), pa.array(times)], names=["shingle", "n"])
 
         for batch in batches:
             for _, _, keys, _ in ordered_sets(batch.column(0), size, rank_table(np.zeros(0, np.uint64))):
-                held.append(keys)
-                if sum(map(len, held)) > HELD_SHINGLES:
-                    yield flush()
-        yield flush()
+                if n + len(keys) > len(held):
+                    yield found(held[:n])
+                    n = 0
+                if len(keys) > len(held):  # one long text
+                    yield found(keys)
+                else:
+                    held[n:n + len(keys)] = keys
+                    n += len(keys)
+        yield found(held[:n])
 
     counts = df.select(F.col(text_col).cast("string")).mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     top = most_frequent(counts, limit).orderBy("n", "shingle").toArrow()
