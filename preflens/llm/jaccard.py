@@ -7,8 +7,8 @@ the remaining lengths put out of reach.
 
 Only connected components are asked for, so large groups need no all-pairs work: each document is first compared with the one pivot
 that it shares most prefix shingles with (block mates are compared too), then with one other; groups that are connected by then
-are done, and what is left, exactly, is compared across components. There, bit marks of the prefixes bound how much two of them
-share before a pair leaves the join. Marks of whole sets, a bit or two a shingle, bound what a candidate pair shares, so only
+are done, and what is left, exactly, is compared across components. There, bit marks of the prefixes and short ones of the whole sets
+bound how much two of them share before a pair leaves the join. Marks of whole sets, a bit or two a shingle, bound what a candidate pair shares, so only
 texts of pairs that nearly link, or do, are shuffled and meet in a trie. Exact copies are one set from the start. No set, bucket or candidate is capped.
 """
 
@@ -34,7 +34,7 @@ RANKED = 1 << 17
 BLOCK_SETS, BLOCK_SHINGLES = 48, 400_000
 HELD_SHINGLES = 4_000_000
 SLICE_BYTES = 1 << 21
-MARK_WORDS = 4  # 64-bit numbers that mark a prefix
+MARK_WORDS, WHOLE_WORDS = 4, 8  # 64-bit numbers that mark a prefix, and a whole set where rows of shingles meet
 _TOP = np.uint64(1 << 63)
 
 
@@ -134,12 +134,12 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * n // 100)
 
 
-def parity_marks(keys: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """(rows, MARK_WORDS) numbers; a bit tells whether an odd count of the row's elements falls on it.
+def parity_marks(keys: np.ndarray, cut: np.ndarray, words: int = MARK_WORDS) -> np.ndarray:
+    """(rows, ``words``) numbers; a bit tells whether an odd count of the row's elements falls on it.
 
     Sets a and b share at most (|a| + |b| - d) / 2 elements if d bits of their marks differ.
     """
-    rows, bits = len(cut) - 1, 64 * MARK_WORDS
+    rows, bits = len(cut) - 1, 64 * words
     at = np.repeat(np.arange(rows), np.diff(cut)) * bits + (mix(keys) % np.uint64(bits)).astype(np.int64)
     odd = (np.bincount(at, minlength=rows * bits) & 1).astype(np.uint8).reshape(rows, bits)
     return np.packbits(odd, axis=1).view(np.int64)
@@ -159,8 +159,11 @@ def set_marks(keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def with_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int, ranked) -> DataFrame:
-    """(_id, _n, _key, _prefix, _marks, _wide): set size, digest of the set, the elements that any partner must share one of,
-    their marks, marks of the whole set."""
+    """(_id, _n, _key, _prefix, _marks, _whole, _wide): set size, digest of the set, the elements that any partner must share one of,
+    their marks, marks of the whole set of fixed length and by its size."""
+
+    def lists(marks):
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * marks.shape[1]), pa.array(marks.reshape(-1)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,14 +174,13 @@ def with_sets(df: DataFrame, id_col: str, text_col: str, size: int, percent: int
                 first = np.repeat(at[:-1] - cut[:-1], length) + np.arange(cut[-1])
                 digests = [hashlib.blake2b(keys[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
                 prefix = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(keys[first].view(np.int64)))
-                marks = parity_marks(keys[first], cut).reshape(-1)
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) + 1, MARK_WORDS, dtype=np.int32)), pa.array(marks))
+                marks, whole = lists(parity_marks(keys[first], cut)), lists(parity_marks(keys, at, WHOLE_WORDS))
                 wide, ends = set_marks(keys, at)
                 wide = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(wide))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), prefix, marks, wide],
-                                                 names=["_id", "_n", "_key", "_prefix", "_marks", "_wide"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(digests, pa.binary()), prefix, marks, whole, wide],
+                                                 names=["_id", "_n", "_key", "_prefix", "_marks", "_whole", "_wide"])
 
-    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, _n long, _key binary, _prefix array<long>, _marks array<long>, _wide array<long>")
+    return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "_id long, _n long, _key binary, _prefix array<long>, _marks array<long>, _whole array<long>, _wide array<long>")
 
 
 # ---------------------------------------------------------------- the trie
@@ -320,6 +322,12 @@ def marks_allow(a, na, b, nb, percent: int):
     return length(na) + length(nb) - differ >= 2 * prefix_needed(na, nb, percent)
 
 
+def whole_allow(a, na, b, nb, percent: int):
+    """Do the marks of fixed length of two whole sets leave room for a link?"""
+    differ = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(WHOLE_WORDS)), F.lit(0))
+    return na + nb - differ >= 2 * F.ceil(percent * (na + nb) / F.lit(100.0 + percent) - 1e-9)
+
+
 def sets_allow(a, na, b, nb, percent: int):
     """Do the marks of two whole sets leave room for a link? The larger is halved once; sizes further apart rule nothing out."""
     xor = lambda x, y: x.bitwiseXOR(y)
@@ -379,11 +387,11 @@ def link(
     sets = keep(with_sets(df, id_col, text_col, size, percent, ranked), "sets")
     docs = keep(sets.select("_id", "_n", "_key"), "ids")
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).filter("_id is not null")
-    classes = sets.filter("_id is not null and _n > 0").groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix"), F.first("_marks").alias("marks"), F.first("_wide").alias("wide"))
+    classes = sets.filter("_id is not null and _n > 0").groupBy("_key").agg(F.min("_id").alias("node"), F.first("_n").alias("n"), F.first("_prefix").alias("prefix"), F.first("_marks").alias("marks"), F.first("_whole").alias("whole"), F.first("_wide").alias("wide"))
     full_classes = keep(classes, "classes")
     drop_table(spark, sets)
     classes = keep(full_classes.select("_key", "node"), "keys")
-    marks = keep(full_classes.select("node", "n", "marks", "wide"), "marks")
+    marks = keep(full_classes.select("node", "n", "marks", "whole", "wide"), "marks")
     # A shared shingle of the prefixes brings documents together. Shingles are counted first, without their documents.
     twice = keep(full_classes.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("token"), "twice")
     tokens = shared_tokens(full_classes.select("node", "n", "prefix"), spark.sparkContext.broadcast(bit_table(twice, "token")))
@@ -425,7 +433,7 @@ def link(
         left = open_rows()
     # What is left: every pair across components that lengths, places and marks allow, and that meets under enough shingles.
     if not left.isEmpty():
-        marked = left.join(marks.select("node", "marks"), "node")
+        marked = left.join(marks.select("node", "marks", "whole"), "node")
         links = keep(links.union(check(likely(across(marked, percent), marks, percent))), "links")
         release(spark)
         labels = components(links)
@@ -435,20 +443,22 @@ def link(
 
 
 def across(rows: DataFrame, percent: int, block: int = 1_000) -> DataFrame:
-    """Candidate pairs (pivot, node, n) of rows (token, node, n, pos, label, marks) with different labels.
+    """Candidate pairs (pivot, node, n) of rows (token, node, n, pos, label, marks, whole) with different labels.
 
     A token's rows are cut into blocks, and each pair of blocks is a join key of its own, so a hot token is many small keys.
-    Pairs that lengths, places or marks rule out do not leave the join; a pair that links passes under each shingle. Two sets of
+    Pairs that lengths, places or marks rule out do not leave the join, so those of a hot token that share only a few shingles
+    are no rows; a pair that links passes under each shingle. Two sets of
     different labels meet under every shingle that their prefixes share, so the number of meetings is what the prefixes share.
     """
     blocks = rows.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     cut = rows.join(blocks, "token").withColumn("c", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    values = [F.col(c) for c in ("node", "n", "pos", "label", "marks")]
+    values = [F.col(c) for c in ("node", "n", "pos", "label", "marks", "whole")]
     # A pair of blocks i <= j: rows of block i on the left, rows of block j on the right.
     left = cut.select("token", F.col("c").alias("i"), F.explode(F.sequence("c", F.col("blocks") - 1)).alias("j"), F.struct(*values).alias("a"))
     right = cut.select("token", F.explode(F.sequence(F.lit(0), F.col("c"))).alias("i"), F.col("c").alias("j"), F.struct(*values).alias("b"))
     one, two = F.col("a"), F.col("b")
-    fits = may_link(one["pos"], one["n"], two["pos"], two["n"], percent) & marks_allow(one["marks"], one["n"], two["marks"], two["n"], percent) & (one["label"] != two["label"])
+    fits = may_link(one["pos"], one["n"], two["pos"], two["n"], percent) & (one["label"] != two["label"])
+    fits &= marks_allow(one["marks"], one["n"], two["marks"], two["n"], percent) & whole_allow(one["whole"], one["n"], two["whole"], two["n"], percent)
     pairs = left.join(right, ["token", "i", "j"]).filter(fits & ((F.col("i") < F.col("j")) | (one["node"] < two["node"])))
     met = pairs.groupBy(F.least(one["node"], two["node"]).alias("pivot"), F.greatest(one["node"], two["node"]).alias("node")).agg(
         F.count(F.lit(1)).alias("times"), F.max(F.greatest(one["n"], two["n"])).alias("n"), F.min(prefix_needed(one["n"], two["n"], percent)).alias("needed"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -97,6 +98,36 @@ def test_set_marks(spark):
     assert far and sum(far) <= 0.1 * len(far)
 
 
+def test_recurring_holds_one_buffer():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 50, 3000):
+        keys = rng.integers(0, 900, n, dtype=np.uint64)
+        want, times = np.unique(keys, return_counts=True)
+        got, n_got = jaccard.repeated(keys)
+        assert (got == want[times > 1]).all() and (n_got == times[times > 1]).all()
+    keys = rng.integers(0, 1 << 20, 1 << 20, dtype=np.uint64)
+    tracemalloc.start()
+    jaccard.repeated(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * keys.nbytes
+
+
+def test_unlike_sets_of_a_hot_shingle_are_no_pairs(spark):
+    """Sets under one shingle: only those that nearly link leave the join, though the marks of their prefixes allow all."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**62, 200, dtype=np.uint64)
+    rows = []
+    for i in range(60):
+        own = rng.integers(0, 2**62, 200, dtype=np.uint64)
+        keys = np.sort(np.concatenate([base[:190], own[:10]]) if i < 4 else own)
+        whole = jaccard.parity_marks(keys, np.array([0, len(keys)]), jaccard.WHOLE_WORDS)[0].tolist()
+        rows += [(t, i, 200, 0, i, [0] * jaccard.MARK_WORDS, whole) for t in range(30)]
+    df = spark.createDataFrame(rows, "token long, node long, n long, pos int, label long, marks array<long>, whole array<long>")
+    got = {(r.pivot, r.node) for r in jaccard.across(df, 80, block=7).collect()}
+    assert {(a, b) for a in range(4) for b in range(a + 1, 4)} <= got and len(got) < 20
+
+
 def make_rows(seed, groups, members):
     rng = random.Random(seed)
     common = ["the", "of", "and", "to"]
