@@ -12,6 +12,7 @@ import functools
 import hashlib
 import json
 import unicodedata
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ from preflens.llm.packing import byte_characters
 from preflens.llm.store import most_frequent, share_file
 
 LEXICON_WORDS = 65_536
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 COUNTED_WORDS = 200_000
 SLICE_CHARS = 2_000_000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
@@ -97,7 +98,8 @@ class Lexicon:
         at = len(head)
         for name, (kind, n) in json.loads(head).items():
             nbytes = n * np.dtype(kind).itemsize
-            setattr(self, name, np.memmap(path, kind, "r", at, (n,)) if n else np.zeros(0, kind))
+            # A plain array over the mapped file: slices of a memmap object cost several times as much.
+            setattr(self, name, np.asarray(np.memmap(path, kind, "r", at, (n,))) if n else np.zeros(0, kind))
             at += nbytes + -nbytes % 8
 
     def numbers(self, words: list[bytes]) -> np.ndarray:
@@ -164,7 +166,9 @@ class Rules:
 
     def parts(self, word: str) -> list[bytes]:
         """Pre-tokens of a word. Beyond Latin letters the library's own tables decide, as Unicode versions differ."""
-        if word.isascii() or max(word) < "\u0250":
+        if word.isascii():
+            return [p.encode() for p in self.pattern.findall(word.lower())]
+        if max(word) < "\u0250":
             return [p.encode() for p in self.pattern.findall(self.normal(word))]
         library = self.library
         found = library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(word))
@@ -273,26 +277,43 @@ class Encoder:
         self.own, self.lexicon = own, lexicon
         self.known: dict[str, str] = {}  # word -> ids as text
         self.shown: dict[str, str] = {}  # word -> its tokens' texts
-
-    def learn(self, words: Iterable[str]) -> None:
+        self.held: dict[int, str] = {}  # the same for numbers of the lexicon
+        self.held_shown: dict[int, str] = {}
+
+    def as_text(self, ids: list[int]) -> tuple[str, str]:
+        return " ".join(map(str, ids)), " ".join(map(self.own.text_of.__getitem__, ids))
+
+    def texts(self, parts: list[bytes]) -> tuple[list[str], list[str]]:
+        """Ids and tokens of each pre-token as text, from the automaton or merged."""
+        numbers = self.lexicon.numbers(parts).tolist() if self.lexicon else [-1] * len(parts)
+        for n in set(numbers).difference(self.held, (-1,)):
+            self.held[n], self.held_shown[n] = self.as_text(self.lexicon.ids_of(n))
+        ids, shown = list(map(self.held.get, numbers)), list(map(self.held_shown.get, numbers))
+        left = [i for i, n in enumerate(numbers) if n < 0]
+        for i, merged in zip(left, self.own.merge([parts[i] for i in left]), strict=True):
+            ids[i], shown[i] = self.as_text(merged)
+        return ids, shown
+
+    def learn(self, words: set[str]) -> None:
         """Look the words up in the automaton together; merge what it does not hold."""
-        new = list(set(words).difference(self.known))
+        new = list(words.difference(self.known))
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known.clear()
             self.shown.clear()
-            new = list(set(words))
-        split = [self.own.parts(w) for w in new]
-        flat = [p for parts in split for p in parts]
-        numbers = self.lexicon.numbers(flat).tolist() if self.lexicon else [-1] * len(flat)
-        merged = iter(self.own.merge([p for p, n in zip(flat, numbers, strict=True) if n < 0]))
-        text_of, known, shown, at = self.own.text_of, self.known, self.shown, 0
-        for word, parts in zip(new, split, strict=True):
-            ids = []
-            for n in numbers[at:at + len(parts)]:
-                ids += self.lexicon.ids_of(n) if n >= 0 else next(merged)
-            at += len(parts)
-            known[word] = " ".join(map(str, ids))
-            shown[word] = " ".join([text_of[i] for i in ids])
+            new = list(words)
+        # One flat list: a list for each word would keep the garbage collector busy.
+        parts, ends = [], []
+        for word in new:
+            parts += self.own.parts(word)
+            ends.append(len(parts))
+        ids, shown = self.texts(parts)
+        at = 0
+        for word, end in zip(new, ends, strict=True):
+            if end - at == 1:
+                self.known[word], self.shown[word] = ids[at], shown[at]
+            else:
+                self.known[word], self.shown[word] = " ".join(ids[at:end]), " ".join(shown[at:end])
+            at = end
 
     def pieces(self, text: str) -> list[tuple[str, list[str]]]:
         """(special token or "", words) in order."""
@@ -304,7 +325,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[tuple[str, str]]:
         """(ids joined by a space, decoded text) of each text."""
         split = [self.pieces(t) for t in texts]
-        self.learn([w for text in split for _, words in text for w in words])
+        self.learn(set().union(*(words for text in split for _, words in text)))
         out = []
         for text in split:
             ids, shown = [], []
@@ -338,18 +359,16 @@ def word_counts(df: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all texts: counted in the tasks first, added up by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
+        counts: Counter[str] = Counter()
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
             counts.clear()
             return out
 
-        get = counts.get
         for batch in batches:
             for text in batch.column(0):
-                for word in (text.as_py() or "").split():
-                    counts[word] = get(word, 0) + 1
+                counts.update((text.as_py() or "").split())
                 if len(counts) > COUNTED_WORDS:
                     yield flush()
         yield flush()

@@ -1,7 +1,9 @@
 """The automaton against a dictionary; ids and decoded text against the tokenizers library."""
 
+import gc
 import hashlib
 
+import numpy as np
 import public_tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -58,3 +60,18 @@ def test_corpus(spark, frame):
     assert transducer.encode_corpus(frame([]), PATH).collect() == []
     full = transducer.encode(df, PATH, with_ids=True).collect()
     assert all(len(r["ids"]) == r["n_tokens"] for r in full)
+
+
+def test_encoder_keeps_few_objects(tmp_path, monkeypatch):
+    """A word is not a list or tuple of its own for the garbage collector, mapped arrays are plain, and a full memory changes nothing."""
+    own, words = transducer.rules(PATH), [f"w{i}'s" for i in range(400)]
+    parts = sorted({p for w in words[::2] for p in own.parts(w)})
+    (tmp_path / "file").write_bytes(transducer.pack_file(parts, own.merge(parts)))
+    lexicon = transducer.Lexicon(str(tmp_path / "file"))
+    assert type(lexicon.ids) is np.ndarray
+    plain, small = transducer.Encoder(own, None), transducer.Encoder(own, lexicon)
+    want = plain.encode([" ".join(words)])
+    assert small.encode([" ".join(words)]) == want
+    monkeypatch.setattr(transducer, "CACHE_WORDS", 7)
+    assert [small.encode([w])[0] for w in words] == [plain.encode([w])[0] for w in words]
+    assert len(small.known) <= 7 and not any(map(gc.is_tracked, small.known.values()))
