@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from preflens.operators import blocked, candidates, features, graph, negatives, prep, sequence, split, text
+from preflens.operators import blocked, candidates, cooccur, features, graph, negatives, prep, sequence, split, text
 from preflens.sources import ratings, records
 
 
@@ -197,6 +197,56 @@ def test_sparse_topk(spark, monkeypatch, text_ids):
     assert bounds == {u: (min(s), max(s), len(s)) for u, s in per_user.items()}
 
 
+def test_scores_in_place(spark, monkeypatch):
+    """Repeated and null keys and values as in SQL, over several blocks and steps; nothing as long as the products is shuffled."""
+    for name, size in (("DENSE_CELLS", 12), ("PRODUCTS", 9), ("WEIGHTS_PER_BLOCK", 40), ("LINKS_PER_BLOCK", 60), ("ROWS_SENT", 5)):
+        monkeypatch.setattr(blocked, name, size)
+    rng = np.random.default_rng(11)
+    some = lambda x, p=0.1: None if rng.random() < p else x
+    aff = [(some(int(rng.integers(9))), some(int(rng.integers(12))), some(float(rng.integers(1, 6)))) for _ in range(70)]
+    sim = [(a, b, some(float(rng.integers(-2, 4)))) for a in range(12) for b in range(a, 14) if rng.random() < 0.4]
+    sim += sim[:4]
+    seen = [(some(int(rng.integers(9))), some(int(rng.integers(12)))) for _ in range(30)]
+    ways = [(a, b, s) for x, y, s in sim for a, b in {(x, y), (y, x)}]
+    cells, unity = {}, {}
+    for u, i, x in aff:
+        for a, b, s in ways:
+            if a == i:
+                cells.setdefault((u, b), []).append(None if x is None or s is None else x * s)
+                unity.setdefault((u, b), []).append(s)
+    total = lambda xs: sum(x for x in xs if x is not None) if any(x is not None for x in xs) else None
+    sums = {c: total(xs) for c, xs in cells.items()}
+    frames = (spark.createDataFrame(aff, "userID long, itemID long, affinity double"), spark.createDataFrame(sim, "i1 long, i2 long, sim double"))
+    marked = spark.createDataFrame(seen, "userID long, itemID long")
+    known = {p for p in seen if None not in p}
+    as_dict = lambda df: {(r.userID, r.itemID): r.prediction for r in df.collect()}
+    full = cooccur.scores(*frames)
+    assert as_dict(full) == sums and full.count() == len(sums)
+    above, made, _ = full._jdf.queryExecution().optimizedPlan().toString().partition("FlatMapGroupsInArrow")
+    assert made and "Join" not in above and "Aggregate" not in above
+    assert as_dict(cooccur.scores(*frames, marked)) == {c: s for c, s in sums.items() if c not in known}
+    want = {}
+    for (u, b), s in sums.items():
+        reached = [total(xs) for (v, _), xs in unity.items() if v == u]
+        given = [x for x in reached if x is not None]
+        more = [0.0] if len(reached) < 13 else []
+        low, high = min(given + more, default=None), max(given + more, default=None)
+        if u is not None:
+            want[u, b] = None if s is None or low is None or 5 * high == low else (s - low) / (5 * high - low) * 4 + 1
+    args = (*frames, F.lit(1.0), F.lit(5.0), F.lit(13))
+    near = lambda x: pytest.approx(x, abs=1e-8)
+    assert as_dict(cooccur.normalized_scores(*args)) == near(want)
+    assert as_dict(cooccur.normalized_scores(*args, marked)) == near({c: s for c, s in want.items() if c not in known})
+    assert as_dict(cooccur.normalized_scores(*args, wanted=marked)) == near({c: s for c, s in want.items() if c in known})
+    seeds = frames[0].withColumnRenamed("affinity", "rating")
+    own, got = {(u, i) for u, i, _ in aff if u is not None}, {}
+    for r in cooccur.seed_topk(seeds, frames[1], 3).collect():
+        got.setdefault(r.userID, {})[r["rank"]] = (r.itemID, r.prediction)
+    for u in {u for u, _ in sums}:
+        order = sorted(((s is None, -(s or 0), b) for (v, b), s in sums.items() if v == u and (u, b) not in own))[:3]
+        assert [got.get(u, {}).get(n) for n in range(1, len(order) + 1)] == [(b, None if none else -s) for none, s, b in order]
+
+
 def test_random_walks(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("a", "c", 3.0), ("b", "c", 0.5)] + [("hub", f"n{i}", 1.2) for i in range(60)] + [("a", "hub", 1.0)],
                                   "product1 string, product2 string, weight double")
