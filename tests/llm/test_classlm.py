@@ -78,3 +78,40 @@ def test_probabilities_sum_to_one(spark, frame):
     assert classlm.held_out_scores(frame([])).collect() == []
     alone = [r for r in classlm.held_out_scores(frame([(i, "a b") for i in range(40) if crc32(str(i).encode()) % 10 == 0])).collect()]
     assert alone and all(r["n_known"] == 0 and r["train_tokens"] == 0 and abs(r["base_score"]) < 1e-9 for r in alone)
+
+
+@pytest.mark.parametrize("local", [1 << 17, 12, 0])
+def test_every_word_is_clustered(spark, frame, monkeypatch, local):
+    """Words beyond the items move by their own neighbours, not by their ending; the class bigrams hold all tokens."""
+    ship(spark)
+    monkeypatch.setattr(classlm, "LOCAL_WORDS", local)
+    monkeypatch.setattr(classlm, "ITEM_WORDS", 5)
+    monkeypatch.setattr(classlm, "CLASSES", 7)
+    rng, made = random.Random(4), {"q": [], "z": []}
+    rows = []
+    for i in range(300):  # the pattern "pa <any> ba" or "ka <any> ga"; the words in the middle are rare; some of the first kind end like the second
+        side = "qz"[i % 2]
+        made[side] += [f"{side}{i}-{j}{'xx' if side == 'q' and i % 20 else 'yy'}" for j in range(2)]
+        rows.append((i, " ".join(f"{'pa' if side == 'q' else 'ka'} {w} {'ba' if side == 'q' else 'ga'}" for w in made[side][-2:] * 2 + rng.sample(made[side], 2))))
+    model, rare = classlm.train(frame(rows))
+    count = Counter(t for _, text in rows for t in tokens(text))
+    known = {int(w): int(c) for w, c in zip(model.local, model.local_class)} | {r["word"] % 2**64: r["class"] for r in rare.collect()}
+    assert len(known) == len(count) == model.distinct
+    (_, _, hashes, _, _), = classlm.token_rows(pa.array([" ".join(made["q"] + made["z"])]))
+    found = [known[int(h)] for h in hashes[:-1]]
+    if local:
+        assert len(set(found[:300])) == 1 and len(set(found[300:])) == 1 and found[0] != found[300]
+    everything = classlm.class_bigrams(frame(rows), "text", model.local, model.local_class, rare, 7)
+    cls = {w: known[int(classlm.token_rows(pa.array([w])).__next__()[2][0])] for w in count if w != "<end>"} | {"<end>": known[classlm.END]}
+    want = np.zeros((7, 7))
+    for _, text in rows:
+        path = [cls[t] for t in ["<end>", *tokens(text)]]
+        for a, b in zip(path, path[1:]):
+            want[a, b] += 1
+    assert np.array_equal(everything, want)
+    scored = {r["doc_id"]: r["score"] for r in classlm.score(frame(rows[:20]), model, rare).collect()}
+    spread = model.spread
+    for i, text in rows[:20]:
+        path = [cls[t] for t in ["<end>", *tokens(text)]]
+        mine = sum(model.transition[a, b] - spread[b] + math.log10(count[t] + 0.1) for a, b, t in zip(path, path[1:], tokens(text)))
+        assert math.isclose(mine, scored[i], rel_tol=1e-9)
